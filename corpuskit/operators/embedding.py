@@ -1,6 +1,9 @@
 """Embed a text column.
 
-* ``hash_embed`` (V1a) is the built-in embedder: a native expression, no Python.
+* ``hash_embed`` (V1a) is the built-in embedder. Its default engine is an Arrow-batched
+  pandas UDF (regex terms, md5, ``numpy.bincount``); the same vector as a pure native
+  expression (``engine="native"``) is 2.5x slower at sf 0.1 (20.6 s against 8.3 s for
+  10,000 documents), because Spark interprets higher-order-function lambdas per element.
 * ``embed`` (V1) runs any ``list[str] -> list[vector]`` callable over Arrow batches with
   ``mapInPandas``. Calls go out in batches of ``batch_size``; rate-limit and 5xx errors
   are retried with waits ``base_delay * 2**attempt`` up to ``max_retries`` times, other
@@ -112,14 +115,40 @@ def embed(df: DataFrame, embedder, text_col: str = "text", out_col: str = "embed
     return df.select(*keep).mapInPandas(run, schema)
 
 
-def hash_embed(df: DataFrame, text_col: str = "text", out_col: str = "embedding", dim: int = 64,
-               as_float: bool = True) -> DataFrame:
-    """Native hashed bag-of-terms vector (unit length) for every row."""
-    out = with_hash_vector(df, text_col, out_col, dim)
-    return out.withColumn(out_col, F.col(out_col).cast("array<float>")) if as_float else out
+_TERM = regex.compile(r"[\p{L}\p{N}]+")
 
 
-_TERM = regex.compile(r"[\p{L}\p{N}]+")
+def hash_counts(text: str, dim: int) -> np.ndarray:
+    """Per-bucket term counts of one text (bucket = md5 prefix, 32 bits, mod ``dim``)."""
+    terms = _TERM.findall(text.lower()) if text else []
+    md5 = hashlib.md5
+    b = np.fromiter((int.from_bytes(md5(t.encode("utf-8")).digest()[:4], "big") % dim for t in terms),
+                    dtype=np.int64, count=len(terms))
+    return np.bincount(b, minlength=dim).astype(np.float64)
+
+
+def hash_unit_vector(text: str, dim: int) -> np.ndarray:
+    c = hash_counts(text, dim)
+    n = np.sqrt((c * c).sum())
+    return c / n if n > 0 else c
+
+
+def _hash_udf(dim: int):
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def vec(texts: pd.Series) -> pd.Series:
+        return pd.Series([hash_unit_vector(t, dim) for t in texts])
+    # evaluated once per row: never inlined into pushed-down filters or merged projections
+    return vec.asNondeterministic()
+
+
+def hash_embed(df: DataFrame, text_col: str = "text", out_col: str = "embedding", dim: int = 64,
+               as_float: bool = True, engine: str = "arrow") -> DataFrame:
+    """Hashed bag-of-terms vector (unit length) for every row, row-local."""
+    if engine == "native":
+        out = with_hash_vector(df, text_col, out_col, dim)
+    else:
+        out = df.withColumn(out_col, _hash_udf(dim)(F.col(text_col)))
+    return out.withColumn(out_col, F.col(out_col).cast("array<float>")) if as_float else out
 
 
 class HashEmbedder:
@@ -129,15 +158,7 @@ class HashEmbedder:
         self.dim = dim
 
     def __call__(self, texts):
-        out = []
-        for t in texts:
-            counts = np.zeros(self.dim, dtype=np.float64)
-            for term in _TERM.findall((t or "").lower()):
-                h = int(hashlib.md5(term.encode("utf-8")).hexdigest()[:8], 16)
-                counts[h % self.dim] += 1
-            norm = np.sqrt((counts * counts).sum())
-            out.append((counts / norm if norm > 0 else counts).tolist())
-        return out
+        return [hash_unit_vector(t or "", self.dim).tolist() for t in texts]
 
 
 def quarantine(embedded: DataFrame, out_col: str = "embedding"):

@@ -12,7 +12,6 @@ from corpuskit.config import LOCAL_CONTEXT_WINDOW, REPLY_RESERVE_TOKENS
 from corpuskit.functions.html import html_text, html_title
 from corpuskit.functions.ids import file_doc_id, page_label
 from corpuskit.functions.text import canonical_collection, clip_snippet, source_kind, source_label
-from corpuskit.functions.tokens import with_hash_vector
 from corpuskit.operators.chunking import merge_metadata, sentence_chunks, window_chunks
 from corpuskit.operators.dedupe import dedupe_first, skip_existing
 from corpuskit.operators.embedding import hash_embed
@@ -158,7 +157,7 @@ def q_mail_folders(spark, d):
 
 def q_hash_embed(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    v = with_hash_vector(docs, "text", "v", HASH_DIM)
+    v = hash_embed(docs, "text", "v", HASH_DIM, as_float=False)
     return (v.select("doc_id", F.posexplode_outer("v").alias("bucket", "w")).where(F.col("w") > 0)
              .select("doc_id", "bucket", F.round("w", 6).alias("weight")))
 

@@ -1,0 +1,86 @@
+import os
+
+from pyspark.sql import functions as F
+
+from corpuskit.config import Settings
+from corpuskit.plans.ask import ask
+from corpuskit.plans.ingest import ingest, retry_failed
+from corpuskit.store import CollectionStore
+from tests.conftest import SF001
+
+S = Settings(chunk_size=64, chunk_overlap=8)
+
+
+def _docs(spark, n=60):
+    d = spark.read.parquet(f"{SF001}/documents.parquet").where(F.col("doc_id") < n)
+    return d.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "source")
+
+
+def test_store_collections_and_drop(spark, tmp_dir):
+    st = CollectionStore(spark, os.path.join(tmp_dir, "store"))
+    assert st.read("x") is None and st.list_collections() == [] and st.existing_doc_ids("x").count() == 0
+    a = spark.createDataFrame([("1", "t"), (None, "u")], "doc_id string, text string")
+    st.append(a, "a")
+    st.append(a.limit(1), "b")
+    assert st.list_collections() == ["a", "b"] and st.collection_exists("a")
+    assert [r[0] for r in st.existing_doc_ids("a").collect()] == ["1"]
+    st.replace(spark.createDataFrame([("9", "n")], "doc_id string, text string"), "a")
+    assert [r.doc_id for r in st.read("a").collect()] == ["9"] and st.read("b").count() == 1
+    st.drop("a")
+    st.drop("never")
+    assert st.list_collections() == ["b"]
+
+
+def test_ingest_twice_is_once(spark, tmp_dir):
+    st = CollectionStore(spark, os.path.join(tmp_dir, "store"))
+    docs = _docs(spark)
+    r1 = ingest(docs, st, "documents", settings=S)
+    n1 = st.read("documents").count()
+    r2 = ingest(docs, st, "documents", settings=S)
+    assert r1.docs_new > 0 and r1.chunks == n1 and r1.chunks_failed == 0
+    assert r2.docs_new == 0 and st.read("documents").count() == n1
+    assert st.staged_runs("documents") == []
+    # duplicate texts inside one load are stored once
+    uniq = docs.select("text").distinct().count()
+    assert r1.docs_new == uniq
+
+
+class Breaks:
+    def __call__(self, texts):
+        if any("e" in t[:3] for t in texts):
+            raise ValueError("refused")
+        return [[1.0] * 4 for _ in texts]
+
+
+def test_failed_chunks_quarantined_and_retried(spark, tmp_dir):
+    st = CollectionStore(spark, os.path.join(tmp_dir, "store"))
+    r = ingest(_docs(spark, 30), st, "documents", embedder=Breaks(), settings=Settings(chunk_size=64, chunk_overlap=8, embed_concurrency=2))
+    stored = st.read("documents").count()
+    assert r.chunks == stored + r.chunks_failed and r.chunks_failed > 0
+    assert st.quarantined("documents").count() == r.chunks_failed
+    fixed = retry_failed(st, "documents", embedder=lambda ts: [[0.0] * 4 for _ in ts])
+    assert fixed == r.chunks_failed and st.quarantined("documents") is None
+    assert st.read("documents").count() == r.chunks
+
+
+def test_resume_uses_own_collection_stage(spark, tmp_dir):
+    st = CollectionStore(spark, os.path.join(tmp_dir, "store"))
+    chunks = spark.createDataFrame([("d1", "d1#0", "alpha beta", 2)], "doc_id string, chunk_id string, text string, n_tokens int")
+    st.stage(chunks, "emails", run_id="leftover")
+    r = ingest(_docs(spark, 5), st, "documents", settings=S)
+    assert r.resumed_run is None and st.staged_runs("emails") == ["leftover"]
+    r2 = ingest(_docs(spark, 5), st, "emails", settings=S)
+    assert r2.resumed_run == "leftover" and st.read("emails").count() == 1
+
+
+def test_ask_end_to_end(spark, tmp_dir):
+    st = CollectionStore(spark, os.path.join(tmp_dir, "store"))
+    ingest(_docs(spark), st, "documents", settings=S, chunker="window")
+    qs = spark.read.parquet(f"{SF001}/benchmark.parquet").where("item_id < 3").select(
+        F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    out = ask(qs, st, "documents", completer=lambda ps: [f"n={len(p)}" for p in ps], settings=S).collect()
+    assert len(out) == 3
+    for r in out:
+        assert r.answer.startswith("n=") and len(r.sources) == S.top_k
+        assert [s["rank"] for s in r.sources] == list(range(1, S.top_k + 1))
+        assert r.prompt.startswith("Context information is below.")
