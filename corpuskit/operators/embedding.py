@@ -118,13 +118,26 @@ def embed(df: DataFrame, embedder, text_col: str = "text", out_col: str = "embed
 _TERM = regex.compile(r"[\p{L}\p{N}]+")
 
 
+_BUCKETS: dict = {}
+_BUCKET_CACHE_MAX = 1 << 20
+
+
 def hash_counts(text: str, dim: int) -> np.ndarray:
-    """Per-bucket term counts of one text (bucket = md5 prefix, 32 bits, mod ``dim``)."""
+    """Per-bucket term counts of one text (bucket = md5 prefix, 32 bits, mod ``dim``).
+    Buckets of seen terms are memoised per worker process (bounded)."""
     terms = _TERM.findall(text.lower()) if text else []
+    cache = _BUCKETS.setdefault(dim, {})
+    get = cache.get
     md5 = hashlib.md5
-    b = np.fromiter((int.from_bytes(md5(t.encode("utf-8")).digest()[:4], "big") % dim for t in terms),
-                    dtype=np.int64, count=len(terms))
-    return np.bincount(b, minlength=dim).astype(np.float64)
+    out = []
+    for t in terms:
+        b = get(t)
+        if b is None:
+            b = int.from_bytes(md5(t.encode("utf-8")).digest()[:4], "big") % dim
+            if len(cache) < _BUCKET_CACHE_MAX:
+                cache[t] = b
+        out.append(b)
+    return np.bincount(np.asarray(out, dtype=np.int64), minlength=dim).astype(np.float64)
 
 
 def hash_unit_vector(text: str, dim: int) -> np.ndarray:

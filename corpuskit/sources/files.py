@@ -19,7 +19,7 @@ def _ext_pattern(exts) -> str:
 
 def read_text_files(spark: SparkSession, path: str | None) -> DataFrame:
     """One document per readable file under ``path`` (recursive, case-insensitive
-    extension filter). A missing path is an error; no files gives an empty table.
+    extension filter; a single file path is taken as is). A missing path is an error; no files gives an empty table.
     Output: ``doc_id, text, file_path, page, source_type``."""
     if not path:
         raise ValueError("read_text_files needs a file or directory path")
@@ -29,11 +29,12 @@ def read_text_files(spark: SparkSession, path: str | None) -> DataFrame:
     if not fs.exists(hpath):
         raise FileNotFoundError(f"path not found: {path}")
     schema = "doc_id string, text string, file_path string, page string, source_type string"
-    if fs.getFileStatus(hpath).isFile():
-        df = spark.read.text(path, wholetext=True)
-    else:
-        df = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    files = df.select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("uri"))
+    # one row per file; zero-length files get no input split in Spark and yield no
+    # document (they would give no chunk either)
+    reader = spark.read.format("binaryFile")
+    if not fs.getFileStatus(hpath).isFile():
+        reader = reader.option("recursiveFileLookup", "true")
+    files = reader.load(path).select(F.col("content").cast("string").alias("text"), F.col("path").alias("uri"))
     if fs.getFileStatus(hpath).isDirectory():
         files = files.where(F.col("uri").rlike(_ext_pattern(READABLE_EXTENSIONS)))
     local = F.regexp_replace(F.col("uri"), r"^file:(//)?", "")

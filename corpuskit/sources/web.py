@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuskit.functions.html import html_links, html_text, html_title
 from corpuskit.functions.ids import web_doc_id
 from corpuskit.functions.text import render_web_text, url_slug
+from corpuskit.functions.tokens import let
 
 # The reference's rule for essay links (no slash, ends in .html).
 ESSAY_LINK = r"^[^/]*\.html$"
@@ -19,11 +20,14 @@ def read_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     body = html_text(F.col(html))
     title = html_title(F.col(html))
     keep = [c for c in pages.columns if c not in (url, html)]
-    out = pages.select(*keep, F.col(url).alias("url"), title.alias("title"), body.alias("_body"))
-    return (out.where(F.col("_body").rlike(r"\S"))
-               .select(*keep, web_doc_id(F.col("url")).alias("doc_id"), "url", url_slug(F.col("url")).alias("slug"),
-                       "title", render_web_text(F.col("title"), F.col("_body")).alias("text"),
-                       F.lit("paulgraham").alias("source_type")))
+    # The blank test (F2) is applied after a generator: a plain filter on the computed
+    # text would be pushed below the projection and run the regex chain twice.
+    page = let(body, lambda b: F.when(b.rlike(r"\S"), F.array(F.struct(title.alias("title"), b.alias("body")))))
+    out = (pages.select(*keep, F.col(url).alias("url"), F.explode_outer(page).alias("_p"))
+                .where(F.col("_p").isNotNull()))
+    return out.select(*keep, web_doc_id(F.col("url")).alias("doc_id"), "url", url_slug(F.col("url")).alias("slug"),
+                      F.col("_p.title").alias("title"), render_web_text(F.col("_p.title"), F.col("_p.body")).alias("text"),
+                      F.lit("paulgraham").alias("source_type"))
 
 
 def web_metadata(docs: DataFrame) -> DataFrame:
