@@ -71,13 +71,16 @@ def window_chunks(docs: DataFrame, size: int = DEFAULT_CHUNK_SIZE, overlap: int
 
 # ---------------------------------------------------------------- sentence-aware (G1)
 
-_TOKEN_RE = re.compile(r"\S+")
+# Whitespace is the ASCII set that Java's and RE2's ``\s`` match, so token counts agree
+# with the native ``n_tokens`` column and with SQL engines.
+_WS = " \t\n\x0b\f\r"
+_TOKEN_RE = re.compile(f"[^{_WS}]+")
 # Split points, from coarse to fine; a piece ends right after a match.
 _LEVELS = [
-    re.compile(r"\n\n\n+"),                               # paragraphs
-    re.compile(r"(?:[.!?]+[\"')\]]*\s+|。\s*)"),          # sentences
-    re.compile(r"[,.;:!?。，；！？]+\s*"),                 # clauses
-    re.compile(r"\S+\s*"),                                # words
+    re.compile(r"\n\n\n+"),                                          # paragraphs
+    re.compile(f"(?:[.!?]+[\"')\\]]*[{_WS}]+|。[{_WS}]*)"),          # sentences
+    re.compile(f"[,.;:!?。，；！？]+[{_WS}]*"),                           # clauses
+    re.compile(f"[^{_WS}]+[{_WS}]*"),                                   # words
 ]
 
 
@@ -126,7 +129,7 @@ def pack_chunks(text: str, size: int = DEFAULT_CHUNK_SIZE, overlap: int = DEFAUL
         cur_n += n
     if cur_n > 0:
         chunks.append("".join(p for p, _ in cur))
-    return [c.strip() for c in chunks if c.strip()]
+    return [c.strip(_WS) for c in chunks if c.strip(_WS)]
 
 
 def _sentence_udf(size: int, overlap: int):

@@ -106,6 +106,9 @@ def first_token_latency(events: DataFrame, response: str = "response_id", ts: st
             F.min(F.col(start) if start else F.col(ts)).alias("start_ts"),
             F.min(F.when(nonblank, F.col(ts))).alias("first_ts")]
     keys = [response] + ([model] if model else [])
+    if model:
+        # only requests whose model is known are measured
+        events = events.where(F.col(model).isNotNull())
     out = events.groupBy(*keys).agg(*aggs)
     ms = F.expr("timestampdiff(MICROSECOND, start_ts, first_ts)") / F.lit(1000.0)
     return out.withColumn("ttft_ms", ms.cast("double"))

@@ -140,14 +140,17 @@ class IvfIndex:
 
 
 def build_ivf(corpus: DataFrame, n_cells: int | None = None, c_id: str = "chunk_id",
-              c_vec: str = "embedding", seed: int = 7, max_iter: int = 20) -> IvfIndex:
+              c_vec: str = "embedding", seed: int = 7, max_iter: int = 10, max_cells: int = 4096) -> IvfIndex:
+    """Train k-means cells over the whole corpus (MLlib, one distributed pass per
+    iteration) and tag every chunk with its cell. ``n_cells`` defaults to sqrt(N), capped
+    at ``max_cells`` so the centroid table sent to every probing task stays bounded."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     c = corpus.select(F.col(c_id).alias("cid"), F.col(c_vec).cast("array<double>").alias("cv")) \
         .where(F.col("cv").isNotNull())
     if n_cells is None:
-        n_cells = max(1, int(math.sqrt(c.count())))
+        n_cells = min(max_cells, max(1, int(math.sqrt(c.count()))))
     data = c.withColumn("features", array_to_vector("cv"))
     model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="features",
                    predictionCol="cell").fit(data)

@@ -181,7 +181,7 @@ def q_exact_top_k(spark, d):
 
 def q_approx_top_k(spark, d):
     index = build_ivf(table(spark, d, "embeddings"), c_id="vec_id")
-    hits = approx_top_k(_questions(spark, d), index, TOP_K, n_probe=4)
+    hits = approx_top_k(_questions(spark, d), index, TOP_K, n_probe=12)
     return _ranked_out(hits.withColumnRenamed("chunk_id", "vec_id"))
 
 

@@ -302,3 +302,70 @@ ORACLE["canonical_collection"] = """SELECT name,
        CASE WHEN lower(name) IN ('emails', 'email') THEN 'email'
             WHEN lower(name) IN ('paulgraham', 'paul_graham', 'pg') THEN 'web' ELSE 'text' END AS kind
 FROM (SELECT source AS name FROM documents UNION SELECT role FROM conversations)"""
+
+
+# ------------------------------------------------------------------ sentence chunks (G1)
+# Written from the G1 specification: lossless splits (a marker after every split point),
+# levels applied only to pieces over the size, then a recursive greedy packing in which
+# the carried overlap is the smallest suffix start whose token sum fits the overlap and
+# leaves room for the next piece.
+_WS = " \\t\\n\\x0b\\f\\r"
+_TOK = f"[^{_WS}]+"
+_G1_LEVELS = [r"\n\n\n+", f"(?:[.!?]+[\"')\\]]*[{_WS}]+|。[{_WS}]*)", f"[,.;:!?。，；！？]+[{_WS}]*",
+              f"[^{_WS}]+[{_WS}]*"]
+
+
+def _ntok(x: str) -> str:
+    return f"len(regexp_extract_all({x}, {_q(_TOK)}))"
+
+
+def _split_level(src: str, pat: str) -> str:
+    parts = f"list_filter(string_split(regexp_replace(piece, {_q('(' + pat + ')')}, '\\1' || chr(2), 'g'), chr(2)), lambda s: s <> '')"
+    return f"""SELECT doc_id, piece, ord FROM {src} WHERE {_ntok('piece')} <= {SIZE}
+    UNION ALL
+    SELECT doc_id, piece, list_append(ord, i) AS ord FROM (
+        SELECT doc_id, ord, unnest(parts) AS piece, generate_subscripts(parts, 1) AS i
+        FROM (SELECT doc_id, ord, {parts} AS parts FROM {src} WHERE {_ntok('piece')} > {SIZE}))"""
+
+
+def _sentence_sql() -> str:
+    levels = ",\n".join(f"g{i + 1} AS ({_split_level(f'g{i}', p)})" for i, p in enumerate(_G1_LEVELS))
+    text_of = "array_to_string(list_transform({x}, lambda e: e.t), '')"
+    return f"""WITH RECURSIVE g0 AS (SELECT doc_id, coalesce(text, '') AS piece, [1] AS ord FROM documents),
+{levels},
+units AS (SELECT doc_id, piece, CAST({_ntok('piece')} AS BIGINT) AS n,
+                 row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS idx FROM g4),
+nunits AS (SELECT doc_id, max(idx) AS cnt FROM units GROUP BY doc_id),
+pack(doc_id, idx, cur, cur_n, emitted) AS (
+    SELECT doc_id, CAST(0 AS BIGINT), CAST([] AS STRUCT(t VARCHAR, n BIGINT)[]), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR)
+    FROM nunits
+    UNION ALL
+    SELECT doc_id, idx + 1,
+           CASE WHEN closes THEN list_append(CASE WHEN j IS NULL THEN CAST([] AS STRUCT(t VARCHAR, n BIGINT)[])
+                                                  ELSE list_slice(cur, j, len(cur)) END, {{'t': piece, 'n': n}})
+                ELSE list_append(cur, {{'t': piece, 'n': n}}) END,
+           CASE WHEN closes THEN coalesce(ss[j], 0) + n ELSE cur_n + n END,
+           CASE WHEN closes THEN {text_of.format(x='cur')} END
+    FROM (SELECT *, CASE WHEN closes THEN list_filter(range(1, len(cur) + 1),
+                         lambda k: ss[k] <= {OVERLAP} AND ss[k] + n <= {SIZE})[1] END AS j
+          FROM (SELECT *, CASE WHEN closes THEN list_transform(range(1, len(cur) + 1),
+                         lambda k: list_sum(list_transform(list_slice(cur, k, len(cur)), lambda e: e.n))) END AS ss
+                FROM (SELECT p.doc_id, p.idx, p.cur, p.cur_n, u.piece, u.n,
+                             (p.cur_n + u.n > {SIZE} AND p.cur_n > 0) AS closes
+                      FROM pack p JOIN units u ON u.doc_id = p.doc_id AND u.idx = p.idx + 1)))
+),
+emits AS (SELECT doc_id, idx AS pos, emitted AS chunk FROM pack WHERE emitted IS NOT NULL
+          UNION ALL
+          SELECT p.doc_id, p.idx + 1, {text_of.format(x='p.cur')} FROM pack p
+          JOIN nunits c ON c.doc_id = p.doc_id AND p.idx = c.cnt WHERE p.cur_n > 0),
+stripped AS (SELECT doc_id, pos, regexp_replace(chunk, {_q(f'^[{_WS}]+|[{_WS}]+$')}, '', 'g') AS t FROM emits),
+final AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS chunk_index
+          FROM stripped WHERE t <> '')
+SELECT CAST(doc_id AS VARCHAR) || '#' || CAST(chunk_index AS VARCHAR) AS chunk_id, doc_id,
+       CAST(chunk_index AS INTEGER) AS chunk_index,
+       CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS n_chunks,
+       CAST({_ntok('t')} AS INTEGER) AS n_tokens, sha1(t) AS text_sha1
+FROM final"""
+
+
+ORACLE["sentence_chunks"] = _sentence_sql()

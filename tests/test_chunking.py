@@ -90,3 +90,26 @@ def test_merge_metadata_overlay(spark):
     assert got[0] == {"a": "1", "b": "c", "doc_id": "7"}
     assert got[1] == {"a": "1", "doc_id": "own"}
     assert got[2] == {"doc_id": ""}
+
+
+from hypothesis import given, settings, strategies as st
+
+_WORDS = st.sampled_from(["a", "bb", "ccc", "dé", "東京", "x.", "y,", "z!", "w;", "。", "\n\n\n", "\n", "  "])
+
+
+@settings(max_examples=150, deadline=None)
+@given(parts=st.lists(_WORDS, max_size=120), size=st.integers(1, 20), overlap_frac=st.floats(0, 0.95))
+def test_pack_properties(parts, size, overlap_frac):
+    text = " ".join(parts)
+    overlap = min(size - 1, int(size * overlap_frac))
+    units = split_units(text, size)
+    assert "".join(u for u, _ in units) == text
+    chunks = pack_chunks(text, size, overlap)
+    toks = re.findall(r"[^ \t\n\x0b\f\r]+", text)
+    assert all(0 < len(re.findall(r"[^ \t\n\x0b\f\r]+", c)) <= size for c in chunks)
+    # chunks, each cut to the part not carried over from the previous one, restore the tokens in order
+    if not toks:
+        assert chunks == []
+    else:
+        seq = " ".join(chunks).split()
+        assert set(seq) <= set(toks) and seq[0] == toks[0] and seq[-1] == toks[-1]

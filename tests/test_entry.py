@@ -11,7 +11,7 @@ def test_entry_runs_on_smoke_data(spark):
 def test_every_query_registered_with_oracle_or_test():
     qs, oracle = E.queries(), E.oracle_sql()
     assert set(oracle) <= set(qs)
-    assert set(qs) - set(oracle) == {"sentence_chunks", "approx_top_k"}
+    assert set(qs) - set(oracle) == {"approx_top_k"}
 
 
 def test_registered_queries_run_on_smoke_data(spark):
