@@ -20,7 +20,7 @@ from corpuskit.operators.latency import (first_token_latency, model_latency, mod
 from corpuskit.operators.prompts import answer_batch, build_prompts, chat_messages
 from corpuskit.operators.report import ingest_report
 from corpuskit.operators.search import approx_top_k, build_ivf, exact_top_k
-from corpuskit.session import ship_package
+from corpuskit.session import ship_package, spread
 from corpuskit.sources.mail import list_folders, parse_mail, raw_mail_from_turns, select_mail
 from corpuskit.sources.web import extract_links, read_pages
 
@@ -31,9 +31,13 @@ TOP_K = 5
 PROMPT_K = 8
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, row_local: bool = False) -> DataFrame:
+    """Scan a driver table. ``row_local``: CPU-heavy row-local work (regex, hashing,
+    parsing) follows the scan with no shuffle in between, so spread a scan with fewer
+    splits than task slots (a no-op on large inputs)."""
     ship_package(spark)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if row_local else df
 
 
 def _sha(c) -> F.Column:
@@ -55,7 +59,7 @@ def q_skip_existing(spark, d):
 
 def q_file_doc_ids(spark, d):
     # documents stand for files: path = source, page = doc_id (0 reads as no page)
-    docs = table(spark, d, "documents")
+    docs = table(spark, d, "documents", row_local=True)
     label = page_label(F.col("doc_id"))
     return docs.select("doc_id", file_doc_id(F.col("source"), label, F.col("text")).alias("file_doc_id"),
                        label.alias("page"))
@@ -66,7 +70,7 @@ def q_ingest_report(spark, d):
 
 
 def _chunks(spark, d):
-    return window_chunks(table(spark, d, "documents"))
+    return window_chunks(table(spark, d, "documents", row_local=True))
 
 
 def q_window_chunks(spark, d):
@@ -75,7 +79,7 @@ def q_window_chunks(spark, d):
 
 
 def q_sentence_chunks(spark, d):
-    return sentence_chunks(table(spark, d, "documents")).select(
+    return sentence_chunks(table(spark, d, "documents", row_local=True)).select(
         "chunk_id", "doc_id", "chunk_index", "n_chunks", "n_tokens", _sha("text").alias("text_sha1"))
 
 
@@ -96,16 +100,16 @@ def q_merge_metadata(spark, d):
 # ------------------------------------------------------------------ web pages
 
 def q_page_title(spark, d):
-    return table(spark, d, "pages").select("page_id", html_title(F.col("html")).alias("title"))
+    return table(spark, d, "pages", row_local=True).select("page_id", html_title(F.col("html")).alias("title"))
 
 
 def q_page_text(spark, d):
-    t = table(spark, d, "pages").select("page_id", html_text(F.col("html")).alias("t"))
+    t = table(spark, d, "pages", row_local=True).select("page_id", html_text(F.col("html")).alias("t"))
     return t.select("page_id", _sha("t").alias("text_sha1"), F.length("t").cast("bigint").alias("n_chars"))
 
 
 def q_page_documents(spark, d):
-    return read_pages(table(spark, d, "pages")).select(
+    return read_pages(table(spark, d, "pages", row_local=True)).select(
         "page_id", "doc_id", "slug", "title", _sha("text").alias("text_sha1"))
 
 
@@ -156,7 +160,7 @@ def q_mail_folders(spark, d):
 # ------------------------------------------------------------------ vectors and search
 
 def q_hash_embed(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = table(spark, d, "documents", row_local=True).select("doc_id", "text")
     v = hash_embed(docs, "text", "v", HASH_DIM, as_float=False)
     return (v.select("doc_id", F.posexplode_outer("v").alias("bucket", "w")).where(F.col("w") > 0)
              .select("doc_id", "bucket", F.round("w", 6).alias("weight")))

@@ -102,3 +102,15 @@ def ship_package(spark: SparkSession) -> None:
                     zf.write(full, os.path.relpath(full, os.path.dirname(root)))
     sc.addPyFile(target)
     _SHIPPED.add(sc.applicationId)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition a *scan* that yields fewer partitions than task slots.
+
+    Row-local work (chunking, hashing, html, mail parsing) runs one task per input
+    split; a small file with one row group would run it on one core. On a large input
+    the scan already has many splits and this is a no-op. Call it on scans only: asking
+    a plan with exchanges for its partition count would run those exchanges.
+    """
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
