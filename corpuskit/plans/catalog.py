@@ -20,7 +20,7 @@ from corpuskit.operators.latency import (first_token_latency, model_latency, mod
 from corpuskit.operators.prompts import answer_batch, build_prompts, chat_messages
 from corpuskit.operators.report import ingest_report
 from corpuskit.operators.search import approx_top_k, build_ivf, exact_top_k
-from corpuskit.session import ship_package, spread
+from corpuskit.session import cut_lineage, ship_package, spread
 from corpuskit.sources.mail import list_folders, parse_mail, raw_mail_from_turns, select_mail
 from corpuskit.sources.web import extract_links, read_pages
 
@@ -198,10 +198,17 @@ def corpus_chunks(spark, d):
 
 def _retrieve(spark, d, k):
     chunks = corpus_chunks(spark, d)
-    hits = exact_top_k(_questions(spark, d), chunks, k)
+    # The hits (questions x k rows) are read twice below: checkpointed once into the
+    # shared checkpoint folder instead of running the search twice.
+    hits = cut_lineage(exact_top_k(_questions(spark, d), chunks, k))
+    # Late materialisation: only documents that own a hit are re-chunked for text and
+    # metadata. Hit documents are at most questions x k (the question count is checked
+    # in exact_top_k), so that id set is broadcast; a hit's document is a dedupe winner.
+    hit_docs = hits.select(F.element_at(F.split("chunk_id", "#"), 1).cast("bigint").alias("doc_id")).distinct()
+    owners = table(spark, d, "documents").join(F.broadcast(hit_docs), "doc_id", "left_semi")
     meta = F.create_map(F.lit("source_type"), F.lit("document"), F.lit("file_path"), F.col("source"))
-    info = chunks.select("chunk_id", "doc_id", "text", "n_tokens", meta.alias("metadata"))
-    return hits.join(info, "chunk_id")  # k rows per question against the chunk table
+    info = window_chunks(owners).select("chunk_id", "doc_id", "text", "n_tokens", meta.alias("metadata"))
+    return hits.join(info, "chunk_id")
 
 
 def q_retrieve_sources(spark, d):

@@ -64,9 +64,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
+    """Reliable checkpoint into the shared checkpoint folder (survives executor loss).
+
+    The input is persisted for the duration of the checkpoint: a reliable checkpoint
+    otherwise computes its input twice (once for the job, once for the write). Partitioning
+    and row order are kept, which ``model_latency`` relies on.
+    """
+    from pyspark import StorageLevel
+
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
