@@ -104,12 +104,16 @@ def exact_top_k(questions: DataFrame, corpus: DataFrame, k: int = DEFAULT_TOP_K,
     q = questions.select(F.col(q_id).alias("qid"), F.col(q_vec).cast("array<double>").alias("qv"))
     c = corpus.select(F.col(c_id).alias("cid"), F.col(c_vec).alias("cv"))
     qtype, ctype = q.schema["qid"].dataType, c.schema["cid"].dataType
-    n_q = q.count()  # size check of the side that is shipped to every task
-    n_blocks = max(1, math.ceil(n_q / max_block))
+    # Size check of the side shipped to every task: one pass fetches at most one block
+    # more than allowed; only an overflow falls back to hashed blocks (one scan each).
+    first = q.limit(max_block + 1).toPandas()
+    if len(first) <= max_block:
+        blocks = [first]
+    else:
+        n_blocks = max(2, math.ceil(q.count() / max_block))
+        blocks = (q.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b).toPandas() for b in range(n_blocks))
     parts = []
-    for b in range(n_blocks):
-        blk = q if n_blocks == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b)
-        pdf = blk.toPandas()
+    for pdf in blocks:
         pdf = pdf[pdf["qv"].notna()]
         if len(pdf) == 0:
             continue
