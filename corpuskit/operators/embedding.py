@@ -150,8 +150,10 @@ def _hash_udf(dim: int):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def vec(texts: pd.Series) -> pd.Series:
         return pd.Series([hash_unit_vector(t, dim) for t in texts])
-    # evaluated once per row: never inlined into pushed-down filters or merged projections
-    return vec.asNondeterministic()
+    # Deterministic, so a retried task after an executor loss recomputes the same rows.
+    # Callers keep it evaluated once: no filter on the vector column (a pushed-down filter
+    # would call it again) and outer generators (no inferred size filter).
+    return vec
 
 
 def hash_embed(df: DataFrame, text_col: str = "text", out_col: str = "embedding", dim: int = 64,

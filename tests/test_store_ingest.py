@@ -84,3 +84,22 @@ def test_ask_end_to_end(spark, tmp_dir):
         assert r.answer.startswith("n=") and len(r.sources) == S.top_k
         assert [s["rank"] for s in r.sources] == list(range(1, S.top_k + 1))
         assert r.prompt.startswith("Context information is below.")
+
+
+def test_ask_approximate_and_model_budget(spark, tmp_dir):
+    st = CollectionStore(spark, os.path.join(tmp_dir, "store"))
+    ingest(_docs(spark), st, "documents", settings=S, chunker="window")
+    qs = spark.read.parquet(f"{SF001}/benchmark.parquet").where("item_id < 4").select(
+        F.col("item_id").alias("question_id"), F.col("text").alias("question"),
+        F.when(F.col("item_id") % 2 == 0, F.lit("anthropic/claude-opus-4-7")).otherwise(F.lit("other")).alias("model"))
+    out = ask(qs, st, "Documents".lower(), settings=S, approximate=True).collect()
+    assert len(out) == 4 and all(r.answer is None and r.tokens_used is None for r in out)
+    assert all(1 <= len(r.sources) <= S.top_k for r in out)
+
+
+def test_context_budget(spark):
+    from corpuskit.operators.prompts import context_budget
+    df = spark.createDataFrame([("anthropic/claude-sonnet-4-6",), ("x",), (None,)], "m string")
+    got = [r[0] for r in df.select(context_budget(F.col("m"))).collect()]
+    assert got == [200_000 - 1024, 128_000 - 1024, 128_000 - 1024]
+    assert df.select(context_budget(F.col("m"), local=True)).first()[0] == 4096 - 1024
