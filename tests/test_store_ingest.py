@@ -103,3 +103,14 @@ def test_context_budget(spark):
     got = [r[0] for r in df.select(context_budget(F.col("m"))).collect()]
     assert got == [200_000 - 1024, 128_000 - 1024, 128_000 - 1024]
     assert df.select(context_budget(F.col("m"), local=True)).first()[0] == 4096 - 1024
+
+
+def test_fresh_ingest_replaces_only_its_collection(spark, tmp_dir):
+    st = CollectionStore(spark, os.path.join(tmp_dir, "store"))
+    ingest(_docs(spark, 20), st, "documents", settings=S, chunker="window")
+    ingest(_docs(spark, 10), st, "other", settings=S, chunker="window")
+    n_other = st.read("other").count()
+    r = ingest(_docs(spark, 5), st, "documents", settings=S, chunker="window", fresh=True)
+    ids = {row.doc_id for row in st.read("documents").select("doc_id").distinct().collect()}
+    assert r.docs_new == len(ids) and all(int(i) < 5 for i in ids)
+    assert st.read("other").count() == n_other
