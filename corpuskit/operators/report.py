@@ -22,14 +22,16 @@ def ingest_report(docs: DataFrame, existing: DataFrame, size: int = DEFAULT_CHUN
     first = (docs.groupBy(F.sha1(F.col(text_col)).alias("_k"))
                  .agg(F.min(F.struct(F.col(id_col).alias("id"), F.col(text_col).alias("t"))).alias("_f"),
                       F.count("*").alias("_dup")))
+    # chunk counts are computed before the join, so only (id, count, copies) cross it
+    n_chunks = window_count(F.size(chunk_tokens(F.col("_f.t"))), size, overlap)
+    slim = first.select(F.col("_f.id").alias("_id"), n_chunks.alias("_nch"), "_dup")
     known = existing.select(F.col(id_col).alias("_id")).where(F.col("_id").isNotNull()).distinct() \
         .withColumn("_known", F.lit(True))
-    marked = first.join(known, F.col("_f.id") == F.col("_id"), "left")
-    n_chunks = window_count(F.size(chunk_tokens(F.col("_f.t"))), size, overlap)
+    marked = slim.join(known, "_id", "left")
     is_new = F.col("_known").isNull()
     return marked.agg(
         F.sum("_dup").cast("bigint").alias("docs_loaded"),
         F.count("*").cast("bigint").alias("docs_unique"),
         F.count("_known").cast("bigint").alias("docs_existing"),
         F.count_if(is_new).cast("bigint").alias("docs_new"),
-        F.coalesce(F.sum(F.when(is_new, n_chunks)), F.lit(0)).cast("bigint").alias("chunks"))
+        F.coalesce(F.sum(F.when(is_new, F.col("_nch"))), F.lit(0)).cast("bigint").alias("chunks"))
