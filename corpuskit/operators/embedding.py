@@ -184,6 +184,7 @@ def quarantine(embedded: DataFrame, out_col: str = "embedding"):
 
 
 def as_pandas_vectors(series: pd.Series) -> np.ndarray:
+    """Arrow list column (one vector per row, same length) as a float64 matrix."""
     if len(series) == 0:
         return np.zeros((0, 0))
-    return np.vstack([np.asarray(v, dtype=np.float64) for v in series.to_numpy()])
+    return np.stack(series.to_numpy()).astype(np.float64, copy=False)
