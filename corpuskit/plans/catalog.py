@@ -20,7 +20,8 @@ from corpuskit.operators.latency import (first_token_latency, model_latency, mod
 from corpuskit.operators.prompts import answer_batch, build_prompts, chat_messages
 from corpuskit.operators.report import ingest_report
 from corpuskit.operators.search import approx_top_k, build_ivf, exact_top_k
-from corpuskit.session import cut_lineage, ship_package, spread
+from corpuskit.session import cut_lineage, scratch_path, ship_package, spread
+from corpuskit.store import CollectionStore
 from corpuskit.sources.mail import list_folders, parse_mail, raw_mail_from_turns, select_mail
 from corpuskit.sources.web import extract_links, read_pages
 
@@ -290,6 +291,19 @@ def q_models_with_stats(spark, d):
 
 # ------------------------------------------------------------------ collections
 
+def q_stored_doc_ids(spark, d):
+    """K1 + S8 + K3/K4 through the real store: chunks of every document are written into
+    a fresh store (collection = source) under the checkpoint folder, then the distinct
+    stored ids are read back."""
+    import uuid
+
+    docs = table(spark, d, "documents", row_local=True).select(
+        F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("source").alias("collection"))
+    store = CollectionStore(spark, scratch_path(spark, f"store-{uuid.uuid4().hex[:12]}"))
+    store.append_many(window_chunks(docs).select("collection", "doc_id", "chunk_id", "chunk_index", "text"))
+    return store.stored_ids()
+
+
 def q_list_collections(spark, d):
     docs = table(spark, d, "documents")
     return (docs.groupBy(canonical_collection(F.col("source")).alias("collection"))
@@ -333,6 +347,7 @@ QUERIES = {
     "model_latency": q_model_latency,
     "model_latency_exact": q_model_latency_exact,
     "models_with_stats": q_models_with_stats,
+    "stored_doc_ids": q_stored_doc_ids,
     "list_collections": q_list_collections,
     "canonical_collection": q_canonical_collection,
 }

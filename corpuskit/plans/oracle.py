@@ -291,6 +291,9 @@ SELECT 'model-' || CAST(p_partkey AS VARCHAR) AS name,
        s.avg_ttft_ms, coalesce(s.runs, 0) AS runs
 FROM part LEFT JOIN stats s ON s.model = 'model-' || CAST(p_partkey AS VARCHAR)"""
 
+ORACLE["stored_doc_ids"] = """SELECT DISTINCT source AS collection, CAST(doc_id AS VARCHAR) AS doc_id
+FROM documents WHERE len(regexp_extract_all(text, '\\S+')) > 0"""
+
 ORACLE["list_collections"] = """SELECT CASE WHEN lower(source) IN ('emails', 'email') THEN 'emails'
             WHEN lower(source) IN ('paulgraham', 'paul_graham', 'pg') THEN 'paulgraham' ELSE source END AS collection,
        count(*) AS n_documents

@@ -77,6 +77,19 @@ class CollectionStore:
         chunks.withColumn("collection", F.lit(name)).write.mode("append") \
             .partitionBy("collection").parquet(self.data)
 
+    def append_many(self, chunks: DataFrame, collection_col: str = "collection") -> None:
+        """K1 for several collections in one write commit (rows carry their collection)."""
+        chunks.withColumnRenamed(collection_col, "collection").write.mode("append") \
+            .partitionBy("collection").parquet(self.data)
+
+    def stored_ids(self, id_col: str = "doc_id") -> DataFrame:
+        """K3 + K4 over all collections: distinct ``(collection, id)`` pairs."""
+        df = self.read()
+        if df is None:
+            return self.spark.createDataFrame([], f"collection string, {id_col} string")
+        return (df.where(F.col(id_col).isNotNull())
+                  .select("collection", F.col(id_col).cast("string").alias(id_col)).distinct())
+
     def replace(self, chunks: DataFrame, name: str) -> None:
         """K2 (fresh): the new data replaces the collection only once it is written: other
         collections are untouched (dynamic partition overwrite)."""
