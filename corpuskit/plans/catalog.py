@@ -125,7 +125,8 @@ def q_first_links(spark, d):
 # ------------------------------------------------------------------ mail
 
 def _raw_mail(spark, d):
-    return raw_mail_from_turns(table(spark, d, "conversations"))
+    # the mail parse (Python, row-local) follows this scan without a shuffle
+    return raw_mail_from_turns(table(spark, d, "conversations", row_local=True))
 
 
 def _known_mail_ids(spark, d):
