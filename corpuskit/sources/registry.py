@@ -5,26 +5,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from corpuskit import schemas
 from corpuskit.sources.files import read_text_files
 from corpuskit.sources.mail import parse_mail, read_mbox, select_mail
 from corpuskit.sources.web import read_pages
 
-REQUIRED = {"doc_id": T.StringType(), "text": T.StringType(), "source_type": T.StringType()}
+REQUIRED = ["doc_id", "text", "source_type"]
 _SOURCES: dict = {}
 
 
 def check_documents(df: DataFrame) -> DataFrame:
-    """Raise unless ``df`` has the documents columns with string types."""
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    missing = [c for c in REQUIRED if c not in fields]
-    if missing:
-        raise ValueError(f"documents table lacks columns {missing}")
-    wrong = [c for c, t in REQUIRED.items() if fields[c] != t]
-    if wrong:
-        raise TypeError(f"documents columns must be strings: {wrong}")
-    return df
+    """Raise unless ``df`` has the documents columns (string id, text, source type)."""
+    return schemas.check(df, schemas.DOCUMENTS, REQUIRED)
 
 
 def register(name: str, fn) -> None:

@@ -79,3 +79,14 @@ def test_extract_links_first_seen_distinct(spark):
     assert extract_links(df, limit=0).count() == 0
     based = [r.link for r in extract_links(df, base="https://base.com/").orderBy("pos").collect()]
     assert based[0] == "https://base.com/b.html"
+
+
+def test_schema_checker(spark):
+    from corpuskit import schemas
+    ok = spark.createDataFrame([("1", "t", "document", {"k": "v"})], schemas.DOCUMENTS)
+    assert schemas.check(ok, schemas.DOCUMENTS) is ok
+    with pytest.raises(TypeError):
+        schemas.check(spark.createDataFrame([(1, "t", "d")], "doc_id long, text string, source_type string"),
+                      schemas.DOCUMENTS, ["doc_id", "text"])
+    with pytest.raises(ValueError):
+        schemas.check(spark.range(1), schemas.MODEL_STATS)
