@@ -61,3 +61,22 @@ def test_answer_sources_ordered(spark):
                                  "question_id long, rank int, score double, chunk_id string, doc_id long, label string, snippet string")
     row = answer_sources(hits).first()
     assert [s["chunk_id"] for s in row.sources] == ["a", "b"]
+
+
+def test_approx_probing_all_cells_is_exact_with_hot_cell(spark):
+    rng = np.random.default_rng(11)
+    hot = rng.normal(size=(900, 6)) * 0.05 + 3.0   # a dense cluster holding 90 % of the rows
+    rest = rng.normal(size=(100, 6)) * 2.0
+    C = np.vstack([hot, rest]).astype(np.float32)
+    Q = rng.normal(size=(25, 6)) + 1.5
+    qs = spark.createDataFrame(pd.DataFrame({"question_id": np.arange(len(Q)), "embedding": list(Q)}))
+    cs = spark.createDataFrame(pd.DataFrame({"chunk_id": [f"c{i:04d}" for i in range(len(C))],
+                                             "embedding": list(C)}))
+    index = build_ivf(cs, n_cells=5)
+    sizes = sorted(r["count"] for r in index.cell_sizes.collect())
+    assert sizes[-1] > 100  # the hot cell is split into several salted groups below
+    got = approx_top_k(qs, index, 5, n_probe=5, max_group_rows=50).collect()
+    have = {}
+    for r in sorted(got, key=lambda r: (r.question_id, r["rank"])):
+        have.setdefault(r.question_id, []).append(r.chunk_id)
+    assert have == brute(Q, C.astype(np.float64), 5)
