@@ -22,7 +22,8 @@ from corpuskit.operators.report import ingest_report
 from corpuskit.operators.search import approx_top_k, build_ivf, exact_top_k
 from corpuskit.session import cut_lineage, scratch_path, ship_package, spread
 from corpuskit.store import CollectionStore
-from corpuskit.sources.mail import list_folders, parse_mail, raw_mail_from_turns, select_mail
+from corpuskit.sources.mail import (list_folders, parse_mail, raw_mail_from_turns, read_mbox, select_mail,
+                                    write_mbox)
 from corpuskit.sources.web import extract_links, read_pages
 
 MAIL_FOLDERS = ["user", "assistant", "system", "archive", "Sent"]
@@ -142,6 +143,18 @@ def q_mail_documents(spark, d):
                        _sha("text").alias("text_sha1"))
 
 
+def q_mbox_documents(spark, d):
+    """S1 + S2 + K5: the raw mail written as mbox text files into a fresh folder under the
+    checkpoint directory, scanned back with the splittable mbox reader and parsed."""
+    import uuid
+
+    raw = raw_mail_from_turns(table(spark, d, "conversations", row_local=True), extra_folder=None)
+    path = scratch_path(spark, f"mbox-{uuid.uuid4().hex[:12]}")
+    write_mbox(raw, path)
+    docs = parse_mail(read_mbox(spark, path))
+    return docs.select("doc_id", "subject", "folder", _sha("text").alias("text_sha1"))
+
+
 def _mail_select(spark, d, limit):
     out = select_mail(_raw_mail(spark, d), MAIL_FOLDERS, limit=limit, existing=_known_mail_ids(spark, d))
     return out.select("doc_id", "folder", "seq", "subject", _sha("text").alias("text_sha1"))
@@ -333,6 +346,7 @@ QUERIES = {
     "page_links": q_page_links,
     "first_links": q_first_links,
     "mail_documents": q_mail_documents,
+    "mbox_documents": q_mbox_documents,
     "mail_select": q_mail_select,
     "mail_newest": q_mail_newest,
     "mail_folders": q_mail_folders,

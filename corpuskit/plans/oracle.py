@@ -114,7 +114,7 @@ def _mail_raw() -> str:
 raw0 AS (SELECT role AS folder, conv_id * 1000 + turn AS seq, conv_id, turn, role, text FROM conversations
          UNION ALL
          SELECT 'archive', conv_id * 1000 + turn, conv_id, turn, role, text FROM conversations WHERE turn % 7 = 0),
-mail AS (SELECT folder, seq, conv_id, {mid} AS doc_id, role || ' ' || CAST(turn AS VARCHAR) AS subject,
+mail AS (SELECT folder, seq, conv_id, text AS src_text, {mid} AS doc_id, role || ' ' || CAST(turn AS VARCHAR) AS subject,
                 role || '@example.org' AS from_addr, role AS from_name, 'list@example.org' AS to_addr,
                 'Mon, 01 Jan 2024 00:00:00 +0000' AS date,
                 'Subject: ' || role || ' ' || CAST(turn AS VARCHAR) || chr(10) || 'From: \"' || role || '\" <' || role
@@ -238,6 +238,12 @@ SELECT page_id, pos, link FROM r WHERE rn <= 3"""
 ORACLE["mail_documents"] = f"""WITH {_mail_raw()}
 SELECT doc_id, doc_id AS message_id, subject, from_addr, from_name, to_addr, date, folder, sha1(text) AS text_sha1
 FROM mail"""
+ORACLE["mbox_documents"] = f"""WITH {_mail_raw()}
+SELECT doc_id, subject, 'mbox' AS folder,
+       sha1('Subject: ' || subject || chr(10) || 'From: "' || from_name || '" <' || from_addr || '>' || chr(10)
+            || 'To: list@example.org' || chr(10) || 'Date: ' || date || chr(10) || 'Folder: mbox' || chr(10) || chr(10)
+            || {_strip("regexp_replace(coalesce(src_text, ''), '(?m)^From ', '>From ', 'g')")}) AS text_sha1
+FROM mail WHERE folder <> 'archive'"""
 ORACLE["mail_select"] = _mail_select(None)
 ORACLE["mail_newest"] = _mail_select(50)
 ORACLE["mail_folders"] = f"""WITH {_mail_raw()}
