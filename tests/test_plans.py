@@ -30,3 +30,10 @@ def test_top_k_limits_before_shuffle(spark):
 def test_scan_prunes_columns(spark):
     plan = _plan(E.queries()["skip_existing"](spark, SF))
     assert "ReadSchema: struct<doc_id:bigint,lang:string,source:string,n_chars:bigint>" in plan
+
+
+def test_retrieval_materialises_late(spark):
+    plan = _plan(E.queries()["retrieve_sources"](spark, SF))
+    # hits come from the checkpoint; only hit-owning documents are re-chunked
+    assert "LeftSemi" in plan and "ExistingRDD" in plan
+    assert "partial_min" not in plan  # no second de-duplication shuffle on the text side
