@@ -98,3 +98,10 @@ def test_source_label_and_aliases(spark):
 def test_size_gb_half_even(spark):
     df = spark.createDataFrame([(1_250_000_000,), (1_350_000_000,), (0,)], "b long")
     assert [r[0] for r in df.select(X.size_gb(F.col("b"))).collect()] == [1.2, 1.4, 0.0]
+
+
+def test_html_text_mail_variant_keeps_head(spark):
+    html = "<html><head><title>T</title><style>x{}</style></head><body><p>b</p></body></html>"
+    df = spark.createDataFrame([(html,)], "h string")
+    assert df.select(H.html_text(F.col("h"), drop_head=False)).first()[0] == "T\nb"
+    assert df.select(H.html_text(F.col("h"))).first()[0] == "b"
