@@ -105,3 +105,13 @@ def test_html_text_mail_variant_keeps_head(spark):
     df = spark.createDataFrame([(html,)], "h string")
     assert df.select(H.html_text(F.col("h"), drop_head=False)).first()[0] == "T\nb"
     assert df.select(H.html_text(F.col("h"))).first()[0] == "b"
+
+
+def test_label_options_snippet_score_and_scalar_metadata(spark):
+    df = spark.createDataFrame([({"source_type": "paulgraham", "url": "https://u", "k": None}, None, "x" * 500)],
+                               "m map<string,string>, s double, t string")
+    r = df.select(X.source_label(F.col("m"), use_url=False).alias("old"), X.source_label(F.col("m")).alias("new"),
+                  X.default_score(F.col("s")).alias("score"), X.clip_snippet(F.col("t")).alias("snip"),
+                  X.scalar_metadata(F.col("m")).alias("meta")).first()
+    assert (r.old, r.new, r.score, len(r.snip)) == ("unknown", "https://u", 0.0, 400)
+    assert r.meta == {"source_type": "paulgraham", "url": "https://u"}
