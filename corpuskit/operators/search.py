@@ -137,10 +137,11 @@ def exact_top_k(questions: DataFrame, corpus: DataFrame, k: int = DEFAULT_TOP_K,
 class IvfIndex:
     """Cells (k-means centroids) and the chunk table tagged with its cell."""
 
-    def __init__(self, centroids: np.ndarray, cells: DataFrame, cell_sizes: DataFrame):
+    def __init__(self, centroids: np.ndarray, cells: DataFrame, cell_sizes: DataFrame, id_col: str = "chunk_id"):
         self.centroids = centroids
         self.cells = cells
         self.cell_sizes = cell_sizes
+        self.id_col = id_col
 
 
 def build_ivf(corpus: DataFrame, n_cells: int | None = None, c_id: str = "chunk_id",
@@ -163,7 +164,7 @@ def build_ivf(corpus: DataFrame, n_cells: int | None = None, c_id: str = "chunk_
     cent = np.vstack([np.asarray(x, dtype=np.float64) for x in model.clusterCenters()])
     cells = model.transform(data).select("cid", "cv", F.col("cell").cast("int").alias("cell"))
     sizes = cells.groupBy("cell").count()
-    return IvfIndex(cent, cells, sizes)
+    return IvfIndex(cent, cells, sizes, c_id)
 
 
 def approx_top_k(questions: DataFrame, index: IvfIndex, k: int = DEFAULT_TOP_K, n_probe: int = 4,
@@ -212,7 +213,7 @@ def approx_top_k(questions: DataFrame, index: IvfIndex, k: int = DEFAULT_TOP_K,
 
     hits = qs.groupBy("cell", "salt").cogroup(cs.groupBy("cell", "salt")).applyInPandas(score, schema)
     # A chunk lives in one cell, so (qid, cid) pairs are unique already.
-    return rank_hits(hits, k).select(F.col("qid").alias(q_id), F.col("cid").alias("chunk_id"),
+    return rank_hits(hits, k).select(F.col("qid").alias(q_id), F.col("cid").alias(index.id_col),
                                      "distance", "score", "rank")
 
 
