@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuskit.llm import oracle
+from corpuskit.llm.bpe import bpe_round_trip
+from corpuskit.llm.minhash_dedup import near_duplicates
 from corpuskit.llm.quality_rules import apply_policy, quality_ledger
 from corpuskit.session import ship_package
 
@@ -19,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def vocabulary_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = apply_policy(quality_ledger(docs))
@@ -28,9 +36,22 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "kept", F.col("failed").alias("failed_rules"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs, k=2, percent=80, lower=True)
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str, vocab_path: str | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_round_trip(docs, vocab_path or vocabulary_file("byte_bpe_multi_50k.tiktoken"))
+
+
 QUERIES = {
     "op6_quality_rules": op6_quality_rules,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLE = {
     "op6_quality_rules": oracle.QUALITY_RULES,
+    "op7_minhash_near_dedup": oracle.NEAR_DUPLICATES,
 }
