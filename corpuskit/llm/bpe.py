@@ -5,7 +5,7 @@ other, apostrophe that opens a contraction, white space by what follows it). Eac
 transition function over eight states; functions compose associatively, so the state before every code
 point comes from a blocked prefix scan over indices into the finite set of compositions. A token starts
 where (state, class) says so. Slices between starts are looked up in a cache of merged slices; only
-slices not seen before are merged, pair by pair, lowest rank first.
+slices not seen before are merged, pair by pair, lowest rank first, all of them together.
 
 Defined results: a null text is empty and has no tokens; bytes that are not UTF-8 are replaced by
 U+FFFD, as decoding to a string would; repeated rows are encoded one by one; extra columns stay. The
@@ -19,6 +19,7 @@ import hashlib
 import heapq
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -163,48 +164,109 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def merge_pairs(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of a slice: adjacent parts are merged, the lowest rank first and the leftmost among equals."""
-    whole = ranks.get(word)
-    if whole is not None:
-        return [whole]
+class PairTable:
+    """Which adjacent parts of a vocabulary merge, and to what: sorted (left, right) keys and merged ids."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pairs = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    pairs[left << 32 | right] = rank
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.none = 1 << 32
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Merged id of each pair; ``none`` where the pair does not merge."""
+        if not len(self.keys):
+            return np.full(len(left), self.none)
+        keys = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.merged[at], self.none)
+
+
+def merge_long(word: bytes, pairs: PairTable) -> list[int]:
+    """Ids of a long slice: a heap of mergeable pairs over linked parts."""
     n = len(word)
-    parts = [word[i:i + 1] for i in range(n)]
-    if n <= 48:
-        while True:
-            best, where = None, 0
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, where = rank, i
-            if best is None:
-                return [ranks[p] for p in parts]
-            parts[where:where + 2] = [parts[where] + parts[where + 1]]
-    # long slices: a heap of pairs over linked parts
+    ids = pairs.of_byte[np.frombuffer(word, np.uint8)].tolist()
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    lookup = dict(zip(pairs.keys.tolist(), pairs.merged.tolist(), strict=True))
     heap: list = []
 
     def offer(i):
         j = after[i]
-        if j < n and (rank := ranks.get(parts[i] + parts[j])) is not None:
-            heapq.heappush(heap, (rank, i, len(parts[i]), len(parts[j])))
+        if j < n and (rank := lookup.get(ids[i] << 32 | ids[j])) is not None:
+            heapq.heappush(heap, (rank, i, ids[i], ids[j]))
 
     for i in range(n):
         offer(i)
     while heap:
-        _, i, a, b = heapq.heappop(heap)
-        j = after[i] if parts[i] else n
-        if j >= n or len(parts[i]) != a or len(parts[j]) != b:
-            continue
-        parts[i] += parts[j]
-        parts[j] = b""
+        rank, i, left, right = heapq.heappop(heap)
+        j = after[i]
+        if ids[i] != left or j >= n or ids[j] != right:
+            continue  # one of the two has been merged meanwhile
+        ids[i], ids[j] = rank, -1
         after[i] = after[j]
         if after[i] < n:
             before[after[i]] = i
         if before[i] >= 0:
             offer(before[i])
         offer(i)
-    return [ranks[p] for p in parts if p]
+    return [x for x in ids if x >= 0]
+
+
+def merge_slices(slices: list[bytes], pairs: PairTable, long: int = 64) -> list[list[int]]:
+    """Ids of each slice. In each round every slice merges one pair: the one of lowest rank, the
+    leftmost among equals. All slices of a round are handled together; finished ones leave."""
+    out: list = [None] * len(slices)
+    short = []
+    for i, s in enumerate(slices):
+        if len(s) > long:
+            out[i] = merge_long(s, pairs)
+        else:
+            short.append(i)
+    owner = np.array(short, np.int64)
+    lengths = np.array([len(slices[i]) for i in short], np.int64)
+    ids = pairs.of_byte[np.frombuffer(b"".join(slices[i] for i in short), np.uint8)]
+    first = np.cumsum(lengths) - lengths
+
+    def ranks_at(places, last):
+        ranks = np.full(len(places), pairs.none)
+        inner = np.flatnonzero(~last)
+        ranks[inner] = pairs.rank(ids[places[inner]], ids[places[inner] + 1])
+        return ranks
+
+    is_last = np.zeros(len(ids), bool)
+    is_last[first + lengths - 1] = True
+    rank = ranks_at(np.arange(len(ids)), is_last)
+    while len(owner):
+        best = np.minimum.reduceat(rank << 24 | np.arange(len(ids)), first)
+        done = best >> 24 >= pairs.none
+        if done.any():
+            stops = first + lengths
+            for k in np.flatnonzero(done).tolist():
+                out[owner[k]] = ids[first[k]:stops[k]].tolist()
+            stay = np.repeat(~done, lengths)
+            ids, rank, is_last = ids[stay], rank[stay], is_last[stay]
+            owner, lengths = owner[~done], lengths[~done]
+            first = np.cumsum(lengths) - lengths
+            continue
+        at = best & 0xFFFFFF
+        ids[at] = best >> 24
+        is_last[at] = is_last[at + 1]
+        stay = np.ones(len(ids), bool)
+        stay[at + 1] = False
+        ids, rank, is_last = ids[stay], rank[stay], is_last[stay]
+        at -= np.arange(len(at))  # one part of every slice before has gone
+        lengths = lengths - 1
+        first = np.cumsum(lengths) - lengths
+        rank[at] = ranks_at(at, is_last[at])
+        prior = at[at > first] - 1
+        rank[prior] = pairs.rank(ids[prior], ids[prior + 1])
+    return out
 
 
 class SliceCache:
@@ -262,7 +324,14 @@ class Vocabulary:
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.begin = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self.cache = SliceCache(lambda new: [merge_pairs(s, self.ranks) for s in new])
+        self.pairs = PairTable(self.ranks)
+        self.cache = SliceCache(self._merge)
+
+    def _merge(self, new: list[bytes]) -> list[list[int]]:
+        whole = [self.ranks.get(s) for s in new]
+        todo = [s for s, k in zip(new, whole, strict=True) if k is None]
+        rest = chain.from_iterable(merge_slices(todo[i:i + 65_536], self.pairs) for i in range(0, len(todo), 65_536))
+        return [next(rest) if k is None else [k] for k in whole]
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, byte start of each id)."""

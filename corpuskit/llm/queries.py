@@ -6,6 +6,8 @@ the columns that the result carries from the operator's own output.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,8 @@ from corpuskit.llm import oracle
 from corpuskit.llm.bpe import bpe_round_trip
 from corpuskit.llm.minhash_dedup import near_duplicates
 from corpuskit.llm.quality_rules import apply_policy, quality_ledger
-from corpuskit.session import ship_package
+from corpuskit.llm.token_output import read_token_checksums, write_token_blocks
+from corpuskit.session import scratch_path, ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +30,13 @@ def vocabulary_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_token_output(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = scratch_path(spark, f"token-blocks-{uuid.uuid4().hex}")
+    write_token_blocks(docs, path, tokenizer_path or vocabulary_file("byte_bpe_50k.json"), vocab_size=50_257, end_id=2)
+    return read_token_checksums(spark, path).withColumnRenamed("id", "doc_id")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = apply_policy(quality_ledger(docs))
@@ -47,6 +57,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, vocab_path: str | None = Non
 
 
 QUERIES = {
+    "op5_token_output": op5_token_output,
     "op6_quality_rules": op6_quality_rules,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op10_byte_bpe": op10_byte_bpe,
