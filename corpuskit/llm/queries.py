@@ -15,6 +15,7 @@ from corpuskit.llm import oracle
 from corpuskit.llm.bpe import bpe_round_trip
 from corpuskit.llm.minhash_dedup import near_duplicates
 from corpuskit.llm.quality_rules import apply_policy, quality_ledger
+from corpuskit.llm.substring_dedup import kept_digests, repeated_spans
 from corpuskit.llm.token_output import read_token_checksums, write_token_blocks
 from corpuskit.session import scratch_path, ship_package
 
@@ -51,6 +52,11 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, k=2, percent=80, lower=True)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return kept_digests(docs, repeated_spans(docs, window=50))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str, vocab_path: str | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_round_trip(docs, vocab_path or vocabulary_file("byte_bpe_multi_50k.tiktoken"))
@@ -60,6 +66,7 @@ QUERIES = {
     "op5_token_output": op5_token_output,
     "op6_quality_rules": op6_quality_rules,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLE = {

@@ -57,15 +57,20 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range ``data[start:end]``."""
-    n = len(data)
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each range ``values[start:end]`` of 64-bit values."""
+    n = len(values)
     up, down = _POWERS.get(n + 1)
     total = np.zeros(n + 1, U64)
-    np.cumsum(_BYTE_VALUE[data] * up[:n], out=total[1:])
+    np.cumsum(values * up[:n], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte range ``data[start:end]``."""
+    return range_hashes(_BYTE_VALUE[data], starts, ends)
+
+
 class Piece:
     """Rows ``first:last`` of a batch: their bytes and where each text starts and ends."""
 
