@@ -64,3 +64,20 @@ c AS (SELECT a AS doc_id, min(b)::BIGINT AS component_id FROM reach GROUP BY a)
 SELECT c.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, c.doc_id = component_id AS kept
 FROM c LEFT JOIN n USING (doc_id)
 """
+
+LEAKS = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+dg AS (
+  SELECT doc_id, gram, count(*) AS found
+  FROM (SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' '))) AS gram FROM d)
+  GROUP BY ALL),
+ig AS (
+  SELECT item_id, gram, count(*) AS weight
+  FROM (SELECT item_id, unnest(list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' '))) AS gram FROM i)
+  GROUP BY ALL),
+t AS (SELECT item_id, sum(weight)::BIGINT AS total FROM ig GROUP BY item_id),
+m AS (
+  SELECT doc_id, item_id, sum(least(found, weight))::BIGINT AS matched FROM dg JOIN ig USING (gram) GROUP BY ALL)
+SELECT doc_id, item_id, matched, total FROM m JOIN t USING (item_id) WHERE 100 * matched >= 80 * total
+"""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corpuskit.llm import oracle
 from corpuskit.llm.bpe import bpe_round_trip
+from corpuskit.llm.decontaminate import leaks
 from corpuskit.llm.minhash_dedup import near_duplicates
 from corpuskit.llm.quality_rules import apply_policy, quality_ledger
 from corpuskit.llm.substring_dedup import kept_digests, repeated_spans
@@ -31,6 +32,11 @@ def vocabulary_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = scratch_path(spark, f"token-blocks-{uuid.uuid4().hex}")
@@ -63,6 +69,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, vocab_path: str | None = Non
 
 
 QUERIES = {
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_token_output": op5_token_output,
     "op6_quality_rules": op6_quality_rules,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
@@ -70,6 +77,7 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLE = {
+    "op4_benchmark_decontamination": oracle.LEAKS,
     "op6_quality_rules": oracle.QUALITY_RULES,
     "op7_minhash_near_dedup": oracle.NEAR_DUPLICATES,
 }
