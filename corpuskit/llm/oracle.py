@@ -81,3 +81,28 @@ m AS (
   SELECT doc_id, item_id, sum(least(found, weight))::BIGINT AS matched FROM dg JOIN ig USING (gram) GROUP BY ALL)
 SELECT doc_id, item_id, matched, total FROM m JOIN t USING (item_id) WHERE 100 * matched >= 80 * total
 """
+
+LINES = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) - 1 AS number
+  FROM documents WHERE text IS NOT NULL),
+p AS (SELECT * FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+f AS (SELECT line, min({'d': doc_id, 'n': number}) AS first, strlen(line) AS bytes FROM p GROUP BY line),
+c AS (SELECT * FROM f WHERE bytes >= 32),
+links AS (
+  SELECT x.line AS a, y.line AS b, x.first AS fa, y.first AS fb
+  FROM c x JOIN c y ON y.bytes BETWEEN x.bytes AND x.bytes + 2 AND x.line <> y.line
+  WHERE (y.bytes > x.bytes OR x.line < y.line) AND levenshtein(x.line, y.line) <= 2),
+near AS (
+  SELECT line, count(*) AS n, bool_or(other < own) AS later FROM (
+    SELECT a AS line, fa AS own, fb AS other FROM links UNION ALL SELECT b, fb, fa FROM links) GROUP BY line),
+v AS (
+  SELECT doc_id, number, CASE WHEN {'d': doc_id, 'n': number} <> first THEN 1 WHEN later THEN 2 ELSE 0 END AS verdict,
+         coalesce(n, 0) AS n_links
+  FROM p JOIN f USING (line) LEFT JOIN near USING (line))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (verdict = 1)::BIGINT AS n_equal,
+       count(*) FILTER (verdict = 2)::BIGINT AS n_near, sum(n_links)::BIGINT AS n_links,
+       coalesce(string_agg(number::VARCHAR, ',' ORDER BY number) FILTER (verdict > 0), '') AS removed
+FROM v GROUP BY doc_id
+"""

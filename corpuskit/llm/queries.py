@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from corpuskit.llm import oracle
 from corpuskit.llm.bpe import bpe_round_trip
 from corpuskit.llm.decontaminate import leaks
+from corpuskit.llm.line_dedup import line_report
 from corpuskit.llm.minhash_dedup import near_duplicates
 from corpuskit.llm.quality_rules import apply_policy, quality_ledger
 from corpuskit.llm.substring_dedup import kept_digests, repeated_spans
@@ -32,6 +33,11 @@ def vocabulary_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = line_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return report.withColumn("removed", F.array_join("removed", ","))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return leaks(docs, table(spark, sf_dir, "benchmark"))
@@ -69,6 +75,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, vocab_path: str | None = Non
 
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_token_output": op5_token_output,
     "op6_quality_rules": op6_quality_rules,
@@ -77,6 +84,7 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLE = {
+    "op2_line_dedup": oracle.LINES,
     "op4_benchmark_decontamination": oracle.LEAKS,
     "op6_quality_rules": oracle.QUALITY_RULES,
     "op7_minhash_near_dedup": oracle.NEAR_DUPLICATES,
