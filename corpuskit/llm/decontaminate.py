@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.functions.tokens import let
-from corpuskit.session import cut_lineage
+from corpuskit.llm.staging import staged
 
 SHINGLE = 5
 PERCENT = 80
@@ -95,7 +95,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
           item_text: str = "text") -> DataFrame:
     """(id_col, item_id, matched, total): documents that hold an item, with the weights found and in all."""
     item_rows = items.select(F.col(f"`{item_id}`").alias("item"), word_hashes(F.col(f"`{item_text}`")).alias("words"))
-    item_rows = cut_lineage(item_rows.where((F.size("words") >= SHINGLE) & F.col("item").isNotNull())
+    item_rows = staged(item_rows.where((F.size("words") >= SHINGLE) & F.col("item").isNotNull())
                             .withColumn("run", intact_run(F.size("words"))))
     whole = docs.select(F.col(f"`{id_col}`").alias("id"), word_hashes(F.col(f"`{text}`")).alias("words"))
     near = None
@@ -114,7 +114,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
         near = whole.limit(0).select("id", F.lit(None).cast(item_rows.schema["item"].dataType).alias("item"),
                                      F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("gram"))
     # shingles of the document near hits: each place once, however many hits brought it
-    grams = cut_lineage(near).distinct().groupBy("id", "item", "gram").agg(F.count(F.lit(1)).alias("found"))
+    grams = staged(near).distinct().groupBy("id", "item", "gram").agg(F.count(F.lit(1)).alias("found"))
     weights = item_rows.select("item", F.explode(_shingles(F.col("words"))).alias("gram")).groupBy("item", "gram").agg(
         F.count(F.lit(1)).alias("weight"))
     totals = weights.groupBy("item").agg(F.sum("weight").alias("total"))
@@ -133,7 +133,7 @@ def _hits(whole: DataFrame, items: DataFrame, size: int, step: int) -> DataFrame
     index = (items.select("item", F.size("words").alias("n"), F.posexplode(windows(F.col("words"), size, 1)).alias("off", "w"))
              .select("item", "n", "off", simhash(F.col("w"), size).alias("print_b"))
              .withColumn("key", F.explode(_blocks(F.col("print_b"), size))))
-    index = cut_lineage(index)
+    index = staged(index)
     if index.count() <= BROADCAST_ROWS:
         index = F.broadcast(index)
     # outer, so that no filter is inferred that would compute the windows twice

@@ -31,7 +31,8 @@ from pyspark.sql.types import (ArrayType, IntegerType, LongType, StringType, Str
 
 from corpuskit.llm.fm_index import FMIndex, reach_left
 from corpuskit.llm.textvec import U64, Words, mix, pieces, range_hashes, shingle_places, shingles
-from corpuskit.session import cut_lineage, ship_package
+from corpuskit.llm.staging import staged
+from corpuskit.session import ship_package
 
 WINDOW = 50
 GRAM = 8
@@ -223,25 +224,25 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     without any are left out. Ids are integers."""
     gram = min(gram, window)
     source = _source(docs, id_col, text)
-    sequences = cut_lineage(_sequences(source).where("id is not null"))
+    sequences = staged(_sequences(source).where("id is not null"))
     long = sequences.where(F.col("n_words") >= window)
-    origin = cut_lineage(long.groupBy("seq_a", "seq_b").agg(F.min("id").alias("origin")))
+    origin = staged(long.groupBy("seq_a", "seq_b").agg(F.min("id").alias("origin")))
     copies = long.join(origin, ["seq_a", "seq_b"]).where("id > origin").select("id", "seq_a", "n_words")
     first_ids = origin.select(F.col("origin").alias("id")).distinct()
 
     # every document that is not a copy, as runs of windows
-    runs = cut_lineage(_runs(source.join(first_ids, "id", "left_semi"), window, gram))
+    runs = staged(_runs(source.join(first_ids, "id", "left_semi"), window, gram))
     shared = runs.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
-    shared_runs = cut_lineage(runs.join(shared, "anchor"))
+    shared_runs = staged(runs.join(shared, "anchor"))
     owners = shared_runs.groupBy("anchor", "seg", "windows").agg(F.min("id").alias("id"))
     owned = shared_runs.join(owners, ["anchor", "seg", "windows", "id"]).groupBy("anchor", "seg", "windows", "id").agg(
         F.min(F.struct("first", "seq_a")).alias("place"))
     wanted = owned.groupBy("id").agg(F.collect_list(F.struct("place", "windows", "anchor", "seg")).alias("wanted"))
-    segments = cut_lineage(_segment_texts(source.join(wanted, "id").select("id", "text", "wanted"), window))
-    busy = cut_lineage(segments.groupBy("anchor").count().where(F.col("count") > hot).select("anchor"))
+    segments = staged(_segment_texts(source.join(wanted, "id").select("id", "text", "wanted"), window))
+    busy = staged(segments.groupBy("anchor").count().where(F.col("count") > hot).select("anchor"))
     plain = segments.join(busy, "anchor", "left_anti").select(
         "id", "anchor", "seg", F.lit(0).alias("at"), F.col("anchor").alias("key"), "words")
-    single = cut_lineage(_single_windows(segments.join(busy, "anchor", "left_semi"), window, gram))
+    single = staged(_single_windows(segments.join(busy, "anchor", "left_semi"), window, gram))
     paired = single.groupBy("anchor", "key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
     alike = single.join(paired.select("anchor", "key"), ["anchor", "key"]).join(
         segments.select("anchor", "seg", "id", "words"), ["anchor", "seg", "id"]).select(
@@ -252,13 +253,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     shards = max(1, -(-n_words // (5 * shard_words)))
     schema = StructType([StructField("anchor", LongType()), StructField("seg", LongType()),
                          StructField("from", IntegerType()), StructField("to", IntegerType())])
-    found = cut_lineage(
+    found = staged(
         indexed.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
         .groupBy("shard").applyInArrow(lambda table: _search_shard(table, window), schema)
         .groupBy("anchor", "seg").agg(F.collect_list(F.struct("from", "to")).alias("spans")))
 
     # a segment's first document loses what the index found; each later holder of it loses all
-    by_segment = cut_lineage(owners.withColumnRenamed("id", "owner").join(found, ["anchor", "seg"], "left"))
+    by_segment = staged(owners.withColumnRenamed("id", "owner").join(found, ["anchor", "seg"], "left"))
     from_to = lambda a, b: F.struct(F.col("seq_a"), a.cast("int").alias("from"), b.cast("int").alias("to"))
     first = F.col("first")
     lost = shared_runs.join(by_segment, ["anchor", "seg", "windows"]).select("id", F.explode(
