@@ -397,12 +397,13 @@ def bpe_decode(encoded: DataFrame, vocab_path: str, ids: str = "ids") -> DataFra
     return source.mapInArrow(run, schema)
 
 
-def bpe_round_trip(docs: DataFrame, vocab_path: str, text: str = "text") -> DataFrame:
+def bpe_round_trip(docs: DataFrame, vocab_path: str, text: str = "text", with_ids: bool = False) -> DataFrame:
     """``docs`` without the text, with ``n_tokens``, ``ids_sha256`` (ids as little-endian unsigned 32-bit
-    integers) and ``decoded_sha256`` (bytes decoded from the ids); ids do not leave the task."""
+    integers) and ``decoded_sha256`` (bytes decoded from the ids); ids leave the task only as a column."""
     keep, source, schema = _out(docs, text, [
         StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()),
-        StructField("decoded_sha256", StringType())])
+        StructField("decoded_sha256", StringType()),
+        *([StructField("ids", ArrayType(IntegerType(), False))] if with_ids else [])])
 
     def run(batches):
         vocab = vocabulary(vocab_path)
@@ -412,9 +413,10 @@ def bpe_round_trip(docs: DataFrame, vocab_path: str, text: str = "text") -> Data
                 data, at = vocab.decode(ids)
                 cuts = np.append(at, len(data))[bounds].tolist()
                 ids, where = ids.astype("<u4"), bounds.tolist()
+                column = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))]
                 yield pa.RecordBatch.from_arrays(
                     [c.slice(p.first, p.n_docs) for c in batch.columns[:len(keep)]] + [pa.array(np.diff(bounds))]
                     + [pa.array([hashlib.sha256(x[a:b]).hexdigest() for a, b in zip(y, y[1:], strict=False)])
-                       for x, y in ((ids, where), (data, cuts))], names=schema.fieldNames())
+                       for x, y in ((ids, where), (data, cuts))] + column * with_ids, names=schema.fieldNames())
 
     return source.mapInArrow(run, schema)

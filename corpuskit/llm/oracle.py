@@ -1,5 +1,9 @@
 """DuckDB statements for the registered queries of this subpackage."""
 
+from corpuskit.llm.license_scan import TEMPLATES
+
+_TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in sorted(TEMPLATES.items()))
+
 QUALITY_RULES = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text,
@@ -106,3 +110,39 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (verdict = 1)::BIGIN
        coalesce(string_agg(number::VARCHAR, ',' ORDER BY number) FILTER (verdict > 0), '') AS removed
 FROM v GROUP BY doc_id
 """
+
+LICENSES = r"""
+WITH low AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT doc_id, regexp_extract_all(t, '(?:[a-z0-9]|[^\x00-\x7F])+') AS w FROM low),
+l AS (
+  SELECT template, regexp_extract_all(translate(words, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '(?:[a-z0-9]|[^\x00-\x7F])+') AS w
+  FROM (VALUES """ + _TEMPLATE_ROWS + r""") AS v(template, words)),
+dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' '))) AS gram
+       FROM d),
+lg AS (SELECT DISTINCT template, unnest(list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' '))) AS gram
+       FROM l),
+t AS (SELECT template, count(*)::BIGINT AS total FROM lg GROUP BY template),
+m AS (SELECT doc_id, template, count(*)::BIGINT AS matched FROM dg JOIN lg USING (gram) GROUP BY ALL)
+SELECT doc_id, split_part(template, '/', 1) AS license, template, matched, total
+FROM m JOIN t USING (template) WHERE 100 * matched >= 80 * total
+"""
+
+TOKEN_COUNTS = r"""
+WITH d AS (
+  SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents),
+q AS (SELECT doc_id, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS gone, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS cut
+      FROM labels GROUP BY doc_id),
+c AS (
+  SELECT source, lang, 'words-1' AS tokenizer, coalesce(gone, 0) AS gone,
+         len(regexp_extract_all(CASE WHEN cut = 1 THEN string_split(text, chr(10))[1] ELSE text END,
+                                '[^\x20\x09-\x0D]+')) AS n
+  FROM d LEFT JOIN q USING (doc_id)
+  UNION ALL
+  SELECT source, lang, 'words-2', coalesce(gone, 0),
+         len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]'))
+  FROM d LEFT JOIN q USING (doc_id))
+SELECT source, lang, tokenizer, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens
+FROM c WHERE gone = 0 GROUP BY ALL
+"""

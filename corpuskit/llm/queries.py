@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from corpuskit.llm import oracle
 from corpuskit.llm.bpe import bpe_round_trip
 from corpuskit.llm.decontaminate import leaks
+from corpuskit.llm.license_scan import license_matches
 from corpuskit.llm.line_dedup import line_report
 from corpuskit.llm.minhash_dedup import near_duplicates
 from corpuskit.llm.quality_rules import apply_policy, quality_ledger
+from corpuskit.llm.secret_scan import scan_secrets
 from corpuskit.llm.substring_dedup import kept_digests, repeated_spans
+from corpuskit.llm.token_counts import TokenCounts, changes, run_tokens, word_tokens
 from corpuskit.llm.token_output import read_token_checksums, write_token_blocks
 from corpuskit.session import scratch_path, ship_package
 
@@ -33,11 +36,34 @@ def vocabulary_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_matches(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = line_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return report.withColumn("removed", F.array_join("removed", ","))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five batches over ``documents``: all counted by tokenizer words-1; all by words-2; documents labelled
+    toxic cut to their first line (revised count); documents of quality 0 deleted; the first one again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    labels = table(spark, sf_dir, "labels")
+    toxic = docs.join(labels.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    bad = docs.join(labels.where("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    text = F.col("text")
+    ledger = TokenCounts(spark, scratch_path(spark, f"token-counts-{uuid.uuid4().hex}"))
+    first = changes(docs, "insert", "words-1", word_tokens(text))
+    ledger.commit("load", first)
+    ledger.commit("words-2", changes(docs, "insert", "words-2", run_tokens(text)))
+    ledger.commit("toxic", changes(toxic, "revise", "words-1", word_tokens(F.substring_index(text, "\n", 1))))
+    ledger.commit("quality", changes(bad, "delete", "words-1", F.lit(0)).unionByName(
+        changes(bad, "delete", "words-2", F.lit(0))))
+    ledger.commit("load", first)
+    return ledger.totals()
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return leaks(docs, table(spark, sf_dir, "benchmark"))
@@ -64,6 +90,11 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, k=2, percent=80, lower=True)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select("doc_id", "begin", "size", F.sha2("finding", 256).alias("finding_sha256"), "score", "is_secret")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return kept_digests(docs, repeated_spans(docs, window=50))
@@ -75,16 +106,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, vocab_path: str | None = Non
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_line_dedup": op2_line_dedup,
+    "op3_token_counts": op3_token_counts,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_token_output": op5_token_output,
     "op6_quality_rules": op6_quality_rules,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_secret_scan": op8_secret_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLE = {
+    "op1_license_scan": oracle.LICENSES,
     "op2_line_dedup": oracle.LINES,
+    "op3_token_counts": oracle.TOKEN_COUNTS,
     "op4_benchmark_decontamination": oracle.LEAKS,
     "op6_quality_rules": oracle.QUALITY_RULES,
     "op7_minhash_near_dedup": oracle.NEAR_DUPLICATES,
