@@ -16,7 +16,7 @@ def _names(x) -> list:
     return list(x)
 
 
-def dedupe_first(df: DataFrame, key, order: Sequence[str] | str) -> DataFrame:
+def dedupe_first(df: DataFrame, key, order: Sequence[str] | str, order_is_unique: bool = False) -> DataFrame:
     """Keep the first row (smallest ``order``) of every ``key``.
 
     ``key`` is a column name, a list of names or a ``Column`` expression (e.g.
@@ -24,6 +24,10 @@ def dedupe_first(df: DataFrame, key, order: Sequence[str] | str) -> DataFrame:
     combined map-side, so a key that holds a third of all rows is reduced to one row
     per map task before the exchange. Unlike ``dropDuplicates``, which row survives
     is defined.
+
+    ``order_is_unique``: ``order`` is one column with a value of its own in every row (an id).
+    Then only (key, order) is aggregated, by hash, and the rows of the winners are kept by a
+    semi join, so wide columns are neither sorted nor shuffled for the aggregation.
     """
     order = _names(order)
     keys = _names(key)
@@ -36,6 +40,10 @@ def dedupe_first(df: DataFrame, key, order: Sequence[str] | str) -> DataFrame:
         else:
             key_cols.append(F.col(k))
             key_names.append(k)
+    if order_is_unique:
+        (only,) = order
+        winners = df.select(*key_cols, F.col(only)).groupBy(*key_names).agg(F.min(only).alias(only)).select(only)
+        return df.join(winners, only, "left_semi").select(*df.columns)
     rest = [c for c in df.columns if c not in order and c not in key_names]
     first = F.min(F.struct(*[F.col(c) for c in order + rest])).alias("_first")
     out = df.groupBy(*key_cols).agg(first)

@@ -13,15 +13,14 @@ from corpuskit.config import (CONTEXT_WINDOWS, DEFAULT_CONTEXT_WINDOW, DEFAULT_R
 from corpuskit.functions.tokens import chunk_tokens
 from corpuskit.operators.embedding import run_batched
 
-# The question-answering prompt layout (context, then the query).
+# The layout of a prompt: what was found, then the question.
 QA_TEMPLATE = (
-    "Context information is below.\n"
-    "---------------------\n"
+    "Use only the passages below to answer; say so if they do not hold the answer.\n\n"
+    "=== Passages ===\n"
     "{context}\n"
-    "---------------------\n"
-    "Given the context information and not prior knowledge, answer the query.\n"
-    "Query: {question}\n"
-    "Answer: "
+    "=== Question ===\n"
+    "{question}\n"
+    "=== Answer ===\n"
 )
 # Metadata keys never shown to the model for mail chunks.
 MAIL_HIDDEN_KEYS = ["message_id", "folder", "source_type"]
@@ -40,7 +39,8 @@ def context_budget(model: Column, local: bool = False, windows: dict | None = No
 def _shown_text(text: Column, meta: Column | None) -> Column:
     if meta is None:
         return text
-    shown = F.map_filter(meta, lambda k, v: ~k.isin(*MAIL_HIDDEN_KEYS) & v.isNotNull())
+    hidden = F.coalesce(meta["source_type"] == "email", F.lit(False))
+    shown = F.map_filter(meta, lambda k, v: ~(hidden & k.isin(*MAIL_HIDDEN_KEYS)) & v.isNotNull())
     lines = F.array_join(F.transform(F.map_entries(shown), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
     return F.when(F.size(shown) > 0, F.concat(lines, F.lit("\n\n"), text)).otherwise(text)
 
@@ -52,7 +52,8 @@ def build_prompts(hits: DataFrame, questions: DataFrame, budget, q_id: str = "qu
 
     Chunks are kept while the running token total stays within ``budget`` (an int or a
     column of ``questions``); the first chunk is always kept, cut to the budget. Output:
-    ``q_id, n_chunks, context_tokens, prompt``. Work per question is bounded by k.
+    ``q_id, n_chunks, n_dropped, context_tokens, prompt``; ``n_dropped`` counts the hits that the
+    budget had no room for. Work per question is bounded by k.
     """
     q = questions.select(F.col(q_id), F.col(question_col).alias("_question"),
                          (budget if isinstance(budget, Column) else F.lit(int(budget))).alias("_budget"))
@@ -62,19 +63,19 @@ def build_prompts(hits: DataFrame, questions: DataFrame, budget, q_id: str = "qu
     first_cut = F.when(F.col(tokens_col) > F.col("_budget"),
                        F.array_join(F.slice(chunk_tokens(F.col(text_col)), 1, F.col("_budget")), " ")
                        ).otherwise(F.col(text_col))
-    kept = (h.where((F.col("rank") == 1) | (F.col("_toks_run") <= F.col("_budget")))
-              .withColumn("_text", F.when(F.col("rank") == 1, first_cut).otherwise(F.col(text_col)))
+    fits = (F.col("rank") == 1) | (F.col("_toks_run") <= F.col("_budget"))
+    kept = (h.withColumn("_fits", fits).withColumn("_text", F.when(F.col("rank") == 1, first_cut).otherwise(F.col(text_col)))
               .withColumn("_ntok", F.least(F.col(tokens_col), F.col("_budget")))
               .withColumn("_shown", _shown_text(F.col("_text"), F.col(meta_col) if meta_col else None)))
     ctx = kept.groupBy(q_id, "_question").agg(
-        F.count("*").alias("n_chunks"),
-        F.sum("_ntok").cast("bigint").alias("context_tokens"),
-        F.array_sort(F.collect_list(F.struct("rank", "_shown"))).alias("_parts"))
+        F.count_if("_fits").alias("n_chunks"), F.count_if(~F.col("_fits")).alias("n_dropped"),
+        F.sum(F.when(F.col("_fits"), F.col("_ntok"))).cast("bigint").alias("context_tokens"),
+        F.array_sort(F.collect_list(F.when(F.col("_fits"), F.struct("rank", "_shown")))).alias("_parts"))
     context = F.array_join(F.transform(F.col("_parts"), lambda s: s["_shown"]), "\n\n")
     head, rest = template.split("{context}")
     mid, tail = rest.split("{question}")
     prompt = F.concat(F.lit(head), context, F.lit(mid), F.col("_question"), F.lit(tail))
-    return ctx.select(q_id, "n_chunks", "context_tokens", prompt.alias("prompt"))
+    return ctx.select(q_id, "n_chunks", "n_dropped", "context_tokens", prompt.alias("prompt"))
 
 
 def answer_batch(prompts: DataFrame, completer, prompt_col: str = "prompt", batch_size: int = 8,

@@ -31,6 +31,7 @@ from corpuskit.config import DEFAULT_TOP_K
 from corpuskit.operators.embedding import as_pandas_vectors
 
 _SLACK = 4
+_BLOCK_BYTES = 64 << 20  # question vectors shipped with one task
 _CELL_BUDGET = 4_000_000  # distance-matrix cells computed at once per task
 
 
@@ -38,23 +39,28 @@ def _local_best(qids, Q, cids, C, keep: int) -> pd.DataFrame:
     """Best ``keep`` chunks per question (ties at the cut kept) of one batch."""
     if len(cids) == 0 or len(qids) == 0:
         return pd.DataFrame({"qi": [], "cid": [], "d": []})
+    # distances do not change when both sides move; centred vectors lose fewer digits below
+    centre = Q.mean(0)
+    Q, C = Q - centre, C - centre
     qn = (Q * Q).sum(1)
     frames = []
     step = max(1, _CELL_BUDGET // max(1, len(qids)))
     for s in range(0, len(cids), step):
         Cs = C[s:s + step]
         ids = cids[s:s + step]
-        D = qn[:, None] + (Cs * Cs).sum(1)[None, :] - 2.0 * (Q @ Cs.T)
-        np.maximum(D, 0.0, out=D)
-        D9 = np.round(D, 9)
+        cn = (Cs * Cs).sum(1)
+        D = qn[:, None] + cn[None, :] - 2.0 * (Q @ Cs.T)
         kk = min(keep, D.shape[1])
         if kk < D.shape[1]:
-            thr = np.partition(D9, kk - 1, axis=1)[:, kk - 1]
-            rows, cols = np.nonzero(D9 <= thr[:, None])
+            # the product is off by rounding: keep what may be among the best, then take the differences
+            slack = 1e-9 + 1e-13 * (qn + cn.max())
+            thr = np.partition(D, kk - 1, axis=1)[:, kk - 1]
+            rows, cols = np.nonzero(D <= (thr + slack)[:, None])
         else:
             rows, cols = np.indices(D.shape).reshape(2, -1)
-        frames.append(pd.DataFrame({"qi": rows, "cid": ids[cols], "d": D[rows, cols],
-                                    "d9": D9[rows, cols]}))
+        d = np.concatenate([((Q[rows[i:i + 65536]] - Cs[cols[i:i + 65536]]) ** 2).sum(1)
+                            for i in range(0, len(rows), 65536)])
+        frames.append(_trim(pd.DataFrame({"qi": rows, "cid": ids[cols], "d": d}), keep))
     cand = pd.concat(frames, ignore_index=True)
     return _trim(cand, keep)
 
@@ -119,8 +125,10 @@ def exact_top_k(questions: DataFrame, corpus: DataFrame, k: int = DEFAULT_TOP_K,
             continue
         ids = pdf["qid"].to_numpy()
         mat = as_pandas_vectors(pdf["qv"])
-        scan, schema = _block_scan(ids, mat, k + _SLACK, qtype, ctype)
-        parts.append(c.mapInPandas(scan, schema))
+        rows = max(1, _BLOCK_BYTES // max(1, 8 * mat.shape[1]))  # what goes with a task is bounded in bytes
+        for at in range(0, len(ids), rows):
+            scan, schema = _block_scan(ids[at:at + rows], mat[at:at + rows], k + _SLACK, qtype, ctype)
+            parts.append(c.mapInPandas(scan, schema))
     if not parts:
         empty = spark.createDataFrame([], T.StructType([T.StructField("qid", qtype), T.StructField("cid", ctype),
                                                         T.StructField("distance", T.DoubleType())]))
@@ -144,6 +152,32 @@ class IvfIndex:
         self.id_col = id_col
 
 
+def nearest_cells(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Cells of each vector, the nearest first (ties: the smaller number); distances to 9 decimals."""
+    out = np.empty((len(vectors), len(centroids)), np.int32)
+    for at in range(0, len(vectors), 4096):
+        part = vectors[at:at + 4096]
+        dist = np.stack([((part - c) ** 2).sum(1) for c in centroids], axis=1)
+        out[at:at + 4096] = np.argsort(np.round(dist, 9), axis=1, kind="stable")
+    return out
+
+
+def ivf_from_centroids(corpus: DataFrame, centroids: np.ndarray, c_id: str = "chunk_id",
+                       c_vec: str = "embedding") -> IvfIndex:
+    """An index with given cells (one row of ``centroids`` each): chunks go to the nearest."""
+    c = corpus.select(F.col(c_id).alias("cid"), F.col(c_vec).cast("array<double>").alias("cv"))
+    schema = T.StructType([*c.schema.fields, T.StructField("cell", T.IntegerType())])
+
+    def assign(batches):
+        for pdf in batches:
+            pdf = pdf[pdf["cv"].notna()]
+            if len(pdf):
+                yield pdf.assign(cell=nearest_cells(as_pandas_vectors(pdf["cv"]), centroids)[:, 0])
+
+    cells = c.mapInPandas(assign, schema)
+    return IvfIndex(centroids, cells, cells.groupBy("cell").count(), c_id)
+
+
 def build_ivf(corpus: DataFrame, n_cells: int | None = None, c_id: str = "chunk_id",
               c_vec: str = "embedding", seed: int = 7, max_iter: int = 5, max_cells: int = 4096) -> IvfIndex:
     """Train k-means cells over the whole corpus (MLlib, one distributed pass per
@@ -178,14 +212,18 @@ def approx_top_k(questions: DataFrame, index: IvfIndex, k: int = DEFAULT_TOP_K,
     qtype = q.schema["qid"].dataType
     ctype = index.cells.schema["cid"].dataType
 
+    # one number a cell: a question whose nearest cells hold fewer than k chunks probes more of them
+    sizes = np.zeros(len(cent), np.int64)
+    for row in index.cell_sizes.collect():
+        sizes[row["cell"]] = row["count"]
+
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def probes(vs: pd.Series) -> pd.Series:
         if len(vs) == 0:
             return pd.Series([], dtype=object)
-        Q = as_pandas_vectors(vs)
-        D = (Q * Q).sum(1)[:, None] + (cent * cent).sum(1)[None, :] - 2.0 * Q @ cent.T
-        idx = np.argsort(D, axis=1, kind="stable")[:, :n_probe]
-        return pd.Series([row.astype(np.int32).tolist() for row in idx])
+        order = nearest_cells(as_pandas_vectors(vs), cent)
+        enough = 1 + (np.cumsum(sizes[order], axis=1) < k).sum(1)
+        return pd.Series([row[:max(n_probe, n)].tolist() for row, n in zip(order, enough)])
 
     # Salts per cell: the cell-size table has one row per cell, a proven bound.
     salts = index.cell_sizes.select(
@@ -217,17 +255,13 @@ def approx_top_k(questions: DataFrame, index: IvfIndex, k: int = DEFAULT_TOP_K,
                                      "distance", "score", "rank")
 
 
-def recall_at_k(approx: DataFrame, exact: DataFrame, q_id: str = "question_id",
-                c_id: str = "chunk_id") -> DataFrame:
-    """Share of exact top-k ids the approximate search found (one row)."""
-    hit = exact.join(approx.select(q_id, c_id), [q_id, c_id], "left_semi").count()
-    return exact.sparkSession.createDataFrame([(hit / max(1, exact.count()),)], "recall double")
-
-
 # ------------------------------------------------------------------ answer sources (A5)
 
 def answer_sources(hits: DataFrame, q_id: str = "question_id",
-                   fields=("rank", "score", "chunk_id", "doc_id", "label", "snippet")) -> DataFrame:
+                   fields=("rank", "score", "chunk_id", "doc_id", "label", "snippet", "metadata")) -> DataFrame:
     """A5: per question, an array of source structs ordered by rank (at most k each)."""
-    packed = F.array_sort(F.collect_list(F.struct(*[F.col(f) for f in fields])))
+    fields = [f for f in fields if f in hits.columns]
+    # by rank only: a map has no order
+    packed = F.array_sort(F.collect_list(F.struct(*[F.col(f) for f in fields])),
+                          lambda a, b: (a["rank"] - b["rank"]).cast("int"))
     return hits.groupBy(q_id).agg(packed.alias("sources"))

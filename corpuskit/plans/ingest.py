@@ -1,10 +1,10 @@
 """The ingest job: documents -> new documents -> chunks -> vectors -> collection.
 
-``read -> dedupe (D2) -> skip existing (J1) -> chunk (G1/G2) -> stage (K6) -> embed (V1)
--> quarantine failures (F5) -> append (K1)``. The plan is lazy up to the stage write,
-which is the one forced materialisation: a failed embedding run resumes from the
-staged chunks of the same collection without re-reading the source. Counts come from
-``DataFrame.observe`` on the plan that runs anyway (A1).
+``leftover stages -> read -> one row per id (D2) -> skip stored ids (J1) -> chunk (G1/G2) -> stage (K6)
+-> embed (V1) -> quarantine failures (F5) -> append (K1)``. The stage write is the one forced
+materialisation: a run that fails after it is finished by the next call, before that call's own
+documents. Chunks that are stored already are left out again right before the append, so a run that
+was appended but not cleared, or a stream's micro-batch that comes twice, adds nothing.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from corpuskit.config import Settings
 from corpuskit.operators.chunking import sentence_chunks, window_chunks
 from corpuskit.operators.dedupe import dedupe_first, skip_existing
 from corpuskit.operators.embedding import embed, hash_embed, quarantine
-from corpuskit.store import CollectionStore
+from corpuskit.store import CollectionStore, stored_form
 
 
 @dataclass
@@ -40,8 +40,11 @@ class IngestReport:
 
 def ingest(docs: DataFrame, store: CollectionStore, collection: str, embedder=None,
            settings: Settings = Settings(), chunker: str = "sentence", fresh: bool = False,
-           text_col: str = "text", id_col: str = "doc_id") -> IngestReport:
-    """Add the documents of ``docs`` that the collection does not hold yet.
+           text_col: str = "text", id_col: str = "doc_id", by_text: bool = False) -> IngestReport:
+    """Add the documents of ``docs`` that the collection does not hold yet, by their ids.
+
+    Of rows with one id the one with the least text counts. ``by_text`` also takes documents with equal
+    texts for one (the smallest id stays).
 
     ``embedder=None`` uses the built-in hashed vector (V1a). ``fresh`` replaces the
     collection only after the new chunks are written (the old data survives a failure).
@@ -49,70 +52,76 @@ def ingest(docs: DataFrame, store: CollectionStore, collection: str, embedder=No
     """
     t0 = time.monotonic()
     report = IngestReport(collection)
-    run_id, staged = (None, None) if fresh else store.resume(collection)
-    if staged is not None:
-        report.resumed_run = run_id
-    else:
-        obs_in = Observation("docs_in")
-        loaded = docs.observe(obs_in, F.count(F.lit(1)).alias("n"))
-        uniq = dedupe_first(loaded, F.sha1(F.col(text_col)), id_col)
-        new = uniq if fresh else skip_existing(uniq, store.existing_doc_ids(collection, id_col)
-                                               .select(F.col(id_col)), id_col)
-        obs_new = Observation("docs_new")
-        new = new.observe(obs_new, F.count(F.lit(1)).alias("n"))
-        split = sentence_chunks if chunker == "sentence" else window_chunks
-        chunks = split(new, settings.chunk_size, settings.chunk_overlap, id_col=id_col, text_col=text_col)
-        run_id, staged = store.stage(chunks, collection)
-        report.docs_loaded = obs_in.get.get("n", 0)
-        report.docs_new = obs_new.get.get("n", 0)
-        uniq_count = report.docs_new  # de-duplicated new documents
-        report.docs_skipped = report.docs_loaded - uniq_count
+    store.drop_broken_stages(collection)
+    for run in store.staged_runs(collection):
+        if fresh:
+            store.clear_stage(collection, run)
+        else:
+            report.resumed_run = run
+            _embed_and_store(store, collection, run, embedder, settings, report, False)
+    obs_in, obs_new = Observation("docs_in"), Observation("docs_new")
+    loaded = docs.observe(obs_in, F.count(F.lit(1)).alias("n"))
+    # J1 first: its anti join needs no order, and what is stored already need not be de-duplicated
+    new = loaded if fresh else skip_existing(loaded, store.existing_doc_ids(collection).select(
+        F.col("doc_id").alias(id_col)), id_col)
+    new = dedupe_first(new, id_col, text_col)
+    if by_text:
+        new = dedupe_first(new, F.sha1(F.col(text_col)), id_col)
+    new = new.observe(obs_new, F.count(F.lit(1)).alias("n"))
+    split = sentence_chunks if chunker == "sentence" else window_chunks
+    chunks = split(new, settings.chunk_size, settings.chunk_overlap, id_col=id_col, text_col=text_col)
+    renamed = {id_col: "doc_id", text_col: "text"}
+    run, _ = store.stage(stored_form(chunks.withColumnsRenamed(renamed)).drop("embedding"), collection)
+    report.docs_loaded = obs_in.get.get("n", 0)
+    report.docs_new = obs_new.get.get("n", 0)
+    report.docs_skipped = report.docs_loaded - report.docs_new
+    _embed_and_store(store, collection, run, embedder, settings, report, fresh)
+    report.seconds = time.monotonic() - t0
+    return report
+
+
+def _vectors(staged: DataFrame, embedder, settings: Settings) -> DataFrame:
     if embedder is None:
-        vectors = hash_embed(staged, text_col, "embedding", settings.hash_dim)
-        vectors = vectors.withColumn("embed_error", F.lit(None).cast("string"))
-    else:
-        vectors = embed(staged, embedder, text_col, "embedding", settings.embed_batch, settings.retry_max,
-                        settings.retry_base_delay, concurrency=settings.embed_concurrency)
-    obs = Observation("embedded")
-    vectors = vectors.observe(obs, F.count(F.lit(1)).alias("n"), F.count_if(F.col("embedding").isNull()).alias("failed"))
+        return hash_embed(staged, "text", "embedding", settings.hash_dim).withColumn(
+            "embed_error", F.lit(None).cast("string"))
+    return embed(staged, embedder, "text", "embedding", settings.embed_batch, settings.retry_max,
+                 settings.retry_base_delay, concurrency=settings.embed_concurrency)
+
+
+def _embed_and_store(store: CollectionStore, collection: str, run: str, embedder, settings: Settings,
+                     report: IngestReport, fresh: bool) -> None:
+    """Embed a staged run, put its chunks into the collection and clear the stage, in this order."""
+    staged = store.staged(collection, run)
+    stored = None if fresh else store.read(collection)
+    if stored is not None:
+        staged = staged.join(stored.select("chunk_id"), "chunk_id", "left_anti")
+    obs = Observation()
+    vectors = _vectors(staged, embedder, settings).observe(
+        obs, F.count(F.lit(1)).alias("n"), F.count_if(F.col("embedding").isNull()).alias("failed"))
     # one pass over the vectors: written to a second staging run, then split
-    vec_run, written = store.stage(vectors, collection, run_id=f"{run_id}-vectors")
+    vec_run, written = store.stage(vectors, collection, run_id=f"{run}-vectors")
     ok, bad = quarantine(written)
+    counts = obs.get
     if fresh:
         store.replace(ok.drop("embed_error"), collection)
-    else:
+    elif counts.get("n", 0):
         store.append(ok.drop("embed_error"), collection)
-    report.chunks = obs.get.get("n", 0)
-    report.chunks_failed = obs.get.get("failed", 0)
-    if report.chunks_failed:
+    if counts.get("failed", 0):
         store.quarantine(bad, collection)
+    report.chunks += counts.get("n", 0)
+    report.chunks_failed += counts.get("failed", 0)
     store.clear_stage(collection, vec_run)
-    store.clear_stage(collection, run_id)
-    report.seconds = time.monotonic() - t0
-    return report
+    store.clear_stage(collection, run)
 
 
-def retry_failed(store: CollectionStore, collection: str, embedder=None, settings: Settings = Settings(),
-                 text_col: str = "text") -> int:
+def retry_failed(store: CollectionStore, collection: str, embedder=None, settings: Settings = Settings()) -> int:
     """Re-embed quarantined chunks (Q2 fixed); returns how many are now stored."""
     failed = store.quarantined(collection)
     if failed is None:
         return 0
-    chunks = failed.drop("embedding", "embed_error", "collection")
-    run_id, staged = store.stage(chunks, collection)
+    run, _ = store.stage(failed.drop("embedding", "embed_error", "collection").dropDuplicates(["chunk_id"]), collection)
+    # the quarantine goes only when its chunks are staged; chunks that fail again come back to it
     store.clear_quarantine(collection)
-    if embedder is None:
-        vectors = hash_embed(staged, text_col, "embedding", settings.hash_dim).withColumn(
-            "embed_error", F.lit(None).cast("string"))
-    else:
-        vectors = embed(staged, embedder, text_col, "embedding", settings.embed_batch, settings.retry_max,
-                        settings.retry_base_delay)
-    vec_run, written = store.stage(vectors, collection, run_id=f"{run_id}-vectors")
-    ok, bad = quarantine(written)
-    n_ok = ok.count()
-    store.append(ok.drop("embed_error"), collection)
-    if n_ok < written.count():
-        store.quarantine(bad, collection)
-    store.clear_stage(collection, vec_run)
-    store.clear_stage(collection, run_id)
-    return n_ok
+    report = IngestReport(collection)
+    _embed_and_store(store, collection, run, embedder, settings, report, False)
+    return report.chunks - report.chunks_failed

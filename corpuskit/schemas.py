@@ -23,9 +23,12 @@ MAIL_FIELDS = T.StructType([T.StructField(n, S) for n in (
 FILE_FIELDS = T.StructType([T.StructField(n, S) for n in ("source_type", "file_path", "page")])
 WEB_FIELDS = T.StructType([T.StructField(n, S) for n in ("source_type", "url", "slug", "title")])
 
-CHUNKS = T.StructType(DOCUMENTS.fields + [
-    T.StructField("chunk_id", S), T.StructField("chunk_index", T.IntegerType()),
-    T.StructField("n_tokens", T.IntegerType()), T.StructField("embedding", T.ArrayType(T.FloatType())),
+# What a collection stores of a chunk, whatever its source: the one schema of all files of the store.
+STORED = T.StructType([
+    T.StructField("doc_id", S), T.StructField("chunk_id", S), T.StructField("chunk_index", T.IntegerType()),
+    T.StructField("n_chunks", T.IntegerType()), T.StructField("n_tokens", T.IntegerType()),
+    T.StructField("prev_chunk_id", S), T.StructField("next_chunk_id", S), T.StructField("text", S),
+    T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("metadata", META),
 ])
 
 QUESTIONS = T.StructType([

@@ -12,8 +12,27 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from corpuskit.operators.chunking import merge_metadata
 from corpuskit.operators.dedupe import distinct_ids
+from corpuskit.schemas import STORED
+
+
+def stored_form(chunks: DataFrame) -> DataFrame:
+    """Chunks with the columns of ``schemas.STORED``: every column that is not one of them is metadata
+    (as text, null values left out), under the metadata that the chunk brings along, plus its
+    document's id (T15). So collections of different sources share one schema and lose nothing."""
+    own = {f.name for f in STORED}
+    extra = [c for c in chunks.columns if c not in own]
+    pairs = [x for c in extra for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]
+    parent = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+    mine = F.col("metadata") if "metadata" in chunks.columns else F.create_map().cast("map<string,string>")
+    mine = F.coalesce(mine, F.create_map().cast("map<string,string>"))
+    doc_id = F.col("doc_id") if "doc_id" in chunks.columns else F.lit(None).cast("string")
+    merged = F.map_filter(merge_metadata(parent, mine, doc_id), lambda _, v: v.isNotNull())
+    column = lambda f: F.col(f.name).cast(f.dataType) if f.name in chunks.columns else F.lit(None).cast(f.dataType)
+    return chunks.select(*[(merged if f.name == "metadata" else column(f)).alias(f.name) for f in STORED])
 
 
 class CollectionStore:
@@ -48,11 +67,12 @@ class CollectionStore:
     # ------------------------------------------------------------ reads
     def read(self, name: str | None = None) -> DataFrame | None:
         """A collection's chunks (or all collections); None when nothing is stored.
-        Reading never creates a collection."""
-        if not self._has_data(self.data):
+        Only the collection's own folder is listed. Reading never creates a collection."""
+        path = self.data if name is None else f"{self.data}/collection={name}"
+        if not self._has_data(path):
             return None
-        df = self.spark.read.parquet(self.data)
-        return df if name is None else df.where(F.col("collection") == name)
+        schema = StructType([*STORED.fields, StructField("collection", StringType())])
+        return self.spark.read.schema(schema).option("basePath", self.data).parquet(path)
 
     def list_collections(self) -> list:
         """K3: names of stored collections (a partition-column-only scan)."""
@@ -74,13 +94,15 @@ class CollectionStore:
     # ------------------------------------------------------------ writes
     def append(self, chunks: DataFrame, name: str) -> None:
         """K1: one bulk append (one write commit) of chunks into collection ``name``."""
-        chunks.withColumn("collection", F.lit(name)).write.mode("append") \
+        stored_form(chunks).withColumn("collection", F.lit(name)).write.mode("append") \
             .partitionBy("collection").parquet(self.data)
 
     def append_many(self, chunks: DataFrame, collection_col: str = "collection") -> None:
         """K1 for several collections in one write commit (rows carry their collection)."""
-        chunks.withColumnRenamed(collection_col, "collection").write.mode("append") \
-            .partitionBy("collection").parquet(self.data)
+        rows = stored_form(chunks.withColumnRenamed(collection_col, "collection"))
+        rows = rows.withColumn("collection", F.col("metadata")["collection"]).withColumn(
+            "metadata", F.map_filter("metadata", lambda k, _: k != "collection"))
+        rows.write.mode("append").partitionBy("collection").parquet(self.data)
 
     def stored_ids(self, id_col: str = "doc_id") -> DataFrame:
         """K3 + K4 over all collections: distinct ``(collection, id)`` pairs."""
@@ -91,10 +113,14 @@ class CollectionStore:
                   .select("collection", F.col(id_col).cast("string").alias(id_col)).distinct())
 
     def replace(self, chunks: DataFrame, name: str) -> None:
-        """K2 (fresh): the new data replaces the collection only once it is written: other
-        collections are untouched (dynamic partition overwrite)."""
-        (chunks.withColumn("collection", F.lit(name)).write.mode("overwrite")
-               .option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(self.data))
+        """K2 (fresh): the new data replaces the collection only once it is written: other collections
+        are untouched (dynamic partition overwrite). No chunks leave an empty collection."""
+        rows = stored_form(chunks).withColumn("collection", F.lit(name))
+        if rows.isEmpty():  # an overwrite of no rows would overwrite nothing
+            self.drop(name)
+            return
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("collection").parquet(self.data))
 
     def drop(self, name: str) -> None:
         """K2: delete a collection; no-op when absent."""
@@ -108,19 +134,27 @@ class CollectionStore:
         chunks.write.mode("overwrite").parquet(path)
         return run_id, self.spark.read.parquet(path)
 
-    def staged_runs(self, name: str) -> list:
+    def _stage_folders(self, name: str) -> dict:
+        """Run id -> whether its write was committed."""
         fs, p = self._fs(f"{self.staging}/collection={name}")
         if not fs.exists(p):
-            return []
-        return sorted(s.getPath().getName().split("=", 1)[1] for s in fs.listStatus(p)
-                      if s.getPath().getName().startswith("run="))
-
-    def resume(self, name: str) -> tuple:
-        """The oldest staged run of *this* collection, as (run_id, DataFrame), or (None, None)."""
-        runs = self.staged_runs(name)
-        if not runs:
-            return None, None
-        return runs[0], self.spark.read.parquet(f"{self.staging}/collection={name}/run={runs[0]}")
+            return {}
+        runs = [s.getPath().getName().split("=", 1)[1] for s in fs.listStatus(p) if s.getPath().getName().startswith("run=")]
+        return {r: self._exists(f"{self.staging}/collection={name}/run={r}/_SUCCESS") for r in sorted(runs)}
+
+    def staged_runs(self, name: str) -> list:
+        """Runs whose chunks are staged whole and wait to be embedded."""
+        return [r for r, whole in self._stage_folders(name).items() if whole and not r.endswith("-vectors")]
+
+    def drop_broken_stages(self, name: str) -> None:
+        """Delete what a lost job left half written, and vectors, which are made anew from their run. One
+        job at a time writes to a collection."""
+        for run, whole in self._stage_folders(name).items():
+            if not whole or run.endswith("-vectors"):
+                self.clear_stage(name, run)
+
+    def staged(self, name: str, run_id: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.staging}/collection={name}/run={run_id}")
 
     def clear_stage(self, name: str, run_id: str) -> None:
         self._delete(f"{self.staging}/collection={name}/run={run_id}")

@@ -80,3 +80,21 @@ def test_approx_probing_all_cells_is_exact_with_hot_cell(spark):
     for r in sorted(got, key=lambda r: (r.question_id, r["rank"])):
         have.setdefault(r.question_id, []).append(r.chunk_id)
     assert have == brute(Q, C.astype(np.float64), 5)
+
+
+def test_large_vectors_rank_by_their_true_distance(spark):
+    base = [1e4, -1e4, 1e4]
+    rows = [(i, [base[0] + 1e-3 * i, base[1], base[2]]) for i in range(20)]
+    c = spark.createDataFrame(rows, "chunk_id long, embedding array<double>")
+    q = spark.createDataFrame([(1, [base[0] + 0.0041, base[1], base[2]]), (2, [0.0, 0.0, 0.0])], "question_id long, embedding array<double>")
+    hits = exact_top_k(q, c, 3).where("question_id = 1").orderBy("rank").collect()
+    assert [h.chunk_id for h in hits] == [4, 5, 3]
+
+
+def test_short_cells_are_widened(spark):
+    import numpy as np
+    from corpuskit.operators.search import ivf_from_centroids
+    c = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(12)], "chunk_id long, embedding array<double>")
+    index = ivf_from_centroids(c, np.array([[0.0, 0.0], [20.0, 0.0]]))
+    q = spark.createDataFrame([(1, [19.0, 0.0])], "question_id long, embedding array<double>")
+    assert [h.chunk_id for h in approx_top_k(q, index, 4, n_probe=1).orderBy("rank").collect()] == [11, 10, 9, 8]
