@@ -1,4 +1,4 @@
-"""HTML to text as native column expressions (no Python in the hot path).
+"""HTML to text as column expressions; only character references are decoded in Arrow batches.
 
 Tags are replaced by a one-character sentinel first, then each run of sentinels becomes
 one newline, which is what joining an html parser's text nodes with a newline gives:
@@ -8,27 +8,15 @@ rule because their bodies may contain ``</p>``-like text.
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _SENTINEL = "\u0001"
 
-# Entity -> character. The semicolon is optional because browsers and
-# html parsers accept these legacy names without it; ``&amp`` must come last so that
-# ``&amp;lt;`` decodes to the literal text ``&lt;``.
-ENTITIES = [
-    ("&quot;?", '"'),
-    ("&apos;", "'"),
-    ("&#39;", "'"),
-    ("&nbsp;?", " "),
-    ("&copy;?", "©"),
-    ("&reg;?", "®"),
-    ("&middot;?", "·"),
-    ("&lt;?", "<"),
-    ("&gt;?", ">"),
-    ("&amp;?", "&"),
-]
-
 _COMMENT = r"(?s)<!--.*?-->"
 _SCRIPT = r"(?is)<script\b.*?</script\s*>"
 _STYLE = r"(?is)<style\b.*?</style\s*>"
@@ -41,11 +29,15 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+@F.pandas_udf(StringType())
+def _unescape(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: html.unescape(t) if t is not None and "&" in t else t)
+
+
 def decode_entities(c) -> Column:
-    out = _col(c)
-    for pattern, repl in ENTITIES:
-        out = F.regexp_replace(out, pattern, repl)
-    return out
+    """Named and numeric character references as characters, by the HTML5 rules of the standard library
+    (names that browsers know without a semicolon included)."""
+    return _unescape(_col(c))
 
 
 def strip_text(c) -> Column:

@@ -22,8 +22,8 @@ from corpuskit.operators.report import ingest_report
 from corpuskit.operators.search import approx_top_k, build_ivf, exact_top_k
 from corpuskit.session import cut_lineage, scratch_path, ship_package, spread
 from corpuskit.store import CollectionStore
-from corpuskit.sources.mail import (list_folders, parse_mail, raw_mail_from_turns, read_mbox, select_mail,
-                                    write_mbox)
+from corpuskit.plans.fixtures import raw_mail_from_turns
+from corpuskit.sources.mail import list_folders, parse_mail, read_mbox, select_mail, write_mbox
 from corpuskit.sources.web import extract_links, read_pages
 
 MAIL_FOLDERS = ["user", "assistant", "system", "archive", "Sent"]
@@ -50,7 +50,7 @@ def _sha(c) -> F.Column:
 
 def q_dedupe_first_text(spark, d):
     docs = table(spark, d, "documents")
-    return dedupe_first(docs, F.sha1("text"), "doc_id").select(
+    return dedupe_first(docs, F.sha1("text"), "doc_id", order_is_unique=True).select(
         "doc_id", "lang", "source", "n_chars", _sha("text").alias("text_sha1"))
 
 
@@ -207,7 +207,7 @@ def q_approx_top_k(spark, d):
 def corpus_chunks(spark, d):
     """Documents de-duplicated by text, window-chunked and hash-embedded."""
     docs = table(spark, d, "documents")
-    uniq = dedupe_first(docs, F.sha1("text"), "doc_id")
+    uniq = dedupe_first(docs, F.sha1("text"), "doc_id", order_is_unique=True)
     return hash_embed(window_chunks(uniq), "text", "embedding", HASH_DIM, as_float=False)
 
 
@@ -217,10 +217,10 @@ def _retrieve(spark, d, k):
     # shared checkpoint folder instead of running the search twice.
     hits = cut_lineage(exact_top_k(_questions(spark, d), chunks, k))
     # Late materialisation: only documents that own a hit are re-chunked for text and
-    # metadata. Hit documents are at most questions x k (the question count is checked
-    # in exact_top_k), so that id set is broadcast; a hit's document is a dedupe winner.
+    # metadata. The hits were written out, so Spark knows their size and broadcasts their ids
+    # only if they are small; a hit's document is a dedupe winner.
     hit_docs = hits.select(F.element_at(F.split("chunk_id", "#"), 1).cast("bigint").alias("doc_id")).distinct()
-    owners = table(spark, d, "documents").join(F.broadcast(hit_docs), "doc_id", "left_semi")
+    owners = table(spark, d, "documents").join(hit_docs, "doc_id", "left_semi")
     meta = F.create_map(F.lit("source_type"), F.lit("document"), F.lit("file_path"), F.col("source"))
     info = window_chunks(owners).select("chunk_id", "doc_id", "text", "n_tokens", meta.alias("metadata"))
     return hits.join(info, "chunk_id")

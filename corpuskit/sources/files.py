@@ -13,10 +13,6 @@ TEXT_EXTENSIONS = [".txt", ".md", ".markdown", ".pdf"]
 READABLE_EXTENSIONS = [".txt", ".md", ".markdown"]
 
 
-def _ext_pattern(exts) -> str:
-    return r"(?i)(" + "|".join(e.replace(".", r"\.") for e in exts) + r")$"
-
-
 def read_text_files(spark: SparkSession, path: str | None) -> DataFrame:
     """One document per readable file under ``path`` (recursive, case-insensitive
     extension filter; a single file path is taken as is). A missing path is an error; no files gives an empty table.
@@ -31,12 +27,15 @@ def read_text_files(spark: SparkSession, path: str | None) -> DataFrame:
     schema = "doc_id string, text string, file_path string, page string, source_type string"
     # one row per file; zero-length files get no input split in Spark and yield no
     # document (they would give no chunk either)
+    single = fs.getFileStatus(hpath).isFile()
+    if single and path.lower().endswith(".pdf"):
+        raise ValueError(f"{path}: PDF pages come in as a (file_path, page, text) table (documents_from_pages)")
+    # the name filter is applied before any content is read
     reader = spark.read.format("binaryFile")
-    if not fs.getFileStatus(hpath).isFile():
-        reader = reader.option("recursiveFileLookup", "true")
+    if not single:
+        names = ",".join("*" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in READABLE_EXTENSIONS)
+        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "{" + names + "}")
     files = reader.load(path).select(F.col("content").cast("string").alias("text"), F.col("path").alias("uri"))
-    if fs.getFileStatus(hpath).isDirectory():
-        files = files.where(F.col("uri").rlike(_ext_pattern(READABLE_EXTENSIONS)))
     local = F.regexp_replace(F.col("uri"), r"^file:(//)?", "")
     out = files.select("text", local.alias("file_path"), F.lit("").alias("page"))
     if out.isEmpty():
@@ -49,9 +48,3 @@ def documents_from_pages(pages: DataFrame, path: str = "file_path", page: str =
     label = page_label(F.col(page))
     return pages.select(file_doc_id(F.col(path), label, F.col(text)).alias("doc_id"), F.col(text).alias("text"),
                         F.col(path).alias("file_path"), label.alias("page"), F.lit("document").alias("source_type"))
-
-
-def file_metadata(docs: DataFrame) -> DataFrame:
-    meta = F.create_map(F.lit("source_type"), F.col("source_type"), F.lit("file_path"), F.col("file_path"),
-                        F.lit("page"), F.col("page"))
-    return docs.withColumn("metadata", meta)

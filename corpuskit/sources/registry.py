@@ -37,11 +37,12 @@ def _mail(spark: SparkSession, mbox: str | None = None, raw: DataFrame | None =
     if mbox and raw is not None:
         raise ValueError("pass either mbox or raw, not both")
     if mbox:
-        docs = parse_mail(read_mbox(spark, mbox))
+        place = ("source_file", "file_pos", "seq")
+        docs = parse_mail(read_mbox(spark, mbox), keep=place)
         if existing is not None:
             docs = docs.join(existing.select(F.col("doc_id").cast("string")).distinct(), "doc_id", "left_anti")
-        first = F.min(F.struct("seq", *[c for c in docs.columns if c not in ("doc_id", "seq")]))
-        return docs.groupBy("doc_id").agg(first.alias("_f")).select("doc_id", "_f.*")
+        first = F.min(F.struct(*place, *[c for c in docs.columns if c not in ("doc_id", *place)]))
+        return docs.groupBy("doc_id").agg(first.alias("_f")).select("doc_id", "_f.*").drop("source_file", "file_pos")
     if raw is not None:
         return select_mail(raw, folders, limit, existing)
     raise ValueError("the mail source needs mbox=... or raw=...")
@@ -51,10 +52,14 @@ def _text(spark: SparkSession, path: str | None = None) -> DataFrame:
     return read_text_files(spark, path)
 
 
-def _web(spark: SparkSession, pages: DataFrame | None = None) -> DataFrame:
+def _web(spark: SparkSession, pages: DataFrame | None = None, limit: int | None = None,
+         order: str = "url", source_type: str = "paulgraham") -> DataFrame:
+    """``limit``: the first so many pages by ``order`` (None: all; 0: none)."""
     if pages is None:
         raise ValueError("the web source needs pages=<DataFrame of url, html>")
-    return read_pages(pages)
+    if limit is not None:
+        pages = pages.orderBy(order).limit(limit)
+    return read_pages(pages, source_type=source_type)
 
 
 register("email", _mail)

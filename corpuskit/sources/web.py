@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from corpuskit.functions.html import html_links, html_text, html_title
 from corpuskit.functions.ids import web_doc_id
 from corpuskit.functions.text import render_web_text, url_slug
-from corpuskit.functions.tokens import let
 
 # The reference's rule for essay links (no slash, ends in .html).
 ESSAY_LINK = r"^[^/]*\.html$"
 
 
-def read_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+def read_pages(pages: DataFrame, url: str = "url", html: str = "html", source_type: str = "paulgraham") -> DataFrame:
     """``doc_id, url, slug, title, text, source_type`` per page; pages whose readable
     text is blank are dropped (F2)."""
     body = html_text(F.col(html))
@@ -22,19 +21,12 @@ def read_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     keep = [c for c in pages.columns if c not in (url, html)]
     # The blank test (F2) is applied after a generator: a plain filter on the computed
     # text would be pushed below the projection and run the regex chain twice.
-    page = let(body, lambda b: F.when(b.rlike(r"\S"), F.array(F.struct(title.alias("title"), b.alias("body")))))
+    page = F.array(F.struct(title.alias("title"), body.alias("body")))
     out = (pages.select(*keep, F.col(url).alias("url"), F.explode_outer(page).alias("_p"))
-                .where(F.col("_p").isNotNull()))
+                .where(F.col("_p.body").rlike(r"\S")))
     return out.select(*keep, web_doc_id(F.col("url")).alias("doc_id"), "url", url_slug(F.col("url")).alias("slug"),
                       F.col("_p.title").alias("title"), render_web_text(F.col("_p.title"), F.col("_p.body")).alias("text"),
-                      F.lit("paulgraham").alias("source_type"))
-
-
-def web_metadata(docs: DataFrame) -> DataFrame:
-    """Web document metadata as the documents-table map."""
-    meta = F.create_map(F.lit("source_type"), F.col("source_type"), F.lit("url"), F.col("url"),
-                        F.lit("slug"), F.col("slug"), F.lit("title"), F.col("title"))
-    return docs.withColumn("metadata", meta)
+                      F.lit(source_type).alias("source_type"))
 
 
 def extract_links(pages: DataFrame, page_key: str = "page_id", html: str = "html", url: str = "url",

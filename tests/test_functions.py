@@ -115,3 +115,11 @@ def test_label_options_snippet_score_and_scalar_metadata(spark):
                   X.scalar_metadata(F.col("m")).alias("meta")).first()
     assert (r.old, r.new, r.score, len(r.snip)) == ("unknown", "https://u", 0.0, 400)
     assert r.meta == {"source_type": "paulgraham", "url": "https://u"}
+
+
+def test_character_references(spark):
+    from corpuskit.functions.html import decode_entities
+    cases = {"&#8217;&mdash;&eacute;": "\u2019\u2014\xe9", "a&nbsp;b": "a\xa0b", "&#x41;&amp;lt;": "A&lt;", "AT&T &copy 1": "AT&T \xa9 1", "plain": "plain"}
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string")
+    got = {r.t: r.d for r in df.select("t", decode_entities("t").alias("d")).collect()}
+    assert got == {**cases, None: None}
