@@ -43,7 +43,8 @@ class Settings:
     top_k: int = DEFAULT_TOP_K
     retry_max: int = DEFAULT_RETRY_MAX
     retry_base_delay: float = DEFAULT_RETRY_BASE_DELAY
-    embed_concurrency: int = DEFAULT_EMBED_CONCURRENCY
+    # None: as many embedding calls at a time as there are tasks
+    embed_concurrency: int | None = None
     embed_batch: int = DEFAULT_EMBED_BATCH
     snippet_chars: int = DEFAULT_SNIPPET_CHARS
     hash_dim: int = 64

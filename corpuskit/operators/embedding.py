@@ -29,7 +29,11 @@ from corpuskit.functions.tokens import with_hash_vector
 
 
 class EmbedError(Exception):
-    """Final error of an embedder call."""
+    """Final error of an embedder call; ``service_down`` if its retries ran out."""
+
+    def __init__(self, message: str, service_down: bool = False):
+        super().__init__(message)
+        self.service_down = service_down
 
 
 class RateLimited(Exception):
@@ -44,51 +48,47 @@ class ServiceError(Exception):
         self.status = status
 
 
+def is_passing(exc: BaseException) -> bool:
+    """The error may go away by itself: a rate limit, or a fault of the service."""
+    return isinstance(exc, RateLimited) or isinstance(exc, ServiceError) and exc.status >= 500
+
+
 def call_with_retry(fn, arg, max_retries: int = DEFAULT_RETRY_MAX,
                     base_delay: float = DEFAULT_RETRY_BASE_DELAY, sleep=time.sleep):
-    for attempt in range(max_retries + 1):
+    """``fn(arg)``, called again after each passing error; the waits double, and there are ``max_retries``."""
+    waits = iter([base_delay * 2 ** n for n in range(max_retries)])
+    while True:
         try:
             return fn(arg)
-        except RateLimited as exc:
-            if attempt == max_retries:
-                raise EmbedError(f"rate limited, gave up after {max_retries} retries") from exc
-            sleep(base_delay * (2 ** attempt))
-        except ServiceError as exc:
-            if exc.status >= 500 and attempt < max_retries:
-                sleep(base_delay * (2 ** attempt))
-                continue
-            raise EmbedError(str(exc)) from exc
-    raise EmbedError("unreachable")
-
-
-def _err(exc: BaseException) -> str:
-    cause = exc.__cause__
-    return f"{type(exc).__name__}: {exc}" + (f" ({type(cause).__name__})" if cause else "")
+        except Exception as exc:
+            wait = next(waits, None) if is_passing(exc) else None
+            if wait is None:
+                raise EmbedError(f"{type(exc).__name__}: {exc}", is_passing(exc)) from exc
+        sleep(wait)
 
 
 def run_batched(texts: list, fn, batch_size: int, max_retries: int, base_delay: float, sleep,
                 check_len: bool = True):
-    """Call ``fn`` over ``texts`` in batches; returns (results, errors), one per text."""
-    out = [None] * len(texts)
-    errs = [None] * len(texts)
-    for start in range(0, len(texts), batch_size):
-        batch = texts[start:start + batch_size]
+    """Call ``fn`` over ``texts`` in batches; returns (results, errors), one per text. A batch that is refused
+    goes again text by text, to spare its neighbours; one whose retries ran out does not, because the
+    service is down for each of them."""
+    results: list = [None] * len(texts)
+    errors: list = [None] * len(texts)
+    todo = [slice(i, min(i + batch_size, len(texts))) for i in range(0, len(texts), batch_size)]
+    while todo:
+        part = todo.pop()
+        size = part.stop - part.start
         try:
-            res = call_with_retry(fn, batch, max_retries, base_delay, sleep)
-            if check_len and len(res) != len(batch):
-                raise EmbedError(f"expected {len(batch)} results, got {len(res)}")
-            out[start:start + len(batch)] = list(res)
-            continue
-        except Exception:  # noqa: BLE001 - isolate the failing rows below
-            if len(batch) == 1:
-                pass
-        for j, t in enumerate(batch):
-            try:
-                res = call_with_retry(fn, [t], max_retries, base_delay, sleep)
-                out[start + j] = res[0]
-            except Exception as exc:  # noqa: BLE001 - a row error, not a job error
-                errs[start + j] = _err(exc)
-    return out, errs
+            got = call_with_retry(fn, texts[part], max_retries, base_delay, sleep)
+            if check_len and len(got) != size:
+                raise EmbedError(f"expected {size} results, got {len(got)}")
+            results[part] = list(got)
+        except EmbedError as exc:
+            if size == 1 or exc.service_down:
+                errors[part] = [str(exc)] * size
+            else:
+                todo += [slice(i, i + 1) for i in range(part.start, part.stop)]
+    return results, errors
 
 
 def embed(df: DataFrame, embedder, text_col: str = "text", out_col: str = "embedding",

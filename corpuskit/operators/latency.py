@@ -6,13 +6,14 @@ sending a model's samples to one task:
 
 1. samples are range-partitioned on (model, arrival order) and cut from lineage, so a
    model with a third of all samples spans many partitions (segments);
-2. a small table gives each (model, segment) its number of earlier samples ``n0``;
-   only the first model of a segment can have ``n0 > 0``, so it has at most one row per
+2. a small table gives each (model, segment) its number of earlier samples and their
+   range; only the first model of a segment can have any, so it has at most one row per
    partition;
-3. every segment runs the recurrence for all possible incoming means at once (the mean
-   is an integer inside ``[floor(min x), ceil(max x)]``) with numpy, giving a lookup
-   table ``incoming mean -> outgoing mean``;
-4. per model the tables are applied in segment order (at most one per partition).
+3. a model that starts in a segment is folded as one number; for one that goes on, the
+   segment runs the recurrence for all possible incoming means at once (integers within
+   the range of the model's earlier samples), giving a table ``incoming mean -> outgoing
+   mean``;
+4. the tables of models that span segments are applied in segment order, one at a time.
 """
 
 from __future__ import annotations
@@ -47,61 +48,65 @@ def model_latency(samples: DataFrame, model: str = "model", value: str = "ttft_m
     okeys = [f"_o{i}" for i in range(len(order))]
     out_schema = T.StructType([T.StructField("model", s.schema["model"].dataType),
                                T.StructField("runs", T.LongType()), T.StructField("avg_ttft_ms", T.DoubleType())])
-    lim = s.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-    if lim["lo"] is None:
-        return spark.createDataFrame([], out_schema)
-    lo, hi = int(math.floor(lim["lo"])), int(math.ceil(lim["hi"]))
     parts = n_segments or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut_lineage(s.repartitionByRange(parts, "model", *okeys).sortWithinPartitions("model", *okeys))
     tagged = ranged.withColumn("seg", F.spark_partition_id())
-    counts = tagged.groupBy("model", "seg").agg(F.count("*").alias("n"))
+    counts = tagged.groupBy("model", "seg").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     w = Window.partitionBy("model").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("n0", F.coalesce(F.sum("n").over(w), F.lit(0)).cast("bigint")).where("n0 > 0")
-    # At most one row per partition (see module doc): a proven bound for the driver.
-    n0 = {(r["model"], r["seg"]): r["n0"] for r in starts.collect()}
-    grid = np.arange(lo, hi + 1, dtype=np.float64)
-    table_schema = T.StructType([T.StructField("model", s.schema["model"].dataType),
-                                 T.StructField("seg", T.IntegerType()), T.StructField("n", T.LongType()),
-                                 T.StructField("table", T.ArrayType(T.LongType()))])
-
-    def segment_tables(batches):
-        cur, seg, n_start, n, M = None, None, 0, 0, None
+    starts = counts.select("model", "seg", F.sum("n").over(w).alias("n0"), F.min("lo").over(w).alias("lo"),
+                           F.max("hi").over(w).alias("hi")).where("n0 > 0")
+    # Only a segment's first model can have earlier samples: at most one row per partition.
+    known = {(r["model"], r["seg"]): (r["n0"], math.floor(r["lo"]), math.ceil(r["hi"])) for r in starts.collect()}
+    step_schema = T.StructType([T.StructField("model", s.schema["model"].dataType),
+                                T.StructField("seg", T.IntegerType()), T.StructField("n", T.LongType()),
+                                T.StructField("lo", T.LongType()), T.StructField("table", T.ArrayType(T.LongType()))])
+
+    def segments(batches):
+        """Per (model, segment): the mean where the model starts here; else the outgoing mean for each
+        incoming mean from ``lo`` on, which lies between the model's earlier samples."""
+        cur = None
 
         def flush():
-            return {"model": cur, "seg": seg, "n": n - n_start, "table": M.astype(np.int64).tolist()}
+            return pd.DataFrame([{"model": cur, "seg": seg, "n": n - n_start, "lo": lo,
+                                  "table": mean[back].astype(np.int64).tolist()}])
 
-        rows = []
         for pdf in batches:
             for m_, sg, x in zip(pdf["model"].to_numpy(), pdf["seg"].to_numpy(), pdf["x"].to_numpy()):
-                if m_ != cur:
+                if cur is None or m_ != cur:
                     if cur is not None:
-                        rows.append(flush())
+                        yield flush()
                     cur, seg = m_, int(sg)
-                    n = n_start = int(n0.get((cur, seg), 0))
-                    M = grid.copy()
-                M = np.round((M * n + x) / (n + 1))
+                    n, lo, hi = known.get((cur, seg), (0, 0, 0))
+                    n_start, mean = n, np.arange(lo, hi + 1, dtype=np.float64)
+                    back = np.arange(len(mean))
+                mean = np.round((mean * n + x) / (n + 1))
                 n += 1
-            if rows:
-                yield pd.DataFrame(rows)
-                rows = []
+                if len(mean) > 1 and n % 64 == 0:
+                    # means that have met stay together: only distinct ones go on
+                    mean, group = np.unique(mean, return_inverse=True)
+                    back = group[back]
         if cur is not None:
-            yield pd.DataFrame([flush()])
-
-    tables = tagged.select("model", "seg", "x").mapInPandas(segment_tables, table_schema)
-    folded = tables.groupBy("model").agg(
-        F.sum("n").alias("runs"),
-        F.array_sort(F.collect_list(F.struct("seg", "table"))).alias("_t"))
-    final = F.aggregate("_t", F.lit(lo).cast("bigint"),
-                        lambda m, t: F.element_at(t["table"], (m - F.lit(lo) + 1).cast("int")))
-    return folded.select("model", F.col("runs").cast("bigint").alias("runs"),
-                         final.cast("double").alias("avg_ttft_ms"))
+            yield flush()
+
+    steps = cut_lineage(tagged.select("model", "seg", "x").mapInPandas(segments, step_schema))
+    many = steps.groupBy("model").agg(F.count("*").alias("segs"), F.sum("n").alias("runs"))
+    once = steps.join(many.where("segs = 1"), "model").select(
+        "model", F.col("runs").cast("bigint").alias("runs"), F.col("table")[0].cast("double").alias("avg_ttft_ms"))
+    # models that span segments, no more than there are segments: their tables are applied one at a time
+    spanning = steps.join(many.where("segs > 1").select("model", "runs"), "model").orderBy("model", "seg")
+    means: dict = {}
+    for r in spanning.toLocalIterator():
+        was = means.get(r["model"])
+        means[r["model"]] = (r["runs"], float(r["table"][0 if was is None else int(was[1]) - r["lo"]]))
+    rows = spark.createDataFrame([(m, int(runs), mean) for m, (runs, mean) in means.items()], out_schema)
+    return once.unionByName(rows)
 
 
 def first_token_latency(events: DataFrame, response: str = "response_id", ts: str = "ts",
                         delta: str = "delta", start: str | None = None, model: str | None = None) -> DataFrame:
     """A4: ms from the request start (``start`` column, else the response's first
     event) to its first token that is not blank; null when there is none."""
-    nonblank = F.trim(F.coalesce(F.col(delta), F.lit(""))) != ""
+    nonblank = F.coalesce(F.col(delta), F.lit("")).rlike(r"[^\s\x{85}\x{A0}\x{1C}-\x{1F}]")
     aggs = [F.count("*").alias("n_events"),
             F.min(F.col(start) if start else F.col(ts)).alias("start_ts"),
             F.min(F.when(nonblank, F.col(ts))).alias("first_ts")]

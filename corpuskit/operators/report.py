@@ -19,12 +19,10 @@ def ingest_report(docs: DataFrame, existing: DataFrame, size: int = DEFAULT_CHUN
     de-duplication is one partially-aggregated shuffle; the id check is a left join
     against the distinct stored ids.
     """
-    first = (docs.groupBy(F.sha1(F.col(text_col)).alias("_k"))
-                 .agg(F.min(F.struct(F.col(id_col).alias("id"), F.col(text_col).alias("t"))).alias("_f"),
-                      F.count("*").alias("_dup")))
-    # chunk counts are computed before the join, so only (id, count, copies) cross it
-    n_chunks = window_count(F.size(chunk_tokens(F.col("_f.t"))), size, overlap)
-    slim = first.select(F.col("_f.id").alias("_id"), n_chunks.alias("_nch"), "_dup")
+    # chunk counts come first, so only (hash, id, count) is aggregated and crosses the join
+    n_chunks = window_count(F.size(chunk_tokens(F.col(text_col))), size, overlap)
+    slim = (docs.select(F.sha1(F.col(text_col)).alias("_k"), F.col(id_col).alias("_id"), n_chunks.alias("_nch"))
+                .groupBy("_k").agg(F.min("_id").alias("_id"), F.max("_nch").alias("_nch"), F.count("*").alias("_dup")))
     known = existing.select(F.col(id_col).alias("_id")).where(F.col("_id").isNotNull()).distinct() \
         .withColumn("_known", F.lit(True))
     marked = slim.join(known, "_id", "left")

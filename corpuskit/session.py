@@ -38,7 +38,8 @@ def get_spark(master: str | None = None, app: str = "corpuskit",
 
 
 def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    """One process on this machine; ``local-cluster[...]`` has executors of its own and does not count."""
+    return spark.sparkContext.master.split("[")[0] == "local"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -3,8 +3,8 @@
 * ``stream_model_latency`` keeps ``(runs, mean)`` per model and applies the step-rounded
   running mean (A2) to each micro-batch in arrival order (ts, then id). The state is two
   numbers per model, so an unbounded stream needs no more memory than the batch fold.
-* ``stream_cumulative_text`` keeps the text so far per response and emits it after
-  every non-empty delta (W3); a final event closes the response and drops its state,
+* ``stream_cumulative_text`` keeps the deltas so far per response and emits the text after
+  every non-empty one (W3); a final event closes the response and drops its state,
   and an optional processing-time timeout drops abandoned ones (such a query keeps
   running no-data batches to fire timeouts, so it never goes idle: run it as a
   long-lived query, not with ``processAllAvailable`` or ``availableNow``).
@@ -54,21 +54,20 @@ def _cumulative_fn(timeout_ms):
         if state.hasTimedOut:
             state.remove()
             return
-        text, last = (state.get if state.exists else ("", -1))
+        known = dict(zip(*state.get)) if state.exists else {}
         pdf = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="mergesort")
-        rows = []
-        closed = False
-        for seq, delta, final in zip(pdf["seq"], pdf["delta"], pdf["is_final"]):
-            if delta:
-                text += delta
-                rows.append((key[0], int(seq), text))
-            last = int(seq)
-            if final:
-                closed = True
-        if closed:
+        new = {int(s): d for s, d in zip(pdf["seq"], pdf["delta"]) if d and int(s) not in known}
+        known.update(new)
+        # a delta that comes late belongs before what came earlier: texts from its place on are sent again
+        text, rows = "", []
+        for seq in sorted(known):
+            text += known[seq]
+            if new and seq >= min(new):
+                rows.append((key[0], seq, text))
+        if pdf["is_final"].any():
             state.remove()
         else:
-            state.update((text, last))
+            state.update((sorted(known), [known[s] for s in sorted(known)]))
             if timeout_ms:
                 state.setTimeoutDuration(timeout_ms)
         if rows:
@@ -79,13 +78,14 @@ def _cumulative_fn(timeout_ms):
 def stream_cumulative_text(tokens: DataFrame, response: str = "response_id", seq: str = "seq",
                            delta: str = "delta", is_final: str | None = None,
                            timeout: str | None = None) -> DataFrame:
-    """ST3: ``response_id, seq, text_so_far`` after every non-empty delta."""
+    """ST3: ``response_id, seq, text_so_far`` after every non-empty delta, in order of ``seq``. A delta that
+    arrives after a later one corrects the texts from its place on; one that comes twice counts once."""
     final = F.col(is_final).cast("boolean") if is_final else F.lit(False)
     t = tokens.select(F.col(response).cast("string").alias("response_id"), F.col(seq).cast("long").alias("seq"),
                       F.coalesce(F.col(delta), F.lit("")).alias("delta"), F.coalesce(final, F.lit(False)).alias("is_final"))
     ms = _duration_ms(timeout) if timeout else None
     return t.groupBy("response_id").applyInPandasWithState(
-        _cumulative_fn(ms), "response_id string, seq long, text_so_far string", "text string, last long",
+        _cumulative_fn(ms), "response_id string, seq long, text_so_far string", "seqs array<long>, deltas array<string>",
         "append", GroupStateTimeout.ProcessingTimeTimeout if ms else GroupStateTimeout.NoTimeout)
 
 

@@ -62,3 +62,17 @@ def test_models_with_stats_left_join(spark):
     stats = spark.createDataFrame([("m1", 3, 42.0)], "model string, runs long, avg_ttft_ms double")
     got = {r.name: (r.size_gb, r.avg_ttft_ms, r.runs) for r in models_with_stats(models, stats).collect()}
     assert got == {"m1": (1.2, 42.0, 3), "m2": (2.0, None, 0)}
+
+
+def test_one_huge_sample_costs_no_memory(spark):
+    rows = [("m", i, float(x)) for i, x in enumerate([10.0, 4e7, 12.0])] + [("n", 9, 3.0)]
+    df = spark.createDataFrame(rows, "model string, ts long, ttft_ms double")
+    out = {r.model: (r.runs, r.avg_ttft_ms) for r in model_latency(df, order="ts", n_segments=1).collect()}
+    assert out == {"m": (3, 13333341.0), "n": (1, 3.0)}
+
+
+def test_newline_tokens_are_blank(spark):
+    import datetime as dt
+    at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+    df = spark.createDataFrame([("r", at(0), ""), ("r", at(1), "\n \t"), ("r", at(3), "x")], "response_id string, ts timestamp, delta string")
+    assert first_token_latency(df).first().ttft_ms == 3000.0
