@@ -120,15 +120,16 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition a *scan* that yields fewer partitions than task slots.
+    """Round-robin repartition a *scan* that would leave most task slots idle.
 
     Row-local work (chunking, hashing, html, mail parsing) runs one task per input
-    split; a small file with one row group would run it on one core. On a large input
-    the scan already has many splits and this is a no-op. Call it on scans only: asking
-    a plan with exchanges for its partition count would run those exchanges.
+    split; a small file with one row group would run it on one core. A scan with at least a
+    quarter as many splits as there are slots is left as it is, so a large input is never
+    shuffled for this. Call it on scans only: asking a plan with exchanges for its
+    partition count would run those exchanges.
     """
     try:
         n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+        return df.repartition(n) if 4 * df.rdd.getNumPartitions() <= n else df
     except Exception:  # noqa: BLE001 - sessions without RDD access: keep the scan as is
         return df
