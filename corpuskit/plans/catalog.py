@@ -19,9 +19,10 @@ from corpuskit.operators.latency import (first_token_latency, model_latency, mod
                                          models_with_stats, cumulative_text)
 from corpuskit.operators.prompts import answer_batch, build_prompts, chat_messages
 from corpuskit.operators.report import ingest_report
-from corpuskit.operators.search import approx_top_k, build_ivf, exact_top_k
+from corpuskit.operators.search import approx_top_k, exact_top_k, ivf_from_centroids
 from corpuskit.session import cut_lineage, scratch_path, ship_package, spread
 from corpuskit.store import CollectionStore
+from corpuskit.plans.ingest import ingest
 from corpuskit.plans.fixtures import raw_mail_from_turns
 from corpuskit.sources.mail import list_folders, parse_mail, read_mbox, select_mail, write_mbox
 from corpuskit.sources.web import extract_links, read_pages
@@ -198,10 +199,22 @@ def q_exact_top_k(spark, d):
     return _ranked_out(hits)
 
 
+def vector_questions(spark, d):
+    """Every stored vector whose id is divisible by 50, as a question against all of them."""
+    return table(spark, d, "embeddings").where("vec_id % 50 = 0").select(
+        F.col("vec_id").alias("question_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+def label_centroids(spark, d):
+    """One mean vector for each label (labels x dimensions numbers: the cell table of the index)."""
+    parts = table(spark, d, "embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
+    rows = parts.groupBy("label", "i").agg(F.avg("x").alias("m")).orderBy("label", "i").toPandas()
+    return rows.pivot(index="label", columns="i", values="m").to_numpy()
+
+
 def q_approx_top_k(spark, d):
-    index = build_ivf(table(spark, d, "embeddings"), c_id="vec_id")
-    hits = approx_top_k(_questions(spark, d), index, TOP_K, n_probe=12)
-    return _ranked_out(hits)
+    index = ivf_from_centroids(table(spark, d, "embeddings"), label_centroids(spark, d), c_id="vec_id")
+    return _ranked_out(approx_top_k(vector_questions(spark, d), index, TOP_K, n_probe=2))
 
 
 def corpus_chunks(spark, d):
@@ -318,10 +331,43 @@ def q_stored_doc_ids(spark, d):
     return store.stored_ids()
 
 
+def _fresh_store(spark):
+    import uuid
+
+    return CollectionStore(spark, scratch_path(spark, f"store-{uuid.uuid4().hex[:12]}"))
+
+
+def q_ingest_documents(spark, d):
+    """The whole ingest job into a fresh store, twice: the second run must add nothing. What is stored is
+    read back."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    store = _fresh_store(spark)
+    for _ in range(2):
+        ingest(docs, store, "documents", chunker="window")
+    return store.read("documents").select("doc_id", "chunk_id", F.col("n_tokens").cast("bigint").alias("n_tokens"))
+
+
+def q_stored_metadata(spark, d):
+    """Documents and web pages ingested into one store: each collection's metadata, key by key."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang",
+                                               F.col("source").alias("file_path"), F.lit("document").alias("source_type"))
+    store = _fresh_store(spark)
+    ingest(docs, store, "documents", chunker="window")
+    pages = read_pages(table(spark, d, "pages", row_local=True)).select("doc_id", "text", "slug", "title", "source_type")
+    ingest(pages, store, "paulgraham", chunker="window")
+    both = store.read("documents").unionByName(store.read("paulgraham"))
+    return both.select("collection", "doc_id", F.explode("metadata").alias("key", "value")).distinct()
+
+
 def q_list_collections(spark, d):
-    docs = table(spark, d, "documents")
-    return (docs.groupBy(canonical_collection(F.col("source")).alias("collection"))
-                .agg(F.count("*").alias("n_documents")))
+    """K3 through the store: documents appended under their sources, then the names and their ids."""
+    docs = table(spark, d, "documents").select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.lit("x").alias("text"),
+        canonical_collection(F.col("source")).alias("collection"))
+    store = _fresh_store(spark)
+    store.append_many(docs)
+    ids = store.stored_ids().groupBy("collection").agg(F.count("*").alias("n_documents"))
+    return ids.where(F.col("collection").isin(store.list_collections()))
 
 
 def q_canonical_collection(spark, d):
@@ -362,6 +408,8 @@ QUERIES = {
     "model_latency": q_model_latency,
     "model_latency_exact": q_model_latency_exact,
     "models_with_stats": q_models_with_stats,
+    "ingest_documents": q_ingest_documents,
+    "stored_metadata": q_stored_metadata,
     "stored_doc_ids": q_stored_doc_ids,
     "list_collections": q_list_collections,
     "canonical_collection": q_canonical_collection,

@@ -300,6 +300,34 @@ FROM part LEFT JOIN stats s ON s.model = 'model-' || CAST(p_partkey AS VARCHAR)"
 ORACLE["stored_doc_ids"] = """SELECT DISTINCT source AS collection, CAST(doc_id AS VARCHAR) AS doc_id
 FROM documents WHERE len(regexp_extract_all(text, '\\S+')) > 0"""
 
+ORACLE["ingest_documents"] = f"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, chunk_id, CAST(n_tokens AS BIGINT) AS n_tokens
+FROM ({ORACLE["window_chunks"]})"""
+
+ORACLE["stored_metadata"] = f"""WITH p AS ({ORACLE["page_documents"]}),
+d AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source FROM documents WHERE len(regexp_extract_all(text, '\\S+')) > 0)
+SELECT 'documents' AS collection, doc_id, k AS key, v AS value FROM (
+  SELECT doc_id, unnest(['doc_id', 'lang', 'file_path', 'source_type']) AS k, unnest([doc_id, lang, source, 'document']) AS v FROM d)
+UNION
+SELECT 'paulgraham', doc_id, k, v FROM (
+  SELECT doc_id, unnest(['doc_id', 'slug', 'title', 'source_type']) AS k, unnest([doc_id, slug, title, 'paulgraham']) AS v FROM p)"""
+
+ORACLE["approx_top_k"] = f"""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+centre AS (
+  SELECT label, list(m ORDER BY i) AS vec
+  FROM (SELECT label, i, avg(vec[i]) AS m FROM e, range(1, {DIM} + 1) AS r(i) GROUP BY label, i) GROUP BY label),
+near AS (
+  SELECT vec_id, c.label AS cell, row_number() OVER (PARTITION BY vec_id ORDER BY round(
+    list_sum(list_transform(range(1, {DIM} + 1), lambda i: (e.vec[i] - c.vec[i]) * (e.vec[i] - c.vec[i]))), 9), c.label) AS n
+  FROM e CROSS JOIN centre c),
+pairs AS (
+  SELECT q.vec_id AS question_id, x.vec_id AS cid,
+         list_sum(list_transform(range(1, {DIM} + 1), lambda i: (q.vec[i] - x.vec[i]) * (q.vec[i] - x.vec[i]))) AS d
+  FROM e q JOIN near probe ON probe.vec_id = q.vec_id AND probe.n <= 2 JOIN near own ON own.cell = probe.cell AND own.n = 1
+  JOIN e x ON x.vec_id = own.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(d, 9), cid) AS rank FROM pairs)
+SELECT question_id, CAST(rank AS INTEGER) AS rank, cid AS vec_id, round(d, 6) AS distance, round(exp(-d), 6) AS score
+FROM ranked WHERE rank <= 5"""
+
 ORACLE["list_collections"] = """SELECT CASE WHEN lower(source) IN ('emails', 'email') THEN 'emails'
             WHEN lower(source) IN ('paulgraham', 'paul_graham', 'pg') THEN 'paulgraham' ELSE source END AS collection,
        count(*) AS n_documents

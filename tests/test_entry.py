@@ -11,11 +11,13 @@ def test_entry_runs_on_smoke_data(spark):
 def test_every_query_registered_with_oracle_or_test():
     qs, oracle = E.queries(), E.oracle_sql()
     assert set(oracle) <= set(qs)
-    assert set(qs) - set(oracle) == {"approx_top_k"}
+    free = {n for n in set(qs) - set(oracle) if not n.startswith("op") and n != "pipeline"}
+    assert not free
 
 
 def test_registered_queries_run_on_smoke_data(spark):
-    for name, fn in E.queries().items():
+    own = {n: f for n, f in E.queries().items() if not n.startswith("op") and n != "pipeline"}  # those have tests of their own
+    for name, fn in own.items():
         df = fn(spark, "/root/testdata/sf0.001")
         assert df.columns, name
         df.write.format("noop").mode("overwrite").save()
