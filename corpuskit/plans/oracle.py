@@ -338,7 +338,8 @@ ORACLE["canonical_collection"] = """SELECT name,
             WHEN lower(name) IN ('paulgraham', 'paul_graham', 'pg') THEN 'paulgraham' ELSE name END AS collection,
        CASE WHEN lower(name) IN ('emails', 'email') THEN 'email'
             WHEN lower(name) IN ('paulgraham', 'paul_graham', 'pg') THEN 'web' ELSE 'text' END AS kind
-FROM (SELECT source AS name FROM documents UNION SELECT role FROM conversations)"""
+FROM (SELECT source AS name FROM documents UNION SELECT role FROM conversations
+      UNION SELECT CASE role WHEN 'user' THEN 'Email' WHEN 'assistant' THEN 'PG' ELSE 'Paul_Graham' END FROM conversations)"""
 
 
 # ------------------------------------------------------------------ sentence chunks (G1)
