@@ -13,7 +13,8 @@ without reviews.
 
 Defined results: null and empty texts hold no candidate; repeated rows are scanned one by one; a null path
 is an empty one; extra columns play no part; an empty table gives an empty result. Without findings of both
-labels there is nothing to learn from, and ``train`` says so.
+labels there is nothing to learn from: ``train`` raises, and ``scan_secrets`` scores a finding by its label, 0.5
+(still reported) where it has none.
 """
 
 from __future__ import annotations
@@ -221,6 +222,10 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, id_col: str
         return found.withColumn("score", F.lit(0.0)).withColumn("is_secret", F.lit(False)).select(columns)
     known = format_labels(found) if labelled is None else found.join(
         labelled.select("doc_id", "begin", "label"), ["doc_id", "begin"])
+    if known.where("label is not null").select("label").distinct().count() < 2:
+        told = known.groupBy("doc_id", "begin").agg(F.max("label").alias("label"))
+        scored = found.join(told, ["doc_id", "begin"], "left").withColumn("score", F.coalesce(F.col("label"), F.lit(0.5)).cast("double"))
+        return scored.withColumn("is_secret", F.col("score") >= 0.5).select(columns)
     return judge(found, train(known, train_rows)).select(columns)
 
 

@@ -402,7 +402,11 @@ def test_empty_tables(spark, tmp_dir):
     assert token_output.read_token_checksums(spark, f"{tmp_dir}/e").count() == 0
 
 
-def test_training_needs_both_labels(spark):
-    rows = [(i, "AKIA" + "%016d" % i) for i in range(5)]
+def test_findings_of_one_label_are_scored_by_it(spark):
+    rows = [(i, "AKIA" + "%016d" % i) for i in range(5)] + [(9, "x1" * 12)]
+    df = frame(spark, rows)
+    got = {r["doc_id"]: (r["score"], r["is_secret"]) for r in secret_scan.scan_secrets(df).collect()}
+    assert got == {**{i: (1.0, True) for i in range(5)}, 9: (0.5, True)}
+    found = secret_scan.candidates(df, secret_scan.lexicon(df))
     with pytest.raises(ValueError):
-        secret_scan.scan_secrets(frame(spark, rows)).count()
+        secret_scan.train(secret_scan.format_labels(found))
