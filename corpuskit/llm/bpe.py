@@ -19,7 +19,7 @@ import hashlib
 import heapq
 from array import array
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -284,15 +284,16 @@ class SliceCache:
         """(ids of all slices in order, number of ids of each slice)."""
         if len(self.slot) > self.limit:
             self.clear()
-        slots = list(map(self.slot.get, slices))
-        if None in slots:
-            new = list(dict.fromkeys(s for s, k in zip(slices, slots, strict=True) if k is None))
+        slots = np.fromiter(map(self.slot.get, slices, repeat(-1)), np.int64, len(slices))
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            unknown = [slices[i] for i in missing.tolist()]
+            new = list(dict.fromkeys(unknown))
             for s, ids in zip(new, self.encode(new), strict=True):
                 self.slot[s] = len(self.slot)
                 self.flat.extend(ids)
                 self.begin.append(len(self.flat))
-            slots = list(map(self.slot.get, slices))
-        slots = np.array(slots, np.int64)
+            slots[missing] = np.fromiter(map(self.slot.get, unknown), np.int64, len(unknown))
         begin = np.array(self.begin, np.int64)
         flat = np.array(self.flat, np.uint32)
         counts = begin[slots + 1] - begin[slots]

@@ -72,6 +72,17 @@ def unpack(payload: bytes, width: int, start: int, stop: int) -> np.ndarray:
     return out.ravel()[start - group * 64:stop - group * 64].astype(np.uint32)
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in byte-level vocabularies: visible characters of Latin-1 stand
+    for themselves, the other bytes for the code points from 256 on, in order."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in visible]
+    return {b: b for b in visible} | {b: 256 + n for n, b in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 class LibraryTokenizer:
     """A tokenizer file of the ``tokenizers`` library; special tokens in texts are ordinary text."""
 
@@ -88,7 +99,13 @@ class LibraryTokenizer:
         self.cache = SliceCache(self._encode)
 
     def _encode(self, new: list[bytes]) -> list[list[int]]:
-        texts = [s.decode("utf-8", "replace") for s in new]
+        # a slice is one pre-token: the library's model takes it as it would after its own splitting
+        if self.by_slice:
+            tokenize = self.tokenizer.model.tokenize
+            return [[t.id for t in tokenize(s.decode("latin-1").translate(BYTE_LETTERS))] for s in new]
+        return self._batch([s.decode("utf-8", "replace") for s in new])
+
+    def _batch(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, piece) -> tuple[np.ndarray, np.ndarray]:
