@@ -5,12 +5,14 @@
 2. ``BANDS`` bands of ``ROWS`` MinHash samples give candidate buckets. Two sets at the threshold of 0.8
    miss each other with probability (1 - 0.8**6)**40 = 5e-6, and less above it.
 3. The samples are folded into an odd sketch: a bitmap of parities. The population count of the XOR of
-   two sketches estimates their similarity; a pair is dropped only when it is far (five deviations)
+   two sketches estimates their similarity; a pair is dropped only when it is far (4.5 deviations)
    beyond the threshold.
 4. What is left is confirmed on the whole sets, computed again from the two texts.
-5. Every bucket first compares its members with its smallest member only. Members that are then still
-   in different components are compared with each other, in blocks, so every candidate pair is
-   either compared or already in one component: groups are whole, without all pairs of a group.
+5. Each member is first compared with one other only: the member of its buckets that shares most
+   buckets with others, which is the likeliest centre of the group. Members of a bucket that are then
+   still in different components are compared with each other, in blocks that write only what passes,
+   so every candidate pair is either compared or already in one component: groups are whole, without
+   a row for each pair of a group.
 
 Defined results: a text without words (null, empty or blank) has an empty set and is alone; rows with
 a null id are alone, with a null component; repeated rows are one class; an empty table gives an
@@ -23,26 +25,30 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from corpuskit.llm.components import components
 from corpuskit.llm.textvec import U64, Words, mix, pieces, seeds, shingle_places, shingles, with_doc
-from corpuskit.session import cut_lineage, ship_package
+from corpuskit.llm.staging import staged
+from corpuskit.session import ship_package
 
 BANDS, ROWS = 40, 6
 SAMPLES = BANDS * ROWS
-SKETCH_BITS = 512
+SKETCH_BITS = 1024
 SKETCH_LONGS = SKETCH_BITS // 64
-BLOCK_MEMBERS = 512
+BLOCK_MEMBERS = 2048
 
 
-def sketch_limit(similarity: float, deviations: float = 5.0) -> int:
-    """Largest XOR population count that a pair of this similarity may show."""
-    differ = SAMPLES * (1 - similarity) + deviations * math.sqrt(SAMPLES * similarity * (1 - similarity))
-    odd = (1 - (1 - 2 / SKETCH_BITS) ** (2 * differ)) / 2
-    return math.ceil(SKETCH_BITS * odd + deviations * math.sqrt(SKETCH_BITS * odd * (1 - odd)))
+def sketch_limit(similarity: float, deviations: float = 4.5) -> int:
+    """Largest XOR population count that a pair of this similarity may show: the mean, and so many
+    standard deviations of the MinHash samples and of the parities together."""
+    differ = SAMPLES * (1 - similarity)
+    slope = (1 - 2 / SKETCH_BITS) ** (2 * differ)
+    odd = (1 - slope) / 2
+    spread = 2 * slope * math.sqrt(differ * similarity), math.sqrt(SKETCH_BITS * odd * (1 - odd))
+    return math.ceil(SKETCH_BITS * odd + deviations * math.hypot(*spread))
 
 
 def shingle_sets(piece, k: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -149,28 +155,67 @@ def _near_sketches(pairs: DataFrame, sketches: DataFrame, limit: int) -> DataFra
     return pairs.join(side("b"), "b").join(side("a"), "a").where(bits <= limit).select("a", "b")
 
 
-def _block_pairs(members: DataFrame, limit: int) -> DataFrame:
-    """``members(bucket, n, id, label, sketch)`` -> pairs of one bucket with other labels and near
-    sketches. A bucket of n members is dealt out as pairs of blocks of about BLOCK_MEMBERS."""
+def _small_sets(texts: DataFrame, k: int, lower: bool) -> DataFrame:
+    """(id, grams): the shingle set of each text as 32-bit values, for counting common shingles in blocks."""
+    schema = StructType([texts.schema["id"], StructField("grams", BinaryType())])
+
+    def run(batches):
+        for batch in batches:
+            for p in pieces(batch.column(1)):
+                grams, docs = shingle_sets(p, k, lower)
+                at = np.searchsorted(docs, np.arange(p.n_docs + 1)).tolist()
+                small = (grams >> U64(32)).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(p.first, p.n_docs),
+                     pa.array([small[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)], pa.binary())],
+                    names=schema.fieldNames())
+
+    return texts.select("id", "text").mapInArrow(run, schema)
+
+
+def _block_links(members: DataFrame, limit: int, percent: int) -> DataFrame:
+    """``members(bucket, n, id, label, bands, sketch, grams)`` -> the likeliest links (a, b) between members of
+    a bucket that have other labels: for each member and other label the two best pairs that pass.
+
+    A bucket of n members is dealt out as pairs of blocks of about BLOCK_MEMBERS. A pair is looked at in
+    the first bucket that both have in common only, so the work is once a pair; pairs that fail are not
+    written. Common shingles are counted on 32-bit values, with one to spare for a collision.
+    """
     blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
     dealt = (members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("bucket", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"),
-                     "mine", "id", "label", "sketch"))
+                     "mine", "id", "label", "bands", "sketch", "grams"))
     id_type = members.schema["id"].dataType
     schema = StructType([StructField("a", id_type), StructField("b", id_type)])
 
     def run(key, table):
-        _, lo, hi = (x.as_py() for x in key)
+        bucket, lo, hi = (x.as_py() for x in key)
         ids, labels, mine = (table[c].to_numpy() for c in ("id", "label", "mine"))
-        sketch = np.stack(table["sketch"].to_numpy(zero_copy_only=False)).view(U64) if len(ids) else np.zeros((0, SKETCH_LONGS), U64)
+        sketch = np.stack(table["sketch"].to_numpy(zero_copy_only=False)).view(U64)
+        bands = np.stack(table["bands"].to_numpy(zero_copy_only=False))
+        band = int(np.argmax(bands[0] == bucket))
+        sets = [np.unique(np.frombuffer(x, np.uint32)) for x in table["grams"].to_pylist()]
+        size = np.array([len(x) for x in sets])
         left, right = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
         out_a, out_b = [ids[:0]], [ids[:0]]
         for i in left:
             other = right[(labels[right] != labels[i]) & ((ids[right] > ids[i]) if lo == hi else True)]
-            near = other[np.bitwise_count(sketch[other] ^ sketch[i]).sum(1) <= limit]
-            out_a.append(np.minimum(ids[near], ids[i]))
-            out_b.append(np.maximum(ids[near], ids[i]))
+            other = other[np.bitwise_count(sketch[other] ^ sketch[i]).sum(1) <= limit]
+            other = other[~(bands[other, :band] == bands[i, :band]).any(1)]
+            for start in range(0, len(other), 512):
+                part = other[start:start + 512]
+                values = np.concatenate([sets[j] for j in part])
+                at = np.minimum(np.searchsorted(sets[i], values), size[i] - 1)
+                owner = np.repeat(np.arange(len(part)), size[part])
+                common = np.bincount(owner[sets[i][at] == values], minlength=len(part)) + 1
+                union = size[i] + size[part] - common
+                good = np.flatnonzero(100 * common >= percent * union)
+                good = good[np.lexsort((-common[good] / union[good], labels[part[good]]))]
+                rank = np.arange(len(good)) - np.searchsorted(labels[part[good]], labels[part[good]])
+                best = part[good[rank < 2]]
+                out_a.append(np.minimum(ids[best], ids[i]))
+                out_b.append(np.maximum(ids[best], ids[i]))
         return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
     return dealt.groupBy("bucket", "lo", "hi").applyInArrow(run, schema)
@@ -182,38 +227,39 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool
     by a Jaccard similarity of at least ``percent`` of their k-word shingle sets, named by its
     smallest id, which is the one that is kept. Ids are integers."""
     limit = sketch_limit(percent / 100)
-    marked = cut_lineage(signatures(docs, k, lower, id_col, text))
+    marked = staged(signatures(docs, k, lower, id_col, text))
     filled = marked.where("n_shingles > 0 and id is not null")
     # rows of a class have the same bands and sketch, so any of them will do
-    classes = cut_lineage(filled.groupBy("set_a", "set_b").agg(
+    classes = staged(filled.groupBy("set_a", "set_b").agg(
         F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     sketches = classes.select("id", "sketch")
     slots = classes.select(F.explode("bands").alias("bucket"), "id")
-    shared = slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("n > 1")
-    buckets = cut_lineage(slots.join(shared, "bucket"))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        near = cut_lineage(_near_sketches(pairs, sketches, limit))
-        ends = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-        rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
-        texts = rows.join(ends, "id", "left_semi").dropDuplicates(["id"])
-        return cut_lineage(similar_pairs(near, texts, k, lower, percent))
-
-    stars = cut_lineage(buckets.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct())
-    links = confirmed(stars)
+    buckets = staged(slots.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1"))
+    # a text that shares most buckets is the likeliest centre of its group: each member meets one first
+    degree = buckets.groupBy("id").agg(F.sum(F.col("n") - 1).alias("degree"))
+    centre = F.max(F.struct("degree", "id")).over(Window.partitionBy("bucket"))
+    hubs = buckets.select("bucket", "id").join(degree, "id").select("id", centre.alias("hub")).groupBy("id").agg(
+        F.max("hub").alias("hub")).select("id", F.col("hub.id").alias("hub")).where("id <> hub")
+    near = staged(_near_sketches(hubs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(),
+                                 sketches, limit))
+    # every text that a comparison may need, shuffled once
+    texts = staged(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
+                   .join(degree.select("id"), "id", "left_semi").dropDuplicates(["id"]))
+    links = staged(similar_pairs(near, texts, k, lower, percent))
     labels = components(links)
     # buckets that still hold several components: members not yet compared with each other
     named = buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "label", F.coalesce("label", "id"))
-    mixed = (named.where("n > 2").groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-             .where("lo < hi").select("bucket"))
-    open_members = named.join(mixed, "bucket", "left_semi").join(sketches, "id").select(
-        "bucket", "n", "id", "label", "sketch")
-    rest = _block_pairs(open_members, limit).distinct().join(stars, ["a", "b"], "left_anti")
-    more = confirmed(cut_lineage(rest))
+    mixed = named.withColumn("lo", F.min("label").over(Window.partitionBy("bucket"))).withColumn(
+        "hi", F.max("label").over(Window.partitionBy("bucket"))).where("lo < hi").select("bucket", "n", "id", "label")
+    mixed = staged(mixed)
+    sets = _small_sets(texts.join(mixed.select("id").distinct(), "id", "left_semi"), k, lower)
+    members = mixed.join(classes.select("id", "bands", "sketch"), "id").join(sets, "id")
+    rest = _block_links(members, limit, percent).distinct()
+    more = staged(similar_pairs(rest, texts, k, lower, percent))
     if more.limit(1).count():
         labels = components(links.union(more))
-    named_sets = cut_lineage(classes.select("set_a", "set_b", "id").join(
+    named_sets = staged(classes.select("set_a", "set_b", "id").join(
         labels.withColumnRenamed("node", "id"), "id", "left").select(
         "set_a", "set_b", F.coalesce("label", "id").alias("label")))
     linked = marked.select("id", "n_shingles", "set_a", "set_b").join(named_sets, ["set_a", "set_b"], "left")
