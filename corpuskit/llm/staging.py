@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame
@@ -27,10 +28,10 @@ def staged(df: DataFrame) -> DataFrame:
 
 
 def _remove() -> None:
-    for spark, path in _WRITTEN:
-        context = spark.sparkContext
-        if context._jsc is None or context._jsc.sc().isStopped():
-            continue
-        target = context._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+    with contextlib.suppress(Exception):  # the JVM may be gone already; then the folder stays
+        for spark, path in _WRITTEN:
+            context = spark.sparkContext
+            if context._jsc is not None and not context._jsc.sc().isStopped():
+                target = context._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
     _WRITTEN.clear()
