@@ -63,25 +63,42 @@ def windows(hashes: Column, size: int, step: int) -> Column:
                                        lambda i: F.slice(h, i, size))).otherwise(F.array().cast("array<array<bigint>>")))
 
 
-def _add(a: Column, b: Column, c: Column) -> tuple[Column, Column]:
-    """Sum and carry of three bits, for 64 bits at once."""
-    odd = a.bitwiseXOR(b)
-    return odd.bitwiseXOR(c), a.bitwiseAND(b).bitwiseOR(c.bitwiseAND(odd))
+def with_simhash(rows: DataFrame, window: str, size: int, out: str) -> DataFrame:
+    """``rows`` with the 64-bit SimHash ``out`` of ``window``, 5 or 9 word hashes: each bit as in most words.
 
-
-def simhash(window: Column, size: int) -> Column:
-    """64-bit SimHash of a window of 5 or 9 word hashes: each bit as in most of the words."""
-    h = [window[i] for i in range(size)]
+    Bits are counted for all 64 places at once, by adders of three bits. Each sum and carry is a column
+    of its own, because one expression for all would be too large a method for the JVM to compile.
+    """
+    names = rows.columns
+    step = 0
+
+    def add(table, a, b, c):
+        nonlocal step
+        step += 1
+        odd = table.withColumn(f"_o{step}", F.col(a).bitwiseXOR(F.col(b)))
+        odd = odd.withColumn(f"_s{step}", F.col(f"_o{step}").bitwiseXOR(F.col(c))).withColumn(
+            f"_c{step}", F.col(a).bitwiseAND(F.col(b)).bitwiseOR(F.col(c).bitwiseAND(F.col(f"_o{step}"))))
+        return odd.drop(f"_o{step}"), f"_s{step}", f"_c{step}"
+
+    # not null, so that no filter on the result is inferred and pushed below its making
+    table = rows.select("*", *[F.coalesce(F.col(window)[i], F.lit(0)).alias(f"_h{i}") for i in range(size)])
     if size == 5:
-        s, c = _add(h[0], h[1], h[2])
-        s, d = _add(s, h[3], h[4])
-        return c.bitwiseAND(d).bitwiseOR(s.bitwiseAND(c.bitwiseXOR(d)))  # two carries, or one and the rest
-    (s1, c1), (s2, c2), (s3, c3) = (_add(*h[i:i + 3]) for i in (0, 3, 6))
-    s, c4 = _add(s1, s2, s3)
-    low, high = _add(c1, c2, c3)  # the count is s + 2 * (low + 2 * high + c4); most is 5 of 9
+        table, s, c = add(table, "_h0", "_h1", "_h2")
+        table, s, d = add(table, s, "_h3", "_h4")
+        c, d, s = F.col(c), F.col(d), F.col(s)
+        most = c.bitwiseAND(d).bitwiseOR(s.bitwiseAND(c.bitwiseXOR(d)))  # two carries, or one and the rest
+        return table.select(*names, most.alias(out))
+    sums, carries = [], []
+    for i in (0, 3, 6):
+        table, s, c = add(table, f"_h{i}", f"_h{i + 1}", f"_h{i + 2}")
+        sums.append(s)
+        carries.append(c)
+    table, s, c4 = add(table, *sums)
+    table, low, high = add(table, *carries)  # the count is s + 2 * (low + 2 * high + c4); most is 5 of 9
+    s, c4, low, high = (F.col(x) for x in (s, c4, low, high))
     three = high.bitwiseAND(low.bitwiseOR(c4))
     two = high.bitwiseXOR(low.bitwiseAND(c4))  # two, or three
-    return three.bitwiseOR(s.bitwiseAND(two))
+    return table.select(*names, three.bitwiseOR(s.bitwiseAND(two)).alias(out))
 
 
 def _blocks(fingerprint: Column, size: int) -> Column:
@@ -130,16 +147,18 @@ def _shingles(words: Column) -> Column:
 
 def _hits(whole: DataFrame, items: DataFrame, size: int, step: int) -> DataFrame:
     """(id, item, at, gram): the shingles of each document around windows within the radius of an item's."""
-    index = (items.select("item", F.size("words").alias("n"), F.posexplode(windows(F.col("words"), size, 1)).alias("off", "w"))
-             .select("item", "n", "off", simhash(F.col("w"), size).alias("print_b"))
+    index = items.select("item", F.size("words").alias("n"), F.posexplode(windows(F.col("words"), size, 1)).alias("off", "w"))
+    index = (with_simhash(index, "w", size, "print_b").select("item", "n", "off", "print_b")
              .withColumn("key", F.explode(_blocks(F.col("print_b"), size))))
     index = staged(index)
     if index.count() <= BROADCAST_ROWS:
         index = F.broadcast(index)
     # outer, so that no filter is inferred that would compute the windows twice
-    prints = (whole.select("id", "words", F.posexplode_outer(windows(F.col("words"), size, step)).alias("i", "w"))
-              .select("id", "words", "i", simhash(F.col("w"), size).alias("print_a"))
-              .select("id", "words", "i", "print_a", F.explode(_blocks(F.col("print_a"), size)).alias("key")))
+    # a column of its own, so that the generator is compiled with what follows and no window copies the words
+    read = (whole.select("id", "words", windows(F.col("words"), size, step).alias("ws"))
+            .select("id", "words", F.posexplode_outer("ws").alias("i", "w")).where("w is not null"))
+    prints = with_simhash(read, "w", size, "print_a").select(
+        "id", "words", "i", "print_a", F.explode(_blocks(F.col("print_a"), size)).alias("key"))
     close = F.bit_count(F.col("print_a").bitwiseXOR(F.col("print_b"))) <= RADIUS
     # the document's words from an item's length before where the item would begin to one behind its end
     begin = F.greatest(F.lit(0), F.col("i") * step - F.col("off") - F.col("n"))
