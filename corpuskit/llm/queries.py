@@ -48,19 +48,25 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five batches over ``documents``: all counted by tokenizer words-1; all by words-2; documents labelled
     toxic cut to their first line (revised count); documents of quality 0 deleted; the first one again."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    labels = table(spark, sf_dir, "labels")
-    toxic = docs.join(labels.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
-    bad = docs.join(labels.where("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    docs = table(spark, sf_dir, "documents")
     text = F.col("text")
+
+    def counted(n):  # counted where the text is read, so that joins move numbers, not texts
+        return docs.select("doc_id", "source", "lang", n.alias("n"))
+
+    labels = table(spark, sf_dir, "labels")
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    bad = labels.where("quality = 0").select("doc_id").distinct()
+    first_lines = counted(word_tokens(F.substring_index(text, "\n", 1))).join(toxic, "doc_id", "left_semi")
+    gone = docs.select("doc_id", "source", "lang").join(bad, "doc_id", "left_semi")
     ledger = TokenCounts(spark, scratch_path(spark, f"token-counts-{uuid.uuid4().hex}"))
-    first = changes(docs, "insert", "words-1", word_tokens(text))
-    ledger.commit("load", first)
-    ledger.commit("words-2", changes(docs, "insert", "words-2", run_tokens(text)))
-    ledger.commit("toxic", changes(toxic, "revise", "words-1", word_tokens(F.substring_index(text, "\n", 1))))
-    ledger.commit("quality", changes(bad, "delete", "words-1", F.lit(0)).unionByName(
-        changes(bad, "delete", "words-2", F.lit(0))))
-    ledger.commit("load", first)
+    load = changes(counted(word_tokens(text)), "insert", "words-1", F.col("n"))
+    ledger.commit("load", load)
+    ledger.commit("words-2", changes(counted(run_tokens(text)), "insert", "words-2", F.col("n")))
+    ledger.commit("toxic", changes(first_lines, "revise", "words-1", F.col("n")))
+    ledger.commit("quality", changes(gone, "delete", "words-1", F.lit(0)).unionByName(
+        changes(gone, "delete", "words-2", F.lit(0))))
+    ledger.commit("load", load)
     return ledger.totals()
 
 
