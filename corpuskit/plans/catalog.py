@@ -214,7 +214,7 @@ def label_centroids(spark, d):
 
 def q_approx_top_k(spark, d):
     index = ivf_from_centroids(table(spark, d, "embeddings"), label_centroids(spark, d), c_id="vec_id")
-    return _ranked_out(approx_top_k(vector_questions(spark, d), index, TOP_K, n_probe=2))
+    return _ranked_out(approx_top_k(vector_questions(spark, d), index, TOP_K, n_probe=8))
 
 
 def corpus_chunks(spark, d):

@@ -322,7 +322,7 @@ near AS (
 pairs AS (
   SELECT q.vec_id AS question_id, x.vec_id AS cid,
          list_sum(list_transform(range(1, {DIM} + 1), lambda i: (q.vec[i] - x.vec[i]) * (q.vec[i] - x.vec[i]))) AS d
-  FROM e q JOIN near probe ON probe.vec_id = q.vec_id AND probe.n <= 2 JOIN near own ON own.cell = probe.cell AND own.n = 1
+  FROM e q JOIN near probe ON probe.vec_id = q.vec_id AND probe.n <= 8 JOIN near own ON own.cell = probe.cell AND own.n = 1
   JOIN e x ON x.vec_id = own.vec_id WHERE q.vec_id % 50 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(d, 9), cid) AS rank FROM pairs)
 SELECT question_id, CAST(rank AS INTEGER) AS rank, cid AS vec_id, round(d, 6) AS distance, round(exp(-d), 6) AS score
