@@ -7,12 +7,12 @@
 3. The samples are folded into an odd sketch: a bitmap of parities. The population count of the XOR of
    two sketches estimates their similarity; a pair is dropped only when it is far (4.5 deviations)
    beyond the threshold.
-4. What is left is confirmed on the whole sets, computed again from the two texts.
+4. What is left is decided on the whole sets of 64-bit shingle hashes.
 5. Each member is first compared with one other only: the member of its buckets that shares most
    buckets with others, which is the likeliest centre of the group. Members of a bucket that are then
-   still in different components are compared with each other, in blocks that write only what passes,
-   so every candidate pair is either compared or already in one component: groups are whole, without
-   a row for each pair of a group.
+   still in different components are compared with each other, in blocks that write only links, the first
+   between two components. So every candidate pair is either decided or already in one component: groups
+   are whole, without a row for each pair of a group.
 
 Defined results: a text without words (null, empty or blank) has an empty set and is alone; rows with
 a null id are alone, with a null component; repeated rows are one class; an empty table gives an
@@ -155,31 +155,32 @@ def _near_sketches(pairs: DataFrame, sketches: DataFrame, limit: int) -> DataFra
     return pairs.join(side("b"), "b").join(side("a"), "a").where(bits <= limit).select("a", "b")
 
 
-def _small_sets(texts: DataFrame, k: int, lower: bool) -> DataFrame:
-    """(id, grams): the shingle set of each text as 32-bit values, for counting common shingles in blocks."""
+def _sorted_sets(texts: DataFrame, k: int, lower: bool) -> DataFrame:
+    """(id, grams): the sorted shingle hashes of each text, for deciding pairs in blocks."""
     schema = StructType([texts.schema["id"], StructField("grams", BinaryType())])
 
     def run(batches):
         for batch in batches:
             for p in pieces(batch.column(1)):
                 grams, docs = shingle_sets(p, k, lower)
+                grams = grams[np.lexsort((grams, docs))]
                 at = np.searchsorted(docs, np.arange(p.n_docs + 1)).tolist()
-                small = (grams >> U64(32)).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(p.first, p.n_docs),
-                     pa.array([small[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)], pa.binary())],
+                     pa.array([grams[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)], pa.binary())],
                     names=schema.fieldNames())
 
     return texts.select("id", "text").mapInArrow(run, schema)
 
 
 def _block_links(members: DataFrame, limit: int, percent: int) -> DataFrame:
-    """``members(bucket, n, id, label, bands, sketch, grams)`` -> the likeliest links (a, b) between members of
-    a bucket that have other labels: for each member and other label the two best pairs that pass.
+    """``members(bucket, n, id, label, bands, sketch, grams)`` -> links (a, b) between members of a bucket that
+    have other labels, each decided on the whole sets.
 
     A bucket of n members is dealt out as pairs of blocks of about BLOCK_MEMBERS. A pair is looked at in
     the first bucket that both have in common only, so the work is once a pair; pairs that fail are not
-    written. Common shingles are counted on 32-bit values, with one to spare for a collision.
+    written. The members of a label are in one component already, and two labels of a block are after their
+    first link: that one is written, and members that it joins are not compared any more.
     """
     blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
     dealt = (members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -192,10 +193,11 @@ def _block_links(members: DataFrame, limit: int, percent: int) -> DataFrame:
     def run(key, table):
         bucket, lo, hi = (x.as_py() for x in key)
         ids, labels, mine = (table[c].to_numpy() for c in ("id", "label", "mine"))
+        labels = labels.copy()  # links join them as they are found
         sketch = np.stack(table["sketch"].to_numpy(zero_copy_only=False)).view(U64)
         bands = np.stack(table["bands"].to_numpy(zero_copy_only=False))
         band = int(np.argmax(bands[0] == bucket))
-        sets = [np.unique(np.frombuffer(x, np.uint32)) for x in table["grams"].to_pylist()]
+        sets = [np.frombuffer(x, U64) for x in table["grams"].to_pylist()]
         size = np.array([len(x) for x in sets])
         left, right = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
         out_a, out_b = [ids[:0]], [ids[:0]]
@@ -203,19 +205,19 @@ def _block_links(members: DataFrame, limit: int, percent: int) -> DataFrame:
             other = right[(labels[right] != labels[i]) & ((ids[right] > ids[i]) if lo == hi else True)]
             other = other[np.bitwise_count(sketch[other] ^ sketch[i]).sum(1) <= limit]
             other = other[~(bands[other, :band] == bands[i, :band]).any(1)]
-            for start in range(0, len(other), 512):
-                part = other[start:start + 512]
+            while len(other):
+                part, other = other[:512], other[512:]
                 values = np.concatenate([sets[j] for j in part])
                 at = np.minimum(np.searchsorted(sets[i], values), size[i] - 1)
                 owner = np.repeat(np.arange(len(part)), size[part])
-                common = np.bincount(owner[sets[i][at] == values], minlength=len(part)) + 1
+                common = np.bincount(owner[sets[i][at] == values], minlength=len(part))
                 union = size[i] + size[part] - common
-                good = np.flatnonzero(100 * common >= percent * union)
-                good = good[np.lexsort((-common[good] / union[good], labels[part[good]]))]
-                rank = np.arange(len(good)) - np.searchsorted(labels[part[good]], labels[part[good]])
-                best = part[good[rank < 2]]
-                out_a.append(np.minimum(ids[best], ids[i]))
-                out_b.append(np.maximum(ids[best], ids[i]))
+                linked = part[(100 * common >= percent * union) & (common > 0)]
+                linked = linked[np.unique(labels[linked], return_index=True)[1]]
+                out_a.append(np.minimum(ids[linked], ids[i]))
+                out_b.append(np.maximum(ids[linked], ids[i]))
+                labels[np.isin(labels, labels[linked])] = labels[i]
+                other = other[labels[other] != labels[i]]
         return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
     return dealt.groupBy("bucket", "lo", "hi").applyInArrow(run, schema)
@@ -253,10 +255,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool
     mixed = named.withColumn("lo", F.min("label").over(Window.partitionBy("bucket"))).withColumn(
         "hi", F.max("label").over(Window.partitionBy("bucket"))).where("lo < hi").select("bucket", "n", "id", "label")
     mixed = staged(mixed)
-    sets = _small_sets(texts.join(mixed.select("id").distinct(), "id", "left_semi"), k, lower)
+    sets = _sorted_sets(texts.join(mixed.select("id").distinct(), "id", "left_semi"), k, lower)
     members = mixed.join(classes.select("id", "bands", "sketch"), "id").join(sets, "id")
-    rest = _block_links(members, limit, percent).distinct()
-    more = staged(similar_pairs(rest, texts, k, lower, percent))
+    more = staged(_block_links(members, limit, percent).distinct())
     if more.limit(1).count():
         labels = components(links.union(more))
     named_sets = staged(classes.select("set_a", "set_b", "id").join(

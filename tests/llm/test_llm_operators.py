@@ -162,6 +162,21 @@ def test_near_duplicates_in_blocks_equal_brute_force(spark, monkeypatch):
     assert got == brute.groups(as_dicts(texts), 2)
 
 
+def test_block_links_reach_a_member_behind_nearer_ones_that_fail(spark):
+    """Of one label, two members share more with document 0 in relation but are below the threshold."""
+    w = ["w%d" % i for i in range(25)]
+    texts = [(0, " ".join(w)), (1, " ".join(w[:20])), (2, " ".join(w[1:21])),
+             (3, " ".join([*("x%d" % i for i in range(6)), *w]))]
+    sets = [brute.shingle_set(t, 2) for _, t in texts]
+    assert [100 * len(sets[0] & s) >= 80 * len(sets[0] | s) for s in sets] == [True, False, False, True]
+    df = spark.createDataFrame(texts, "id long, text string")
+    members = (minhash_dedup.signatures(df, 2, True, "id").join(minhash_dedup._sorted_sets(df, 2, True), "id")
+               .withColumn("bucket", F.explode("bands")).withColumn("n", F.lit(4))
+               .withColumn("label", F.when(F.col("id") == 0, 0).otherwise(1).cast("long")))
+    got = minhash_dedup._block_links(members, minhash_dedup.sketch_limit(0.8), 80).distinct().collect()
+    assert [tuple(r) for r in got] == [(0, 3)]
+
+
 def test_odd_sketch_limit_keeps_pairs_at_the_threshold():
     rng = np.random.default_rng(5)
     limit = minhash_dedup.sketch_limit(0.8)
