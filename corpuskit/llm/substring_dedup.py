@@ -8,9 +8,10 @@ its equals in its shard.
 2. Each text is cut into runs of windows with one anchor. Anchors of one document only are dropped.
 3. Runs with the same words are one segment, whose text is read once, from its first document.
 4. Segments of an anchor with very many of them (the two ends of a passage that many documents hold,
-   each in other surroundings) are cut into single windows, which are told apart by their first and
-   last gram as well, so that such an anchor spreads over many shards.
-5. Each shard indexes its segments: BWT in a wavelet matrix, with the smallest document id of any range
+   each in other surroundings) are cut into single windows instead, one row of hashes each. Equal windows
+   are merged to their smallest id by an aggregate, and a join marks every later holder as covered. So
+   no shard holds more than ``hot`` segments of an anchor.
+5. Each shard indexes the other segments: BWT in a wavelet matrix, with the smallest document id of any range
    of suffixes. Each segment is streamed through the index from right to left; its matching statistics
    against documents of smaller ids give the intervals of at least ``window`` words.
 
@@ -38,7 +39,6 @@ WINDOW = 50
 GRAM = 8
 SHARD_WORDS = 400_000
 HOT_SEGMENTS = 2_000
-GAP = r"[\x20\x09-\x0D]+"
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -138,23 +138,22 @@ def _segment_texts(rows: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _single_windows(segments: DataFrame, window: int, gram: int) -> DataFrame:
-    """Segments cut into windows: (id, anchor, seg, at, key), key from the first and last gram."""
+def _single_windows(segments: DataFrame, window: int) -> DataFrame:
+    """Segments cut into windows: (id, anchor, seg, at, win), ``win`` the hash of the window's words."""
     schema = StructType([segments.schema["id"], StructField("anchor", LongType()), StructField("seg", LongType()),
-                         StructField("at", IntegerType()), StructField("key", LongType())])
+                         StructField("at", IntegerType()), StructField("win", LongType())])
     source = segments.select("words", "id", "anchor", "seg")
 
     def run(batches):
         for batch in batches:
             for p in pieces(batch.column(0)):
                 words = Words(p)
-                grams = shingles(words.hashes, gram)
                 places, doc = shingle_places(words.of, window)
-                key = mix(grams[places] * U64(3) + grams[places + window - gram]) if len(places) else np.zeros(0, U64)
+                win = range_hashes(mix(words.hashes), places, places + window)
                 take = pa.array(doc + p.first)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(1).take(take), batch.column(2).take(take), batch.column(3).take(take),
-                     pa.array((places - words.of[doc]).astype(np.int32)), pa.array(key.view(np.int64))],
+                     pa.array((places - words.of[doc]).astype(np.int32)), pa.array(win.view(np.int64))],
                     names=schema.fieldNames())
 
     return source.mapInArrow(run, schema)
@@ -213,8 +212,8 @@ def _search_shard(table: pa.Table, window: int) -> pa.Table:
     seg, lo, hi = covered_windows(index, text, first, stop, own, window)
     return pa.table({
         "anchor": table["anchor"].take(pa.array(seg)), "seg": table["seg"].take(pa.array(seg)),
-        "from": pa.array((lo - first[seg] + table["at"].to_numpy()[seg]).astype(np.int32)),
-        "to": pa.array((hi - first[seg] + table["at"].to_numpy()[seg] + window).astype(np.int32))})
+        "from": pa.array((lo - first[seg]).astype(np.int32)),
+        "to": pa.array((hi - first[seg] + window).astype(np.int32))})
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text: str = "text",
@@ -240,23 +239,21 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     wanted = owned.groupBy("id").agg(F.collect_list(F.struct("place", "windows", "anchor", "seg")).alias("wanted"))
     segments = staged(_segment_texts(source.join(wanted, "id").select("id", "text", "wanted"), window))
     busy = staged(segments.groupBy("anchor").count().where(F.col("count") > hot).select("anchor"))
-    plain = segments.join(busy, "anchor", "left_anti").select(
-        "id", "anchor", "seg", F.lit(0).alias("at"), F.col("anchor").alias("key"), "words")
-    single = staged(_single_windows(segments.join(busy, "anchor", "left_semi"), window, gram))
-    paired = single.groupBy("anchor", "key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    alike = single.join(paired.select("anchor", "key"), ["anchor", "key"]).join(
-        segments.select("anchor", "seg", "id", "words"), ["anchor", "seg", "id"]).select(
-        "id", "anchor", "seg", "at", F.xxhash64("anchor", "key").alias("key"),
-        F.array_join(F.slice(F.split("words", GAP), F.col("at") + 1, window), " ").alias("words"))
-    indexed = plain.unionByName(alike)
-    n_words = indexed.agg(F.sum(F.length("words"))).first()[0] or 0
+    plain = segments.join(busy, "anchor", "left_anti").select("id", "anchor", "seg", "words")
+    n_words = plain.agg(F.sum(F.length("words"))).first()[0] or 0
     shards = max(1, -(-n_words // (5 * shard_words)))
     schema = StructType([StructField("anchor", LongType()), StructField("seg", LongType()),
                          StructField("from", IntegerType()), StructField("to", IntegerType())])
-    found = staged(
-        indexed.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-        .groupBy("shard").applyInArrow(lambda table: _search_shard(table, window), schema)
-        .groupBy("anchor", "seg").agg(F.collect_list(F.struct("from", "to")).alias("spans")))
+    matched = (plain.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+               .groupBy("shard").applyInArrow(lambda table: _search_shard(table, window), schema))
+    # written, so that the join reads it by an exchange and a window that very many hold can be dealt out
+    single = staged(_single_windows(segments.join(busy, "anchor", "left_semi"), window))
+    earliest = staged(single.groupBy("anchor", "win").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+                      .where("lo < hi").drop("hi"))
+    later = single.join(earliest, ["anchor", "win"]).where("id > lo").select(
+        "anchor", "seg", F.col("at").alias("from"), (F.col("at") + window).cast("int").alias("to"))
+    found = staged(matched.unionByName(later).groupBy("anchor", "seg").agg(
+        F.collect_list(F.struct("from", "to")).alias("spans")))
 
     # a segment's first document loses what the index found; each later holder of it loses all
     by_segment = staged(owners.withColumnRenamed("id", "owner").join(found, ["anchor", "seg"], "left"))

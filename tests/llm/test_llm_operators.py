@@ -247,6 +247,24 @@ def test_substring_dedup(spark, texts):
     assert sorted(hashlib.sha256(r["kept"].encode()).hexdigest() for r in cut) == sorted(r[3] for r in got)
 
 
+def test_a_passage_that_many_hold_is_not_gathered_in_a_shard(spark, monkeypatch):
+    """Equal windows of a hot anchor are merged before the shards, and every later holder loses them."""
+    own = lambda i, n: " ".join("o%d.%d" % (i, j) for j in range(n))
+    passage = " ".join("p%d" % j for j in range(30))
+    rows = [(i, f"{own(i, 20)} {passage} {own(-1 - i, 15)}") for i in range(60)] + [(90, own(3, 20)), (91, passage)]
+    search = substring_dedup._search_shard
+
+    def bounded(table, window):
+        assert max(table["anchor"].value_counts().field("counts").to_pylist()) <= 5
+        return search(table, window)
+
+    monkeypatch.setattr(substring_dedup, "_search_shard", bounded)
+    df = frame(spark, rows)
+    spans = substring_dedup.repeated_spans(df, 12, gram=4, hot=5, shard_words=20)
+    got = sorted((tuple(r) for r in substring_dedup.kept_digests(df, spans).collect()), key=str)
+    assert got == brute.passages(as_dicts(rows), 12) and sum(r[2] for r in got) == 60 * 30 + 20
+
+
 def test_repeated_ids_do_not_mix_in_substring_dedup(spark):
     rows = [(5, "a b c d e f g h"), (5, "x a b c d e y"), (6, "q a b c d e f"), (4, "x a b c z")]
     got = sorted(tuple(r)[:3] for r in substring_dedup.kept_digests(
