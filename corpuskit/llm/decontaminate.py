@@ -14,7 +14,8 @@ weight found in the document (each shingle as often as it stands there, at most
 0.8 of the whole. Words are lower-cased runs without white space.
 
 Defined results: null, empty or blank texts and items match nothing; items of fewer than five words have
-no shingle and are too short to prove a leak; rows that repeat an id are judged as one document or item;
+no shingle and are too short to prove a leak; rows that repeat an id are judged as one document or item,
+and item rows that repeat id and words count once;
 empty tables give an empty result; other columns play no part. Only the index of the items is
 broadcast, and only while its counted size is below ``BROADCAST_ROWS``; else the join shuffles.
 """
@@ -112,7 +113,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
           item_text: str = "text") -> DataFrame:
     """(id_col, item_id, matched, total): documents that hold an item, with the weights found and in all."""
     item_rows = items.select(F.col(f"`{item_id}`").alias("item"), word_hashes(F.col(f"`{item_text}`")).alias("words"))
-    item_rows = staged(item_rows.where((F.size("words") >= SHINGLE) & F.col("item").isNotNull())
+    # a row that is there twice is one, or the item's weights would double
+    item_rows = staged(item_rows.where((F.size("words") >= SHINGLE) & F.col("item").isNotNull()).distinct()
                             .withColumn("run", intact_run(F.size("words"))))
     whole = docs.select(F.col(f"`{id_col}`").alias("id"), word_hashes(F.col(f"`{text}`")).alias("words"))
     near = None

@@ -220,6 +220,15 @@ def test_benchmark_leaks(spark, texts):
         (i or -1 for i, _ in rows if i not in {d for d, _ in want}))
 
 
+def test_a_repeated_benchmark_row_counts_once(spark):
+    item = " ".join("i%d" % i for i in range(20))
+    rows = [(1, "before it " + item + " behind it"), (2, "nothing of it " * 9)]
+    bench = spark.createDataFrame([(7, item), (7, item), (7, item.upper() + " ")], "item_id long, text string")
+    df = frame(spark, rows)
+    assert [tuple(r) for r in decontaminate.leaks(df, bench).collect()] == [(1, 7, 16, 16)]
+    assert [r["doc_id"] for r in decontaminate.decontaminate(df, bench).collect()] == [2]
+
+
 def test_leaks_run_without_python(spark, texts):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o")], "item_id long, text string")
     plan = decontaminate.leaks(frame(spark, texts), bench)._jdf.queryExecution().executedPlan().toString()
