@@ -8,7 +8,8 @@ unpacks with a few numpy operations. The files are written by Spark's Parquet wr
 any store that Spark reaches, and only files of a committed job are seen.
 
 Encoding splits the text where the tokenizer itself would (byte-level pre-tokenizers only) and asks the
-library for each distinct slice once; a tokenizer of another kind gets the whole texts.
+library for each distinct slice once; a tokenizer of another kind gets the whole texts, and so does any
+tokenizer a text that holds one of its added tokens (``<|endoftext|>``), which is that token's id.
 
 Defined results: a null or empty text has the end id only; rows with equal ids follow one another in the
 order of their texts; a null id comes first; an empty table writes no block and reads back empty.
@@ -84,36 +85,53 @@ BYTE_LETTERS = _byte_letters()
 
 
 class LibraryTokenizer:
-    """A tokenizer file of the ``tokenizers`` library; special tokens in texts are ordinary text."""
+    """A tokenizer file of the ``tokenizers`` library, as loaded: added tokens in texts are those tokens."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         before = spec.get("pre_tokenizer") or {}
         self.by_slice = (before.get("type") == "ByteLevel" and not before.get("add_prefix_space")
                          and before.get("use_regex", True) and not spec.get("normalizer"))
+        self.added = [t["content"].encode() for t in spec.get("added_tokens") or ()]
         self.cache = SliceCache(self._encode)
 
     def _encode(self, new: list[bytes]) -> list[list[int]]:
         # a slice is one pre-token: the library's model takes it as it would after its own splitting
-        if self.by_slice:
-            tokenize = self.tokenizer.model.tokenize
-            return [[t.id for t in tokenize(s.decode("latin-1").translate(BYTE_LETTERS))] for s in new]
-        return self._batch([s.decode("utf-8", "replace") for s in new])
+        tokenize = self.tokenizer.model.tokenize
+        return [[t.id for t in tokenize(s.decode("latin-1").translate(BYTE_LETTERS))] for s in new]
 
-    def _batch(self, texts: list[str]) -> list[list[int]]:
+    def _encode_whole(self, piece, docs) -> list[list[int]]:
+        texts = [piece.text(i).decode("utf-8", "replace") for i in docs]
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _with_added(self, piece) -> list[int]:
+        """Documents of the piece that hold the text of an added token."""
+        raw, found = piece.data.tobytes(), set()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                doc = int(np.searchsorted(piece.bounds, at, "right")) - 1
+                found.add(doc)
+                # on in the next document; a match that runs over the bound of two does no harm
+                at = raw.find(token, int(piece.bounds[doc + 1]))
+        return sorted(found)
+
     def ids(self, piece) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the texts of a piece, bounds by document)."""
         if self.by_slice:
             _, ids, bounds, *_ = encode_piece(piece, self.cache)
-            return ids, bounds
-        lists = self._encode([piece.text(i) for i in range(piece.n_docs)])
+            whole = self._with_added(piece)
+            if not whole:
+                return ids, bounds
+            parts = np.split(ids, bounds[1:-1])
+            for i, own in zip(whole, self._encode_whole(piece, whole), strict=True):
+                parts[i] = np.array(own, ids.dtype)
+            return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+        lists = self._encode_whole(piece, range(piece.n_docs))
         bounds = np.cumsum([0, *map(len, lists)])
         return np.array([x for ids in lists for x in ids], np.uint32), bounds
 

@@ -342,6 +342,20 @@ def test_token_output(spark, texts, tmp_dir):
     assert got == {w[0]: w[4] for w in want if w[0] in (3, 47)}
 
 
+def test_token_output_of_added_tokens_equals_the_untouched_library(spark, tmp_dir):
+    from tokenizers import Tokenizer
+
+    end = "<|endoftext|>"
+    rows = list(enumerate(["a" + end + "b", "plain text, it's", end, f" x {end}{end}  y\n", "é" + end, "", None, "<|endof", "text|>",
+                           "中 " + end + " tail", "the last"]))
+    tokenizer = Tokenizer.from_file(JSON)
+    want = {i: tokenizer.encode(t or "", add_special_tokens=False).ids for i, t in rows}
+    assert want[0] == [64, 50256, 65]
+    token_output.write_token_blocks(frame(spark, rows, 1), f"{tmp_dir}/a", JSON, 50257, block_ids=10)
+    got = {r["id"]: r["tokens"] for r in token_output.read_token_ids(spark, f"{tmp_dir}/a").collect()}
+    assert got == want
+
+
 def test_byte_bpe_equals_the_library(spark, texts):
     rng = random.Random(1)
     alphabet = list("ab'stmdrevl  \n\t é1２٣!.#'’中𝒳 \r x́\x1c\x85")
