@@ -17,9 +17,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from array import array
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from corpuskit.llm.textvec import Piece, pieces
+from corpuskit.llm.textvec import Piece, pieces, span_hashes
 from corpuskit.session import ship_package
 
-CACHE_SLICES = 400_000  # a cache only: emptied when full, results do not depend on it
+CACHE_SLICES = 1_000_000  # a cache only: emptied when full, results do not depend on it
+LONG_SLICE = 512  # bytes from which on a slice is merged by a heap, not in rounds with the others
 BLOCK = 64
 
 # Classes of code points; + FIRST for the first code point of a text.
@@ -178,6 +178,7 @@ class PairTable:
         self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.none = 1 << 32
+        self.lookup = pairs  # (left << 32 | right) -> merged id
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merged id of each pair; ``none`` where the pair does not merge."""
@@ -193,7 +194,7 @@ def merge_long(word: bytes, pairs: PairTable) -> list[int]:
     n = len(word)
     ids = pairs.of_byte[np.frombuffer(word, np.uint8)].tolist()
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    lookup = dict(zip(pairs.keys.tolist(), pairs.merged.tolist(), strict=True))
+    lookup = pairs.lookup
     heap: list = []
 
     def offer(i):
@@ -218,7 +219,7 @@ def merge_long(word: bytes, pairs: PairTable) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
-def merge_slices(slices: list[bytes], pairs: PairTable, long: int = 64) -> list[list[int]]:
+def merge_slices(slices: list[bytes], pairs: PairTable, long: int = LONG_SLICE) -> list[list[int]]:
     """Ids of each slice. In each round every slice merges one pair: the one of lowest rank, the
     leftmost among equals. All slices of a round are handled together; finished ones leave."""
     out: list = [None] * len(slices)
@@ -269,46 +270,137 @@ def merge_slices(slices: list[bytes], pairs: PairTable, long: int = 64) -> list[
     return out
 
 
+class _Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype):
+        self.size, self.store = 0, np.zeros(1024, dtype)
+
+    def extend(self, values: np.ndarray) -> None:
+        stop = self.size + len(values)
+        if stop > len(self.store):
+            self.store = np.concatenate((self.store[:self.size], np.zeros(max(stop, self.size), self.store.dtype)))
+        self.store[self.size:stop] = values
+        self.size = stop
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places ``starts[i] .. starts[i] + counts[i] - 1`` of all i, one after another."""
+    stops = np.cumsum(counts)
+    return np.arange(stops[-1] if len(stops) else 0) + np.repeat(starts - (stops - counts), counts)
+
+
+_HEAD = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _heads(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each range as one number (zeros after a shorter one)."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    words = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    return words[starts] & _HEAD[np.minimum(sizes, 8)]
+
+
 class SliceCache:
-    """Ids of slices seen so far. ``encode`` maps a list of distinct new slices to lists of ids."""
+    """Ids of slices seen so far. ``encode`` maps a list of distinct new slices to lists of ids.
+
+    Slices are found by their 64-bit hash in an open-addressing table of numpy arrays, all slices of a piece
+    at once; the bytes of a hit are compared with those kept for it, so that equal hashes of other slices
+    never share ids. Python objects are made for new slices only.
+    """
 
     def __init__(self, encode, limit: int = CACHE_SLICES):
         self.encode, self.limit = encode, limit
         self.clear()
 
     def clear(self):
-        self.slot: dict[bytes, int] = {}
-        self.begin, self.flat = array("q", [0]), array("I")
-
-    def ids(self, slices: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all slices in order, number of ids of each slice)."""
-        if len(self.slot) > self.limit:
+        self.keys, self.slots = np.zeros(1 << 16, np.uint64), np.full(1 << 16, -1, np.int32)
+        # by slot: hash, bytes (number, first eight, place in raw), ids (place in flat, number)
+        self.hashes, self.sizes, self.heads, self.at = (_Grown(t) for t in (np.uint64, np.int64, np.uint64, np.int64))
+        self.begin, self.counts = _Grown(np.int64), _Grown(np.int64)
+        self.raw, self.flat = _Grown(np.uint8), _Grown(np.uint32)
+
+    def __len__(self):
+        return self.hashes.size
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(slot or -1, place in the table where the search ended) of each hash."""
+        mask = len(self.keys) - 1
+        place = (hashes & np.uint64(mask)).astype(np.int64)
+        slot = self.slots[place]
+        todo = np.flatnonzero((slot >= 0) & (self.keys[place] != hashes))
+        while len(todo):
+            place[todo] = (place[todo] + 1) & mask
+            slot[todo] = self.slots[place[todo]]
+            todo = todo[(slot[todo] >= 0) & (self.keys[place[todo]] != hashes[todo])]
+        return slot, place
+
+    def _enter(self, hashes: np.ndarray, slots: np.ndarray) -> None:
+        """Put distinct new hashes into the table."""
+        while len(hashes):
+            _, place = self._find(hashes)
+            first = np.unique(place, return_index=True)[1]  # one for each free place, the rest search on
+            self.keys[place[first]], self.slots[place[first]] = hashes[first], slots[first]
+            rest = np.ones(len(hashes), bool)
+            rest[first] = False
+            hashes, slots = hashes[rest], slots[rest]
+
+    def _add(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Encode new slices; their slots."""
+        raw = data.tobytes()
+        lists = self.encode([raw[a:b] for a, b in zip(starts.tolist(), (starts + sizes).tolist(), strict=True)])
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        slots = np.arange(self.at.size, self.at.size + len(lists))
+        self.at.extend(self.raw.size + np.cumsum(sizes) - sizes)
+        self.sizes.extend(sizes)
+        self.heads.extend(_heads(data, starts, sizes))
+        self.raw.extend(data[_ranges(starts, sizes)])
+        self.begin.extend(self.flat.size + np.cumsum(counts) - counts)
+        self.counts.extend(counts)
+        self.flat.extend(np.fromiter(chain.from_iterable(lists), np.uint32, int(counts.sum())))
+        return slots
+
+    def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the slices ``data[start:end]`` in order, number of ids of each slice)."""
+        if len(self) > self.limit:
             self.clear()
-        slots = np.fromiter(map(self.slot.get, slices, repeat(-1)), np.int64, len(slices))
+        hashes, sizes = span_hashes(data, starts, ends), ends - starts
+        slots, _ = self._find(hashes)
         missing = np.flatnonzero(slots < 0)
         if len(missing):
-            unknown = [slices[i] for i in missing.tolist()]
-            new = list(dict.fromkeys(unknown))
-            for s, ids in zip(new, self.encode(new), strict=True):
-                self.slot[s] = len(self.slot)
-                self.flat.extend(ids)
-                self.begin.append(len(self.flat))
-            slots[missing] = np.fromiter(map(self.slot.get, unknown), np.int64, len(unknown))
-        begin = np.array(self.begin, np.int64)
-        flat = np.array(self.flat, np.uint32)
-        counts = begin[slots + 1] - begin[slots]
-        stops = np.cumsum(counts)
-        places = np.arange(stops[-1] if len(stops) else 0) + np.repeat(begin[slots] - (stops - counts), counts)
-        return flat[places], counts
+            new, first = np.unique(hashes[missing], return_index=True)
+            made = self._add(data, starts[missing[first]], sizes[missing[first]])
+            self.hashes.extend(new)
+            while 2 * len(self) > len(self.keys):
+                self.keys, self.slots = np.zeros(2 * len(self.keys), np.uint64), np.full(2 * len(self.keys), -1, np.int32)
+                new, made = self.hashes.store[:len(self)], np.arange(len(self))
+            self._enter(new, made.astype(np.int32))
+            slots[missing], _ = self._find(hashes[missing])
+        slots = slots.astype(np.int64)
+        other = (self.sizes.store[slots] != sizes) | (self.heads.store[slots] != _heads(data, starts, sizes))
+        tails = np.flatnonzero(~other & (sizes > 8))
+        rest = sizes[tails] - 8
+        differs = (self.raw.store[_ranges(self.at.store[slots[tails]] + 8, rest)] != data[_ranges(starts[tails] + 8, rest)])
+        if differs.any():
+            other[tails] = np.logical_or.reduceat(differs, np.cumsum(rest) - rest)
+        counts = self.counts.store[slots]
+        if other.any():  # another slice of the same hash: encoded by itself, not kept
+            return self._with_own(data, starts, ends, slots, counts, np.flatnonzero(other))
+        return self.flat.store[_ranges(self.begin.store[slots], counts)], counts
+
+    def _with_own(self, data, starts, ends, slots, counts, own):
+        lists = self.encode([data[starts[i]:ends[i]].tobytes() for i in own.tolist()])
+        counts = counts.copy()
+        counts[own] = [len(x) for x in lists]
+        begin = self.begin.store[slots]
+        begin[own] = self.flat.size + np.cumsum(counts[own]) - counts[own]
+        flat = np.concatenate((self.flat.store[:self.flat.size], np.fromiter(chain.from_iterable(lists), np.uint32)))
+        return flat[_ranges(begin, counts)], counts
 
 
 def encode_piece(piece: Piece, cache: SliceCache):
     """(piece, ids, id bounds by document, byte starts and bounds of the slices, ids by slice)."""
     piece, starts, of = token_slices(piece)
-    raw = piece.data.tobytes()
-    cuts = starts.tolist()
-    slices = [raw[a:b] for a, b in zip(cuts, cuts[1:] + [len(raw)], strict=True)] if cuts else []
-    ids, counts = cache.ids(slices)
+    ids, counts = cache.ids(piece.data, starts, np.append(starts[1:], len(piece.data))[:len(starts)])
     bounds = np.concatenate(([0], np.cumsum(counts)))[of]
     return piece, ids, bounds, starts, of, counts
 
