@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from corpuskit.llm import oracle
 from corpuskit.llm.bpe import bpe_round_trip
+from corpuskit.llm.cross_tokenizer import alignment_report
 from corpuskit.llm.decontaminate import leaks
+from corpuskit.llm.language_id import held_out, identify, language_prototypes
 from corpuskit.llm.license_scan import license_matches
 from corpuskit.llm.line_dedup import line_report
 from corpuskit.llm.minhash_dedup import near_duplicates
@@ -22,6 +24,7 @@ from corpuskit.llm.secret_scan import scan_secrets
 from corpuskit.llm.substring_dedup import kept_digests, repeated_spans
 from corpuskit.llm.token_counts import TokenCounts, changes, run_tokens, word_tokens
 from corpuskit.llm.token_output import read_token_checksums, write_token_blocks
+from corpuskit.llm.whitening import whiten
 from corpuskit.session import scratch_path, ship_package
 
 
@@ -111,6 +114,24 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, vocab_path: str | None = Non
     return bpe_round_trip(docs, vocab_path or vocabulary_file("byte_bpe_multi_50k.tiktoken"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whiten(vectors, components=8).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str, a_path: str | None = None,
+                         b_path: str | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment_report(docs, a_path or vocabulary_file("byte_bpe_50k.json"),
+                            b_path or vocabulary_file("piece_bpe_32k.model"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out("doc_id"))
+    prototypes = language_prototypes(docs.where("not held_out").select("text", "lang"))
+    return identify(docs.select("doc_id", "held_out", "text"), prototypes).drop("text")
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_line_dedup": op2_line_dedup,
@@ -122,6 +143,9 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_cross_tokenizer": op12_cross_tokenizer,
+    "op13_language_id": op13_language_id,
 }
 ORACLE = {
     "op1_license_scan": oracle.LICENSES,
