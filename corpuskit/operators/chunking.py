@@ -46,9 +46,10 @@ def _with_neighbours(df: DataFrame, id_col: str) -> DataFrame:
 
 
 def window_chunks(docs: DataFrame, size: int = DEFAULT_CHUNK_SIZE, overlap: int = DEFAULT_CHUNK_OVERLAP,
-                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                  id_col: str = "doc_id", text_col: str = "text", keep_empty: bool = False) -> DataFrame:
     """G2 + W4. Output: the document's columns (``text`` = chunk text) plus
-    ``chunk_index, n_chunks, n_tokens, chunk_id, prev_chunk_id, next_chunk_id``."""
+    ``chunk_index, n_chunks, n_tokens, chunk_id, prev_chunk_id, next_chunk_id``. ``keep_empty``: a document
+    without a chunk has one row, with null for ``chunk_index`` and ``chunk_id``."""
     _check(size, overlap)
     step = size - overlap
 
@@ -64,7 +65,7 @@ def window_chunks(docs: DataFrame, size: int = DEFAULT_CHUNK_SIZE, overlap: int
     out = (docs.select(*rest, arr.alias("_pieces"))
                .select(*rest, F.size("_pieces").alias("n_chunks"),
                        F.posexplode_outer("_pieces").alias("chunk_index", text_col))
-               .where(F.col("chunk_index").isNotNull())
+               .where(F.lit(keep_empty) | F.col("chunk_index").isNotNull())
                .withColumn("n_tokens", F.size(chunk_tokens(F.col(text_col)))))
     return _with_neighbours(out, id_col)
 
@@ -140,7 +141,7 @@ def _sentence_udf(size: int, overlap: int):
 
 
 def sentence_chunks(docs: DataFrame, size: int = DEFAULT_CHUNK_SIZE, overlap: int = DEFAULT_CHUNK_OVERLAP,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    id_col: str = "doc_id", text_col: str = "text", keep_empty: bool = False) -> DataFrame:
     """G1 + W4, same output columns as ``window_chunks``."""
     _check(size, overlap)
     rest = [c for c in docs.columns if c != text_col]
@@ -148,7 +149,7 @@ def sentence_chunks(docs: DataFrame, size: int = DEFAULT_CHUNK_SIZE, overlap: in
     out = (docs.select(*rest, arr.alias("_chunks"))
                .select(*rest, F.size("_chunks").alias("n_chunks"),
                        F.posexplode_outer("_chunks").alias("chunk_index", text_col))
-               .where(F.col("chunk_index").isNotNull())
+               .where(F.lit(keep_empty) | F.col("chunk_index").isNotNull())
                .withColumn("n_tokens", F.size(chunk_tokens(F.col(text_col)))))
     return _with_neighbours(out, id_col)
 

@@ -13,7 +13,8 @@ from corpuskit.config import Settings
 from corpuskit.functions.text import canonical_collection, clip_snippet, default_score, source_label
 from corpuskit.operators.embedding import embed, hash_embed
 from corpuskit.operators.prompts import answer_batch, build_prompts, context_budget
-from corpuskit.operators.search import answer_sources, approx_top_k, build_ivf, exact_top_k
+from corpuskit.operators.search import answer_sources, exact_top_k
+from corpuskit.operators.vector_index import VectorIndex
 from corpuskit.session import cut_lineage
 from corpuskit.store import CollectionStore
 
@@ -40,14 +41,16 @@ def embed_questions(questions: DataFrame, settings: Settings = Settings(), embed
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, settings: Settings = Settings(), embedder=None,
-             approximate: bool = False, n_probe: int = 8, q_text: str = "question", top_k: int | None = None) -> DataFrame:
+             index: VectorIndex | None = None, share: float = 0.2, q_text: str = "question",
+             top_k: int | None = None) -> DataFrame:
     """V4: ranked hits ``question_id, rank, chunk_id, doc_id, score, distance, text,
     n_tokens, metadata, label, snippet`` (k per question). Questions may bring their vectors.
+    ``index``: search only cells of this stored index that hold ``share`` of its rows; nothing is trained here.
     The hits are written out once; only their chunks' texts are looked up."""
     qv = questions if "embedding" in questions.columns else embed_questions(questions, settings, embedder, q_text)
     k = top_k or settings.top_k
-    if approximate:
-        hits = approx_top_k(qv, build_ivf(chunks), k, n_probe)
+    if index is not None:
+        hits = index.search(qv, k, share)
     else:
         hits = exact_top_k(qv, chunks, k, max_block=settings.max_broadcast_questions)
     hits = cut_lineage(hits)
@@ -60,12 +63,13 @@ def retrieve(questions: DataFrame, chunks: DataFrame, settings: Settings = Setti
 
 def ask(questions: DataFrame, store: CollectionStore, collection: str = "documents", completer=None,
         settings: Settings = Settings(), embedder=None, approximate: bool = False, local_model: bool = False,
-        q_text: str = "question") -> DataFrame:
+        q_text: str = "question", share: float = 0.2) -> DataFrame:
     """One row for each question: ``question_id, answer, answer_error, sources, tokens_used`` and the
     prompt (tokens_used stays null). Questions may name their own ``collection``, ``top_k`` and ``model``;
     collection names are canonicalised (T20). A question that cannot be embedded, whose collection holds
     nothing, or that finds nothing has a null prompt and answer and the reason in ``answer_error``.
-    Without a completer ``answer`` stays null."""
+    Without a completer ``answer`` stays null. ``approximate`` searches collections that have a stored index
+    (``VectorIndex(store, name).build()``) by it, others exactly."""
     own = lambda name, kind: F.col(name).cast(kind) if name in questions.columns else F.lit(None).cast(kind)
     q = questions.select(
         "question_id", F.col(q_text).alias("question"),
@@ -77,8 +81,9 @@ def ask(questions: DataFrame, store: CollectionStore, collection: str = "documen
     stored = store.list_collections()
     found = None
     for row in asked.where(F.col("collection").isin(stored)).collect():
+        index = VectorIndex(store, row["collection"]) if approximate else None
         part = retrieve(q.where(F.col("collection") == row["collection"]), store.read(row["collection"]), settings,
-                        approximate=approximate, top_k=row["k"])
+                        index=index, share=share, top_k=row["k"])
         found = part if found is None else found.unionByName(part)
     reason = (F.when(F.col("embed_error").isNotNull(), F.col("embed_error"))
               .when(~F.col("collection").isin(stored), F.concat(F.lit("no chunks in collection "), F.col("collection")))
