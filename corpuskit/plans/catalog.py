@@ -5,10 +5,12 @@ whole given tables. Column names and types match the DuckDB statements in
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.config import LOCAL_CONTEXT_WINDOW, REPLY_RESERVE_TOKENS
+from corpuskit.config import LOCAL_CONTEXT_WINDOW, REPLY_RESERVE_TOKENS, Settings
 from corpuskit.functions.html import html_text, html_title
 from corpuskit.functions.ids import file_doc_id, page_label
 from corpuskit.functions.text import canonical_collection, clip_snippet, source_kind, source_label
@@ -20,8 +22,10 @@ from corpuskit.operators.latency import (first_token_latency, model_latency, mod
 from corpuskit.operators.prompts import answer_batch, build_prompts, chat_messages
 from corpuskit.operators.report import ingest_report
 from corpuskit.operators.search import approx_top_k, exact_top_k, ivf_from_centroids
+from corpuskit.operators.vector_index import VectorIndex
 from corpuskit.session import cut_lineage, scratch_path, ship_package, spread
 from corpuskit.store import CollectionStore
+from corpuskit.plans.ask import ask
 from corpuskit.plans.ingest import ingest
 from corpuskit.plans.fixtures import raw_mail_from_turns
 from corpuskit.sources.mail import list_folders, parse_mail, read_mbox, select_mail, write_mbox
@@ -359,6 +363,78 @@ def q_stored_metadata(spark, d):
     return both.select("collection", "doc_id", F.explode("metadata").alias("key", "value")).distinct()
 
 
+class _LosesOnePublish(CollectionStore):
+    """A store whose first commit is lost after its folders are written, as if the job had died there."""
+
+    lost = False
+
+    def _publish(self, *args, **kwargs):
+        if not self.lost:
+            self.lost = True
+            raise ConnectionError("lost before the commit")
+        return super()._publish(*args, **kwargs)
+
+
+def q_ingest_resume(spark, d):
+    """K6 over the commit log: an ingest of all documents that dies before its commit is finished by the next
+    call, from its stage; a third call adds nothing; then the commits are compacted, and the folders that no
+    manifest names are deleted."""
+    import uuid
+
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    store = _LosesOnePublish(spark, scratch_path(spark, f"store-{uuid.uuid4().hex[:12]}"), small_index=0)
+    with contextlib.suppress(ConnectionError):
+        ingest(docs, store, "documents", chunker="window")
+    second, third = (ingest(docs, store, "documents", chunker="window") for _ in range(2))
+    pages = read_pages(table(spark, d, "pages", row_local=True)).select("doc_id", "text")
+    ingest(pages, store, "documents", chunker="window")
+    store.compact("documents")
+    store.vacuum("documents")
+    seen = F.lit(f"{second.resumed_run is not None},{second.docs_new},{third.docs_new},{len(store.manifest('documents')['entries'])}")
+    return store.read("documents").groupBy("doc_id").agg(
+        F.count("*").alias("n_chunks"), F.sum("n_tokens").cast("bigint").alias("n_tokens")).withColumn("seen", seen)
+
+
+def _chunk_store(spark, d):
+    """Documents with different texts, window-chunked, embedded and stored."""
+    store = _fresh_store(spark)
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    ingest(docs, store, "documents", chunker="window", by_text=True)
+    return store
+
+
+def q_ask_documents(spark, d):
+    """``ask`` over a stored collection: every benchmark text a question, eight sources each, the local
+    model's budget; the answer and the sources in their order."""
+    store = _chunk_store(spark, d)
+    qs = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    out = ask(qs, store, "documents", completer=LengthCompleter(), settings=Settings(top_k=PROMPT_K), local_model=True)
+    return out.select("question_id", "answer", "answer_error", F.size("sources").alias("n_sources"),
+                      F.array_join(F.transform("sources", lambda s: s["chunk_id"]), ",").alias("sources"))
+
+
+INDEX_SHARE = 0.25
+
+
+def q_indexed_top_k(spark, d):
+    """V3 over the stored index: every benchmark text against all chunks of the collection.
+    ``recall_reached``: at least 0.9 of the exact five nearest were found; ``share_kept``: a question's
+    probed cells hold at most a quarter of the rows."""
+    store = _chunk_store(spark, d)
+    index = VectorIndex(store, "documents")
+    index.build()
+    questions = cut_lineage(_questions(spark, d).select("question_id", "embedding"))
+    hits = cut_lineage(index.search(questions, TOP_K, share=INDEX_SHARE))
+    exact = exact_top_k(questions, store.read("documents"), TOP_K).select("question_id", "chunk_id")
+    found = exact.join(hits.select("question_id", "chunk_id", F.lit(1).alias("hit")), ["question_id", "chunk_id"], "left")
+    recall = found.agg((F.sum(F.coalesce("hit", F.lit(0))) >= F.lit(0.9) * F.count("*")).alias("ok")).first()["ok"]
+    n_chunks = store.read("documents").count()
+    probed = index.probes(questions, TOP_K, INDEX_SHARE).groupBy("qid").agg(F.sum("n").alias("n"))
+    kept = probed.agg((F.max("n") <= F.lit(INDEX_SHARE * n_chunks)).alias("ok")).first()["ok"]
+    return hits.groupBy("question_id").agg(F.count("*").alias("n_hits")).withColumns(
+        {"recall_reached": F.lit(bool(recall)), "share_kept": F.lit(bool(kept))})
+
+
 def q_list_collections(spark, d):
     """K3 through the store: documents appended under their sources, then the names and their ids."""
     docs = table(spark, d, "documents").select(
@@ -412,6 +488,9 @@ QUERIES = {
     "model_latency_exact": q_model_latency_exact,
     "models_with_stats": q_models_with_stats,
     "ingest_documents": q_ingest_documents,
+    "ingest_resume": q_ingest_resume,
+    "ask_documents": q_ask_documents,
+    "indexed_top_k": q_indexed_top_k,
     "stored_metadata": q_stored_metadata,
     "stored_doc_ids": q_stored_doc_ids,
     "list_collections": q_list_collections,

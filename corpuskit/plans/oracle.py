@@ -303,6 +303,49 @@ FROM documents WHERE len(regexp_extract_all(text, '\\S+')) > 0"""
 ORACLE["ingest_documents"] = f"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, chunk_id, CAST(n_tokens AS BIGINT) AS n_tokens
 FROM ({ORACLE["window_chunks"]})"""
 
+# documents of one text are one, under the least id as text; stored vectors are single precision
+_STORED_DOCS = """
+uniq AS (SELECT * EXCLUDE (rn) FROM (
+    SELECT doc_id, text, row_number() OVER (PARTITION BY sha1(text) ORDER BY CAST(doc_id AS VARCHAR)) AS rn FROM documents)
+  WHERE rn = 1)"""
+
+
+def _asked_sql() -> str:
+    head, mid, tail = _prompt_parts()
+    budget = 4096 - 1024
+    return f"""WITH {_STORED_DOCS},
+{_chunk_ctes('uniq')},
+{_hash_ctes('qh', 'benchmark', 'item_id', 'text')},
+{_hash_ctes('chh', 'chunks', 'chunk_id', 'ctext')},
+cvec AS (SELECT k AS cid, CAST(CAST(vec AS FLOAT[]) AS DOUBLE[]) AS vec FROM chh_v),
+{_topk('qh_v', 'cvec', 8)},
+joined AS (SELECT h.question_id, h.rank, h.cid, 'doc_id: ' || CAST(c.doc_id AS VARCHAR) || chr(10) || chr(10) || c.ctext AS shown,
+                  c.n_tokens FROM hits h JOIN chunks c ON c.chunk_id = h.cid),
+run AS (SELECT *, sum(n_tokens) OVER (PARTITION BY question_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tot
+        FROM joined),
+prompts AS (SELECT r.question_id,
+                   {head} || string_agg(shown, chr(10) || chr(10) ORDER BY rank) FILTER (WHERE rank = 1 OR tot <= {budget})
+                   || {mid} || any_value(b.text) || {tail} AS prompt,
+                   CAST(count(*) AS INTEGER) AS n_sources, string_agg(cid, ',' ORDER BY rank) AS sources
+            FROM run r JOIN benchmark b ON b.item_id = r.question_id GROUP BY r.question_id)
+SELECT question_id, 'len=' || CAST(length(prompt) AS VARCHAR) AS answer, CAST(NULL AS VARCHAR) AS answer_error, n_sources,
+       sources FROM prompts"""
+
+
+ORACLE["ask_documents"] = _asked_sql()
+
+ORACLE["indexed_top_k"] = f"""WITH {_STORED_DOCS},
+{_chunk_ctes('uniq')}
+SELECT item_id AS question_id, least(5, (SELECT count(*) FROM chunks)) AS n_hits, true AS recall_reached, true AS share_kept
+FROM benchmark"""
+
+ORACLE["ingest_resume"] = f"""WITH p AS (
+  SELECT sha1(url) AS doc_id, 'Title: ' || title || chr(10) || chr(10) || body AS text
+  FROM (SELECT url, {_title('html')} AS title, {_html_text('html')} AS body FROM pages) WHERE regexp_matches(body, '\\S')),
+src AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents UNION ALL SELECT doc_id, min(text) FROM p GROUP BY doc_id),
+{_chunk_ctes('src')}
+SELECT doc_id, count(*) AS n_chunks, CAST(sum(n_tokens) AS BIGINT) AS n_tokens, 'True,0,0,1' AS seen FROM chunks GROUP BY doc_id"""
+
 ORACLE["stored_metadata"] = f"""WITH p AS ({ORACLE["page_documents"]}),
 d AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source FROM documents WHERE len(regexp_extract_all(text, '\\S+')) > 0)
 SELECT 'documents' AS collection, doc_id, k AS key, v AS value FROM (

@@ -31,7 +31,7 @@ from corpuskit.schemas import STORED
 
 __all__ = ["CollectionStore", "CommitConflict", "stored_form"]
 
-ID_BUCKETS = 64  # hash buckets of a collection's ids, fixed by its first commit
+ID_BUCKETS = 32  # hash buckets of a collection's ids, fixed by its first commit
 PAGE_BITS = 32_768  # a page of a Bloom filter: one id sets all its bits in one page
 BITS_PER_ID, PROBES = 12, 5
 SMALL_INDEX = 1_000_000  # ids of a collection below which they are all read, without asking the filters
@@ -54,8 +54,8 @@ def stored_form(chunks: DataFrame) -> DataFrame:
     return chunks.select(*[(merged if f.name == "metadata" else column(f)).alias(f.name) for f in STORED])
 
 
-def _bucket(id_col: str, buckets: int):
-    return F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int")
+def _bucket(id_col: str, buckets):
+    return F.pmod(F.xxhash64(id_col), buckets).cast("int")
 
 
 def _page(id_col: str, pages):
@@ -181,7 +181,7 @@ class CollectionStore:
         """(commit, bucket) of the filters that may hold an id of the batch: at most one for each bucket of
         each live commit."""
         ids = batch.select(F.col(id_col).cast("string").alias("id")).where("id is not null").distinct()
-        ids = ids.withColumn("bucket", _bucket("id", buckets))
+        ids = ids.withColumn("bucket", _bucket("id", F.lit(buckets)))
         # no more commits than MAX_COMMITS are live for long: ingest compacts them
         pages = F.explode(F.array(*[F.struct(F.lit(e["commit"]).alias("commit"), F.lit(e["pages"]).alias("pages"))
                                     for e in entries]))
@@ -195,22 +195,23 @@ class CollectionStore:
             may = may.where(_bit_is_set(F.col("bits"), F.col(f"p{i}")))
         return sorted((r["commit"], r["bucket"]) for r in may.select("commit", "bucket").distinct().collect())
 
-    def _write_ids(self, ids: DataFrame, name: str, commit: str, buckets: int) -> tuple[int, int]:
-        """Write the id files and filters of a commit; (number of ids, pages of a bucket's filter)."""
-        obs = Observation()
-        path = self._folder(self.ids, commit, name)
-        rows = ids.select(F.col("doc_id").cast("string").alias("doc_id")).where("doc_id is not null").distinct()
-        (rows.withColumn("bucket", _bucket("doc_id", buckets)).observe(obs, F.count(F.lit(1)).alias("n"))
-             .repartition("bucket").sortWithinPartitions("bucket", "doc_id").write.partitionBy("bucket").parquet(path))
-        n = obs.get.get("n", 0)
-        pages = max(1, -(-n * BITS_PER_ID // (buckets * PAGE_BITS)))
-        if n:
-            written = self.spark.read.schema("doc_id string, bucket int").parquet(path)
-            bits = written.select("bucket", _page("doc_id", F.lit(pages)).alias("page"),
+    def _write_ids(self, ids: DataFrame, commit: str, buckets: dict) -> dict:
+        """Write the id files and filters of a commit from rows (collection, doc_id); ``buckets``: number of
+        buckets by collection. Returns (number of ids, pages of a bucket's filter) by collection."""
+        of = lambda numbers: F.create_map(*[F.lit(x) for kv in numbers.items() for x in kv])[F.col("collection")]
+        rows = ids.select("collection", F.col("doc_id").cast("string").alias("doc_id")).where("doc_id is not null").distinct()
+        path = f"{self.ids}/commit={commit}"
+        (rows.withColumn("bucket", _bucket("doc_id", of(buckets))).repartition("collection", "bucket")
+             .sortWithinPartitions("collection", "bucket", "doc_id").write.partitionBy("collection", "bucket").parquet(path))
+        written = self.spark.read.schema("doc_id string, collection string, bucket int").parquet(path)
+        counts = {r["collection"]: r["n"] for r in written.groupBy("collection").agg(F.count("*").alias("n")).collect()}
+        pages = {c: max(1, -(-n * BITS_PER_ID // (buckets[c] * PAGE_BITS))) for c, n in counts.items()}
+        if pages:
+            bits = written.select("collection", "bucket", _page("doc_id", of(pages)).alias("page"),
                                   F.explode(F.array(*_positions("doc_id"))).alias("at"))
-            (bits.groupBy("bucket", "page").agg(F.bitmap_construct_agg("at").alias("bits"))
-                 .write.parquet(self._folder(self.blooms, commit, name)))
-        return n, pages
+            (bits.groupBy("collection", "bucket", "page").agg(F.bitmap_construct_agg("at").alias("bits"))
+                 .write.partitionBy("collection").parquet(f"{self.blooms}/commit={commit}"))
+        return {c: (counts.get(c, 0), pages.get(c, 1)) for c in buckets}
 
     # ------------------------------------------------------------ writes
     def write_commit(self, chunks: DataFrame, name: str, ids: DataFrame | None = None) -> dict:
@@ -222,7 +223,8 @@ class CollectionStore:
         stored_form(chunks).observe(obs, F.count(F.lit(1)).alias("n")).write.parquet(folder)
         if ids is None:
             ids = self.spark.read.schema(STORED).parquet(folder).select("doc_id")
-        n_ids, pages = self._write_ids(ids, name, commit, self.manifest(name)["buckets"])
+        ids = ids.select(F.lit(name).alias("collection"), "doc_id")
+        n_ids, pages = self._write_ids(ids, commit, {name: self.manifest(name)["buckets"]})[name]
         return {"commit": commit, "rows": obs.get.get("n", 0), "ids": n_ids, "pages": pages,
                 "bytes": self.files.size(folder), "from": [commit]}
 
@@ -253,13 +255,11 @@ class CollectionStore:
         rows.write.partitionBy("collection").parquet(f"{self.data}/commit={commit}")
         written = self.spark.read.schema(StructType([*STORED.fields, StructField("collection", StringType())])).parquet(
             f"{self.data}/commit={commit}")
-        for row in written.groupBy("collection").agg(F.count("*").alias("n")).collect():  # one row a collection
-            name = row["collection"]
-            folder = self._folder(self.data, commit, name)
-            n_ids, pages = self._write_ids(self.spark.read.schema(STORED).parquet(folder).select("doc_id"), name, commit,
-                                           self.manifest(name)["buckets"])
-            entry = {"commit": commit, "rows": row["n"], "ids": n_ids, "pages": pages, "bytes": self.files.size(folder),
-                     "from": [commit]}
+        counts = {r["collection"]: r["n"] for r in written.groupBy("collection").agg(F.count("*").alias("n")).collect()}
+        ids = self._write_ids(written, commit, {name: self.manifest(name)["buckets"] for name in counts}) if counts else {}
+        for name, (n_ids, pages) in ids.items():
+            entry = {"commit": commit, "rows": counts[name], "ids": n_ids, "pages": pages,
+                     "bytes": self.files.size(self._folder(self.data, commit, name)), "from": [commit]}
             self._publish(name, "append", lambda live, entry=entry: [*live, entry])
 
     def replace(self, chunks: DataFrame, name: str, ids: DataFrame | None = None, run: str | None = None) -> None:
