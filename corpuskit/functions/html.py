@@ -1,9 +1,9 @@
 """HTML to text as column expressions; only character references are decoded in Arrow batches.
 
-Tags are replaced by a one-character sentinel first, then each run of sentinels becomes
-one newline, which is what joining an html parser's text nodes with a newline gives:
-adjacent tags yield one separator. Scripts, styles and comments go before the generic tag
-rule because their bodies may contain ``</p>``-like text.
+Each run of tags becomes one newline, which is what joining an html parser's text nodes with a
+newline gives: adjacent tags yield one separator. Comments, scripts, styles and tags are matched in
+one pass over the text, so markup inside one of them is part of it: a comment's opening inside a
+script opens nothing, and a ``>`` inside a quoted attribute closes nothing.
 """
 
 from __future__ import annotations
@@ -15,13 +15,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-_SENTINEL = "\u0001"
-
-_COMMENT = r"(?s)<!--.*?-->"
-_SCRIPT = r"(?is)<script\b.*?</script\s*>"
-_STYLE = r"(?is)<style\b.*?</style\s*>"
-_HEAD = r"(?is)<head\b.*?</head\s*>"
-_TAG = r"<[a-zA-Z/!][^>]*>"
+_TAG_END = r"""[^'">]*+(?:(?:"[^"]*+"|'[^']*+')[^'">]*+)*+>"""  # a ``>`` inside a quoted attribute ends no tag
+_COMMENT = r"<!--.*?(?:-->|\z)"
+_HIDDEN = r"<{0}\b" + _TAG_END + r".*?(?:</{0}\s*>|\z)"  # an element that is not closed hides the rest
+_TAG = r"<[a-z/!]" + _TAG_END
 _TITLE = r"(?is)<title[^>]*>(.*?)</title\s*>"
 
 
@@ -58,11 +55,10 @@ def html_title(c) -> Column:
 
 def html_text(c, drop_head: bool = True) -> Column:
     """Readable text. ``drop_head=False`` is the mail variant (title text stays)."""
-    out = _col(c)
-    rules = [_COMMENT, _SCRIPT, _STYLE] + ([_HEAD] if drop_head else []) + [_TAG]
-    for pattern in rules:
-        out = F.regexp_replace(out, pattern, _SENTINEL)
-    out = F.regexp_replace(out, _SENTINEL + "+", "\n")
+    hidden = ["script", "style"] + (["head"] if drop_head else [])
+    # one pass from left to right: what opens first decides how the text behind it is read
+    markup = "|".join([_COMMENT, *[_HIDDEN.replace("{0}", name) for name in hidden], _TAG])
+    out = F.regexp_replace(_col(c), "(?is)(?:" + markup + ")+", "\n")
     out = decode_entities(out)
     return collapse_newlines(out)
 

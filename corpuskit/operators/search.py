@@ -8,8 +8,13 @@ out in blocks whose size is checked (``max_block``); each chunk-scan task scores
 Arrow batches against the block with numpy matrix products and keeps only the best
 ``k`` (plus ties) per question, so each task emits at most ``block x (k + slack)``
 rows. A final ``row_number`` per question (Catalyst plans it as a partial + final
-``WindowGroupLimit``) picks the global top ``k``. More questions than one block means
-more blocks, each one a scan; the work is ``questions x chunks`` either way.
+``WindowGroupLimit``) picks the global top ``k``. More questions than one block go through
+``grid_top_k`` (same result): questions never pass the driver, the corpus is scanned once.
+
+``grid_top_k`` lays a grid of question blocks and chunk blocks, which meet in a shuffle. Chunks
+are blocked by their nearest pivot; a block knows the range of its chunks' distances to the
+pivot. A question's distance to its k-th nearest chunk of a small sample bounds that to its
+k-th nearest of all; by the triangle inequality it skips blocks that lie farther away.
 
 ``approx_top_k`` is an inverted-file index: k-means cells over the chunks (MLlib), each
 question probes its ``n_probe`` nearest cells, and the two sides meet in an equi-join
@@ -29,6 +34,7 @@ from pyspark.sql import types as T
 
 from corpuskit.config import DEFAULT_TOP_K
 from corpuskit.operators.embedding import as_pandas_vectors
+from corpuskit.session import cut_lineage
 
 _SLACK = 4
 _BLOCK_BYTES = 64 << 20  # question vectors shipped with one task
@@ -98,6 +104,91 @@ def rank_hits(hits: DataFrame, k: int, qid: str = "qid", cid: str = "cid") -> Da
                 .withColumn("score", F.exp(-F.col("distance"))))
 
 
+def salted(df: DataFrame, key: list, by: str, rows: int, salt: str) -> tuple[DataFrame, DataFrame]:
+    """(``df`` with a salt that deals a large group out into groups of about ``rows``, number of salts by key)."""
+    salts = df.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias(f"n_{salt}"))
+    return df.join(salts, key).withColumn(salt, F.pmod(F.xxhash64(by), F.col(f"n_{salt}")).cast("int")).drop(f"n_{salt}"), salts
+
+
+def each_salt(df: DataFrame, salts: DataFrame, key: list, salt: str) -> DataFrame:
+    """``df`` once for every salt of its key."""
+    return df.join(salts, key).withColumn(salt, F.explode(F.sequence(F.lit(0), F.col(f"n_{salt}") - 1))).drop(f"n_{salt}")
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all rows of x to all rows of y, by their differences (no cancellation)."""
+    return np.sqrt(np.stack([((x - row) ** 2).sum(1) for row in y], axis=1)) if len(y) else np.zeros((len(x), 0))
+
+
+def grid_top_k(questions: DataFrame, corpus: DataFrame, k: int = DEFAULT_TOP_K, q_id: str = "question_id",
+               q_vec: str = "embedding", c_id: str = "chunk_id", c_vec: str = "embedding", n_pivots: int = 64,
+               sample_rows: int = 2048, block_rows: int = 20_000, block_questions: int = 2_048) -> DataFrame:
+    """V2 for any number of questions: the result of ``exact_top_k``, whatever the blocks and pivots.
+
+    Only ``sample_rows`` vectors of the corpus (for pivots and bounds) and one row for each pivot come to
+    the driver. Question and chunk blocks that meet are of bounded rows."""
+    q = questions.select(F.col(q_id).alias("qid"), F.col(q_vec).cast("array<double>").alias("qv"))
+    c = corpus.select(F.col(c_id).alias("cid"), F.col(c_vec).cast("array<double>").alias("cv"))
+    few = c.orderBy(F.xxhash64("cid"), "cid").limit(sample_rows).toPandas()
+    few = few[few["cv"].notna()]
+    sample = as_pandas_vectors(few["cv"])
+    pivots = sample[:: max(1, len(sample) // n_pivots)][:n_pivots]
+    tagged_schema = T.StructType([*c.schema.fields, T.StructField("pivot", T.IntegerType()), T.StructField("r", T.DoubleType())])
+
+    def tag(batches):
+        for pdf in batches:
+            pdf = pdf[pdf["cv"].notna()]
+            if len(pdf):
+                if not len(pivots):  # the sample had none but null vectors
+                    yield pdf.assign(pivot=0, r=0.0)
+                    continue
+                d = _distances(as_pandas_vectors(pdf["cv"]), pivots)
+                yield pdf.assign(pivot=d.argmin(1).astype(np.int32), r=d.min(1))
+
+    tagged = cut_lineage(c.mapInPandas(tag, tagged_schema))
+    ranges = tagged.groupBy("pivot").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).orderBy("pivot").toPandas()
+    number, lo, hi = (ranges[x].to_numpy() for x in ("pivot", "lo", "hi"))
+    asked_schema = T.StructType([*q.schema.fields, T.StructField("pivot", T.IntegerType())])
+
+    def near_blocks(batches):
+        for pdf in batches:
+            pdf = pdf[pdf["qv"].notna()]
+            for at in range(0, len(pdf), 512):
+                part = pdf.iloc[at:at + 512]
+                v = as_pandas_vectors(part["qv"])
+                if len(pivots):
+                    d = _distances(v, pivots)[:, number]
+                    gap = np.maximum(np.maximum(d - hi, lo - d), 0)
+                    bound = np.full(len(v), np.inf)
+                    if len(sample) >= k:
+                        bound = np.partition(_distances(v, sample), k - 1, axis=1)[:, k - 1]
+                    # ranks round squared distances to 9 decimals: what may tie there is not skipped
+                    row, col = np.nonzero(gap ** 2 <= (bound ** 2 * (1 + 1e-9) + 1e-8)[:, None])
+                else:
+                    row, col = np.indices((len(v), len(number))).reshape(2, -1)
+                out = part.iloc[row].copy()
+                out["pivot"] = number[col].astype(np.int32)
+                yield out
+
+    blocks, salts = salted(tagged.drop("r"), ["pivot"], "cid", block_rows, "salt")
+    asked, deals = salted(cut_lineage(q.mapInPandas(near_blocks, asked_schema)), ["pivot"], "qid", block_questions, "deal")
+    asked, blocks = each_salt(asked, salts, ["pivot"], "salt"), each_salt(blocks, deals, ["pivot"], "deal")
+    schema = T.StructType([T.StructField("qid", q.schema["qid"].dataType), T.StructField("cid", c.schema["cid"].dataType),
+                           T.StructField("distance", T.DoubleType())])
+    keep = k + _SLACK
+
+    def score(some, group):
+        if not len(some) or not len(group):
+            return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in schema.fields})
+        ids = some["qid"].to_numpy()
+        best = _local_best(ids, as_pandas_vectors(some["qv"]), group["cid"].to_numpy(), as_pandas_vectors(group["cv"]), keep)
+        return pd.DataFrame({"qid": ids[best["qi"].to_numpy()], "cid": best["cid"].to_numpy(), "distance": best["d"].to_numpy()})
+
+    keys = ["pivot", "salt", "deal"]
+    hits = asked.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(score, schema)
+    return rank_hits(hits, k).select(F.col("qid").alias(q_id), F.col("cid").alias(c_id), "distance", "score", "rank")
+
+
 def exact_top_k(questions: DataFrame, corpus: DataFrame, k: int = DEFAULT_TOP_K,
                 q_id: str = "question_id", q_vec: str = "embedding",
                 c_id: str = "chunk_id", c_vec: str = "embedding",
@@ -110,14 +201,11 @@ def exact_top_k(questions: DataFrame, corpus: DataFrame, k: int = DEFAULT_TOP_K,
     q = questions.select(F.col(q_id).alias("qid"), F.col(q_vec).cast("array<double>").alias("qv"))
     c = corpus.select(F.col(c_id).alias("cid"), F.col(c_vec).alias("cv"))
     qtype, ctype = q.schema["qid"].dataType, c.schema["cid"].dataType
-    # Size check of the side shipped to every task: one pass fetches at most one block
-    # more than allowed; only an overflow falls back to hashed blocks (one scan each).
+    # Size check of the side shipped to every task: one pass fetches at most one block and one row
     first = q.limit(max_block + 1).toPandas()
-    if len(first) <= max_block:
-        blocks = [first]
-    else:
-        n_blocks = max(2, math.ceil(q.count() / max_block))
-        blocks = (q.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b).toPandas() for b in range(n_blocks))
+    if len(first) > max_block:
+        return grid_top_k(questions, corpus, k, q_id, q_vec, c_id, c_vec)
+    blocks = [first]
     parts = []
     for pdf in blocks:
         pdf = pdf[pdf["qv"].notna()]

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from corpuskit.commitlog import CommitLog
 from corpuskit.config import DEFAULT_TOP_K
 from corpuskit.operators.embedding import as_pandas_vectors
-from corpuskit.operators.search import exact_top_k, rank_hits
+from corpuskit.operators.search import each_salt, exact_top_k, rank_hits, salted
 from corpuskit.session import cut_lineage
 
 PART = 8  # dimensions of a part of a vector
@@ -99,17 +99,6 @@ def _no_rows(schema: T.StructType) -> pd.DataFrame:
     return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in schema.fields})
 
 
-def _salted(df: DataFrame, key: list, by: str, rows: int, salt: str) -> tuple[DataFrame, DataFrame]:
-    """(``df`` with a salt that deals a large group out into groups of about ``rows``, number of salts by key)."""
-    salts = df.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias(f"n_{salt}"))
-    return df.join(salts, key).withColumn(salt, F.pmod(F.xxhash64(by), F.col(f"n_{salt}")).cast("int")).drop(f"n_{salt}"), salts
-
-
-def _each_salt(df: DataFrame, salts: DataFrame, key: list, salt: str) -> DataFrame:
-    """``df`` once for every salt of its key."""
-    return df.join(salts, key).withColumn(salt, F.explode(F.sequence(F.lit(0), F.col(f"n_{salt}") - 1))).drop(f"n_{salt}")
-
-
 def _split_of(wanted: int):
     def split(key, pdf):
         """The cells that a cell of too many rows becomes; one solid cell where its rows are all equal."""
@@ -288,8 +277,8 @@ class VectorIndex:
             return out
 
         rows = cut_lineage(rows)
-        dealt, salts = _salted(rows, ["key"], "chunk_id", GROUP_ROWS, "salt")
-        whole = _each_salt(cells.select("key", "cell", "centroid"), salts, ["key"], "salt")
+        dealt, salts = salted(rows, ["key"], "chunk_id", GROUP_ROWS, "salt")
+        whole = each_salt(cells.select("key", "cell", "centroid"), salts, ["key"], "salt")
         return dealt.groupBy("key", "salt").cogroup(whole.groupBy("key", "salt")).applyInPandas(place, schema)
 
     def _train_codes(self, model: str, placed: DataFrame, seed: int) -> None:
@@ -359,11 +348,11 @@ class VectorIndex:
                     out["key"] = [str(i) for i in best.ravel().tolist()]
                     yield out
 
-        dealt, salts = _salted(cut_lineage(q.mapInPandas(near_tops, schema)), ["key"], "qid", GROUP_QUESTIONS, "deal")
+        dealt, salts = salted(cut_lineage(q.mapInPandas(near_tops, schema)), ["key"], "qid", GROUP_QUESTIONS, "deal")
         by_top = cells.where("n > 0").select(F.element_at(F.split("cell", "-"), 1).alias("key"), "cell", "centroid", "n")
-        by_top, cell_salts = _salted(by_top, ["key"], "cell", GROUP_ROWS, "part")
-        left = _each_salt(dealt, cell_salts, ["key"], "part")
-        right = _each_salt(by_top, salts, ["key"], "deal")
+        by_top, cell_salts = salted(by_top, ["key"], "cell", GROUP_ROWS, "part")
+        left = each_salt(dealt, cell_salts, ["key"], "part")
+        right = each_salt(by_top, salts, ["key"], "deal")
         out = T.StructType([*q.schema.fields, T.StructField("cell", T.StringType()), T.StructField("n", T.LongType()),
                             T.StructField("d", T.DoubleType()), T.StructField("residual", _VECTOR)])
 
@@ -412,12 +401,12 @@ class VectorIndex:
 
     def _score(self, state: dict, probes: DataFrame, rerank: int, qtype) -> DataFrame:
         _, _, book = self._model(state["model"])
-        dealt, deals = _salted(probes.drop("n", "qv"), ["cell"], "qid", GROUP_QUESTIONS, "deal")
+        dealt, deals = salted(probes.drop("n", "qv"), ["cell"], "qid", GROUP_QUESTIONS, "deal")
         salts = probes.select("cell", F.ceil(F.col("n") / F.lit(GROUP_ROWS)).cast("int").alias("n_salt")).distinct()
         rows = self._lists(state, salts.join(deals, "cell"))
         codes = (rows.select("cell", "commit", "chunk_id", "codes", F.pmod(F.xxhash64("chunk_id"), "n_salt").cast("int").alias("salt"),
                              F.explode(F.sequence(F.lit(0), F.col("n_deal") - 1)).alias("deal")))
-        asked = _each_salt(dealt, salts, ["cell"], "salt")
+        asked = each_salt(dealt, salts, ["cell"], "salt")
         schema = T.StructType([T.StructField("qid", qtype), *_schema(
             cell=_TEXT, commit=_TEXT, chunk_id=_TEXT, guess=_DOUBLE).fields])
 

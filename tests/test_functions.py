@@ -123,3 +123,32 @@ def test_character_references(spark):
     df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string")
     got = {r.t: r.d for r in df.select("t", decode_entities("t").alias("d")).collect()}
     assert got == {**cases, None: None}
+
+
+ODD_HTML = [
+    '<a title="x > y" href=q>link</a> tail',
+    "<p data-a='<b>' class=\"> \">in</p>",
+    "<p>a</p><script>var s = '<p>never closed</p>';",
+    "<script>var a = '<!--';</script><p>shown</p><!-- c --><p>end</p>",
+    "<style>/* <!-- */</style><p>x</p><script>\"-->\"</script>y",
+    "<!-- <script> --><p>kept</p><!-- </script> -->",
+    "<SCRIPT type='a>b'>hidden</SCRIPT >after",
+]
+
+
+@pytest.mark.parametrize("html", ODD_HTML)
+def test_html_text_of_odd_markup_matches_the_parser(spark, html):
+    got = spark.createDataFrame([(html,)], "h string").select(H.html_text(F.col("h"))).first()[0]
+    assert got == model_text(html)
+
+
+def test_comment_that_is_not_closed_hides_the_rest(spark):
+    # as browsers read it; the standard library's parser shows such a comment as text in some versions
+    got = spark.createDataFrame([("<p>a</p><!-- never closed <p>b</p>",)], "h string").select(H.html_text(F.col("h"))).first()[0]
+    assert got == "a"
+
+
+def test_html_text_of_a_very_long_tag(spark):
+    html = "<p " + " ".join(f'a{i}="v > {i}"' for i in range(20_000)) + ">text</p>" + "x" * 100_000
+    got = spark.createDataFrame([(html,)], "h string").select(H.html_text(F.col("h"))).first()[0]
+    assert got == "text\n" + "x" * 100_000

@@ -98,3 +98,34 @@ def test_short_cells_are_widened(spark):
     index = ivf_from_centroids(c, np.array([[0.0, 0.0], [20.0, 0.0]]))
     q = spark.createDataFrame([(1, [19.0, 0.0])], "question_id long, embedding array<double>")
     assert [h.chunk_id for h in approx_top_k(q, index, 4, n_probe=1).orderBy("rank").collect()] == [11, 10, 9, 8]
+
+
+def test_grid_equals_brute_force_whatever_the_blocks(spark):
+    from corpuskit.operators.search import grid_top_k
+    rng = np.random.default_rng(17)
+    centres = rng.normal(size=(12, 8)) * 6
+    C = (centres[rng.integers(12, size=900)] + rng.normal(size=(900, 8)) * 0.3).astype(np.float32)
+    C[100:400] = C[100]  # a third of the rows are one vector
+    Q = np.vstack([centres[rng.integers(12, size=50)] + rng.normal(size=(50, 8)) * 0.3, np.repeat(C[100:101], 30, 0).astype(float)])
+    qs = spark.createDataFrame(pd.DataFrame({"question_id": np.arange(len(Q)), "embedding": list(Q)}))
+    cs = spark.createDataFrame(pd.DataFrame({"chunk_id": [f"c{i:04d}" for i in range(len(C))], "embedding": list(C)}))
+    want = brute(Q, C.astype(np.float64), 5)
+    for how in ({}, {"n_pivots": 5, "sample_rows": 40, "block_rows": 37, "block_questions": 11}, {"sample_rows": 3, "n_pivots": 1}):
+        got = {}
+        for r in sorted(grid_top_k(qs.repartition(3), cs.repartition(4), 5, **how).collect(), key=lambda r: (r.question_id, r["rank"])):
+            got.setdefault(r.question_id, []).append(r.chunk_id)
+        assert got == want
+    empty = cs.where("chunk_id = ''")
+    assert grid_top_k(qs, empty, 3).count() == 0 and grid_top_k(qs.where("question_id < 0"), cs, 3).count() == 0
+
+
+def test_grid_skips_far_blocks_and_scans_once(spark):
+    from corpuskit.operators.search import exact_top_k as exact
+    Q, C, qs, cs = _frames(spark, n_q=40)
+    many = exact(qs, cs, 5, max_block=10)
+    plan = many._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+    got = {}
+    for r in sorted(many.collect(), key=lambda r: (r.question_id, r["rank"])):
+        got.setdefault(r.question_id, []).append(r.chunk_id)
+    assert got == brute(Q, C, 5)
