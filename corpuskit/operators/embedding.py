@@ -67,6 +67,66 @@ def call_with_retry(fn, arg, max_retries: int = DEFAULT_RETRY_MAX,
         sleep(wait)
 
 
+class SlotPacer:
+    """A call rate that several tasks keep together without talking to each other.
+
+    Time is cut into slots of ``1 / rate`` seconds of the wall clock, the same for all tasks; of ``n`` tasks,
+    number ``index`` calls only in slots ``index, index + n, ...``, one call each. A task that meets a rate
+    limit all the same uses every second of its slots, then every fourth; after ``CALM`` calls without one it
+    doubles back (slow tasks leave their slots empty: the limit is kept, not always used up). A tenth of the
+    rate is kept in hand, because a call reaches the service later than it was let go."""
+
+    IN_HAND, CALM, MOST = 0.1, 8, 64
+
+    def __init__(self, rate: float, index: int, n: int, clock=time.time, sleep=time.sleep):
+        self.width = 1.0 / (rate * (1 - self.IN_HAND))
+        self.index, self.n, self.clock, self.sleep = index, n, clock, sleep
+        self.every, self.calm, self.last = 1, 0, -1
+
+    def wait(self) -> None:
+        """Return within this task's next free slot."""
+        while True:
+            slot = max(int(self.clock() / self.width), self.last + 1)
+            step = self.n * self.every
+            slot += (self.index - slot) % step
+            ahead = slot * self.width - self.clock()
+            if ahead > 0:
+                self.sleep(ahead)
+            if int(self.clock() / self.width) == slot or ahead <= 0:
+                self.last = slot
+                return
+
+    def passed(self) -> None:
+        self.calm += 1
+        if self.calm >= self.CALM and self.every > 1:
+            self.every, self.calm = self.every // 2, 0
+
+    def limited(self) -> None:
+        self.every, self.calm = min(self.every * 2, self.MOST), 0
+
+    def paced(self, fn):
+        """``fn``, each call in a slot."""
+        def call(arg):
+            self.wait()
+            try:
+                out = fn(arg)
+            except RateLimited:
+                self.limited()
+                raise
+            self.passed()
+            return out
+        return call
+
+
+def task_pacer(rate: float | None, n: int | None, sleep=time.sleep):
+    """In a task: what paces calls to ``rate`` a second over ``n`` tasks; nothing without a rate."""
+    if not rate:
+        return lambda fn: fn
+    from pyspark import TaskContext
+
+    return SlotPacer(rate, TaskContext.get().partitionId() % (n or 1), n or 1, sleep=sleep).paced
+
+
 def run_batched(texts: list, fn, batch_size: int, max_retries: int, base_delay: float, sleep,
                 check_len: bool = True):
     """Call ``fn`` over ``texts`` in batches; returns (results, errors), one per text. A batch that is refused
@@ -94,8 +154,11 @@ def run_batched(texts: list, fn, batch_size: int, max_retries: int, base_delay:
 def embed(df: DataFrame, embedder, text_col: str = "text", out_col: str = "embedding",
           batch_size: int = DEFAULT_EMBED_BATCH, max_retries: int = DEFAULT_RETRY_MAX,
           base_delay: float = DEFAULT_RETRY_BASE_DELAY, sleep=time.sleep,
-          concurrency: int | None = None) -> DataFrame:
-    """V1: add ``out_col`` (array<float>) and ``embed_error`` (string) to ``df``."""
+          concurrency: int | None = None, rate: float | None = None) -> DataFrame:
+    """V1: add ``out_col`` (array<float>) and ``embed_error`` (string) to ``df``. ``concurrency``: number of
+    tasks; ``rate``: calls a second over all of them together (``SlotPacer``; needs ``concurrency``)."""
+    if rate and not concurrency:
+        raise ValueError("a rate is shared by a known number of tasks: set concurrency")
     if concurrency:
         df = df.repartition(concurrency)
     fields = [f for f in df.schema.fields if f.name not in (out_col, "embed_error")]
@@ -104,9 +167,10 @@ def embed(df: DataFrame, embedder, text_col: str = "text", out_col: str = "embed
     keep = [f.name for f in fields]
 
     def run(batches):
+        call = task_pacer(rate, concurrency)(embedder)
         for pdf in batches:
             texts = pdf[text_col].fillna("").astype(str).tolist()
-            vecs, errs = run_batched(texts, embedder, batch_size, max_retries, base_delay, sleep)
+            vecs, errs = run_batched(texts, call, batch_size, max_retries, base_delay, sleep)
             res = pdf[keep].copy()
             res[out_col] = [None if v is None else np.asarray(v, dtype=np.float32) for v in vecs]
             res["embed_error"] = errs

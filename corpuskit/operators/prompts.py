@@ -1,9 +1,10 @@
-"""Context budgets, prompt packing, batch answers, chat transcripts."""
+"""Context budgets, prompt packing, answers in batches and as streams, chat transcripts."""
 
 from __future__ import annotations
 
 import time
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from corpuskit.config import (CONTEXT_WINDOWS, DEFAULT_CONTEXT_WINDOW, DEFAULT_RETRY_BASE_DELAY,
                               DEFAULT_RETRY_MAX, LOCAL_CONTEXT_WINDOW, REPLY_RESERVE_TOKENS)
 from corpuskit.functions.tokens import chunk_tokens
-from corpuskit.operators.embedding import run_batched
+from corpuskit.operators.embedding import EmbedError, call_with_retry, run_batched, task_pacer
 
 # The layout of a prompt: what was found, then the question.
 QA_TEMPLATE = (
@@ -80,9 +81,12 @@ def build_prompts(hits: DataFrame, questions: DataFrame, budget, q_id: str = "qu
 
 def answer_batch(prompts: DataFrame, completer, prompt_col: str = "prompt", batch_size: int = 8,
                  max_retries: int = DEFAULT_RETRY_MAX, base_delay: float = DEFAULT_RETRY_BASE_DELAY,
-                 sleep=time.sleep, concurrency: int | None = None) -> DataFrame:
-    """``completer(list[str]) -> list[str]`` over Arrow batches. A null reply becomes
-    ``""``; a failure is a row error in ``answer_error`` with a null ``answer``."""
+                 sleep=time.sleep, concurrency: int | None = None, rate: float | None = None) -> DataFrame:
+    """``completer(list) -> list[str]`` over Arrow batches: of prompts (strings), or of chats when
+    ``prompt_col`` holds messages (lists of ``{"role", "content"}``). A null reply becomes ``""``; a
+    failure is a row error in ``answer_error`` with a null ``answer``. ``rate`` as in ``embed``."""
+    if rate and not concurrency:
+        raise ValueError("a rate is shared by a known number of tasks: set concurrency")
     if concurrency:
         prompts = prompts.repartition(concurrency)
     fields = [f for f in prompts.schema.fields if f.name not in ("answer", "answer_error")]
@@ -91,9 +95,9 @@ def answer_batch(prompts: DataFrame, completer, prompt_col: str = "prompt", batc
                                     T.StructField("answer_error", T.StringType())])
 
     def run(batches):
+        call = task_pacer(rate, concurrency)(completer)
         for pdf in batches:
-            texts = pdf[prompt_col].fillna("").astype(str).tolist()
-            outs, errs = run_batched(texts, completer, batch_size, max_retries, base_delay, sleep)
+            outs, errs = run_batched([request(v) for v in pdf[prompt_col]], call, batch_size, max_retries, base_delay, sleep)
             res = pdf[keep].copy()
             res["answer"] = [("" if o is None else str(o)) if e is None else None for o, e in zip(outs, errs)]
             res["answer_error"] = errs
@@ -102,6 +106,81 @@ def answer_batch(prompts: DataFrame, completer, prompt_col: str = "prompt", batc
     return prompts.select(*keep).mapInPandas(run, schema)
 
 
+def request(value):
+    """What a completer gets: the prompt's text, or the messages of a chat as a list of dicts."""
+    if value is None or isinstance(value, float):  # a null
+        return ""
+    if isinstance(value, str):
+        return value
+    return [{"role": m["role"], "content": m["content"]} for m in value]
+
+
+STREAM_ROWS = 64  # deltas that a task holds back at most before it hands them on
+
+
+def answer_stream(prompts: DataFrame, generator, response: str = "response_id", prompt_col: str = "prompt",
+                  model: str | None = None, max_retries: int = DEFAULT_RETRY_MAX,
+                  base_delay: float = DEFAULT_RETRY_BASE_DELAY, sleep=time.sleep, concurrency: int | None = None,
+                  rate: float | None = None) -> DataFrame:
+    """A token stream for each prompt (or chat): ``response, model, seq, start, ts, delta, is_final, error``.
+
+    ``generator(request)`` gives the deltas of one answer, in order (None ends it). Each becomes a row as it comes; a task
+    hands rows on in small batches and asks the generator for more only when Spark has taken them, so a slow
+    reader slows the stream down, and no answer is held whole. Every response ends with a row of its own
+    (``is_final``, delta ``""``), which names the error where the stream broke. A stream that fails in a passing
+    way before its first delta is asked for again; one that breaks later is not, for its deltas are out.
+
+    The rows are what ``first_token_latency`` (``ts``, ``start``), ``cumulative_text`` (``seq``, ``delta``) and their
+    streaming forms take."""
+    if rate and not concurrency:
+        raise ValueError("a rate is shared by a known number of tasks: set concurrency")
+    if concurrency:
+        prompts = prompts.repartition(concurrency)
+    kind = prompts.schema[response].dataType
+    source = prompts.select(F.col(response).alias("r"), (F.col(model) if model else F.lit(None)).cast("string").alias("m"),
+                            F.col(prompt_col).alias("p"))
+    when = T.TimestampType()
+    schema = T.StructType([T.StructField(response, kind), T.StructField("model", T.StringType()), T.StructField("seq", T.LongType()),
+                           T.StructField("start", when), T.StructField("ts", when), T.StructField("delta", T.StringType()),
+                           T.StructField("is_final", T.BooleanType()), T.StructField("error", T.StringType())])
+    names = schema.fieldNames()
+
+    def answer(r, m, p, pace):
+        """Rows of one response."""
+        seq, start, error = 0, pd.Timestamp.now("UTC"), None
+
+        def begin(req):
+            stream = iter(generator(req))
+            return stream, next(stream, None)
+
+        try:
+            stream, delta = call_with_retry(pace(begin), request(p), max_retries, base_delay, sleep)
+            while delta is not None:
+                yield r, m, seq, start, pd.Timestamp.now("UTC"), str(delta), False, None
+                seq += 1
+                delta = next(stream, None)
+        except EmbedError as exc:
+            error = str(exc)
+        except Exception as exc:  # noqa: BLE001 - whatever breaks a stream is its row's error
+            error = f"{type(exc).__name__}: {exc}"
+        yield r, m, seq, start, pd.Timestamp.now("UTC"), "", True, error
+
+    def run(batches):
+        pace = task_pacer(rate, concurrency)
+        for pdf in batches:
+            held = []
+            for r, m, p in zip(pdf["r"], pdf["m"], pdf["p"], strict=True):
+                for row in answer(r, m, p, pace):
+                    held.append(row)
+                    if len(held) >= STREAM_ROWS:
+                        yield pd.DataFrame(held, columns=names)
+                        held = []
+            if held:
+                yield pd.DataFrame(held, columns=names)
+
+    return source.mapInPandas(run, schema)
+
+
 def chat_messages(turns: DataFrame, conv: str = "conv_id", order: str = "turn", role: str = "role",
                   text: str = "text") -> DataFrame:
     """Per conversation, ``messages`` = ordered array<struct<role, content>>

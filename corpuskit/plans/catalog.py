@@ -6,6 +6,7 @@ whole given tables. Column names and types match the DuckDB statements in
 from __future__ import annotations
 
 import contextlib
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from corpuskit.operators.dedupe import dedupe_first, skip_existing
 from corpuskit.operators.embedding import hash_embed
 from corpuskit.operators.latency import (first_token_latency, model_latency, model_latency_exact,
                                          models_with_stats, cumulative_text)
-from corpuskit.operators.prompts import answer_batch, build_prompts, chat_messages
+from corpuskit.operators.prompts import answer_batch, answer_stream, build_prompts, chat_messages
 from corpuskit.operators.report import ingest_report
 from corpuskit.operators.search import approx_top_k, exact_top_k, ivf_from_centroids
 from corpuskit.operators.vector_index import VectorIndex
@@ -276,6 +277,26 @@ def q_answer_batch(spark, d):
 
 # ------------------------------------------------------------------ chat and latency
 
+class LastWordsGenerator:
+    """Test generator: streams the last message of a chat, word by word, each with its blanks."""
+
+    def __call__(self, messages):
+        yield from re.findall(r"[^ ]* *", messages[-1]["content"])
+
+
+def q_token_stream(spark, d):
+    """X4 into W3 and A4: a token stream for each conversation; the whole text put together from its deltas,
+    and whether a first token was timed where there is one."""
+    chats = chat_messages(table(spark, d, "conversations")).withColumn("model", F.lit("words"))
+    tokens = cut_lineage(answer_stream(chats, LastWordsGenerator(), response="conv_id", prompt_col="messages", model="model"))
+    whole = cumulative_text(tokens, response="conv_id", final_only=True)
+    timed = first_token_latency(tokens.where("not is_final"), response="conv_id", start="start", model="model")
+    ends = tokens.where("is_final and error is null").select("conv_id", F.col("seq").alias("n_deltas"))
+    return (ends.join(whole, "conv_id", "left").join(timed, "conv_id", "left")
+            .select("conv_id", "n_deltas", F.sha1(F.coalesce("text", F.lit(""))).alias("text_sha1"),
+                    F.coalesce(F.col("ttft_ms") >= 0, F.lit(False)).alias("timed")))
+
+
 def q_chat_messages(spark, d):
     m = chat_messages(table(spark, d, "conversations"))
     transcript = F.array_join(F.transform("messages", lambda s: F.concat(s["role"], F.lit(": "), s["content"])), "\n")
@@ -483,6 +504,7 @@ QUERIES = {
     "answer_batch": q_answer_batch,
     "chat_messages": q_chat_messages,
     "cumulative_text": q_cumulative_text,
+    "token_stream": q_token_stream,
     "first_token_latency": q_first_token_latency,
     "model_latency": q_model_latency,
     "model_latency_exact": q_model_latency_exact,

@@ -278,6 +278,13 @@ FROM (SELECT conv_id, turn, string_agg(text, '' ORDER BY turn) OVER (PARTITION B
              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS so_far
       FROM conversations WHERE coalesce(text, '') <> '')"""
 
+ORACLE["token_stream"] = """WITH last AS (
+  SELECT conv_id, coalesce(text, '') AS t FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn = 1)
+SELECT conv_id, CAST(len(regexp_extract_all(t, '[^ ]+ *|^ +')) + 1 AS BIGINT) AS n_deltas, sha1(t) AS text_sha1,
+       regexp_matches(t, '\\S') AS timed
+FROM last"""
+
 ORACLE["first_token_latency"] = """SELECT user_id, count(*) AS n_events,
        (epoch_us(min(ts) FILTER (WHERE event_type <> 'view')) - epoch_us(min(ts))) / 1000.0 AS ttft_ms
 FROM events GROUP BY user_id"""
