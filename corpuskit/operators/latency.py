@@ -65,6 +65,7 @@ def model_latency(samples: DataFrame, model: str = "model", value: str = "ttft_m
             F.least("lo0", "m").alias("lo0"), F.greatest("hi0", "m").alias("hi0"))
     # Only a segment's first model can have earlier samples, but for those of the state: their number goes with
     # the segments, as rows, not through the driver.
+    has_state = state is not None
     tagged = tagged.join(starts.where("n0 > 0"), ["model", "seg"], "left").repartition(parts, "seg", "model") \
         .sortWithinPartitions("model", "seg", *okeys) if state is not None else tagged
     known = {} if state is not None else {(r["model"], r["seg"]): tuple(r)[2:] for r in starts.where("n0 > 0").collect()}
@@ -88,7 +89,7 @@ def model_latency(samples: DataFrame, model: str = "model", value: str = "ttft_m
                 if key != cur:
                     if cur is not None:
                         yield flush()
-                    if state is not None:
+                    if has_state:
                         first = rows.iloc[0]
                         before = None if pd.isna(first["n0"]) else tuple(first[c] for c in ("n0", "total0", "lo0", "hi0"))
                     else:

@@ -163,8 +163,8 @@ class VectorIndex:
 
     # ------------------------------------------------------------ build and update
     def build(self, cell_rows: int | None = None, sample_rows: int = 200_000, seed: int = 7) -> None:
-        """Train an index of about one cell for ``cell_rows`` vectors (a quarter of the root of their number by default) and
-        put all vectors of the collection in."""
+        """Train an index of about one cell for ``cell_rows`` vectors and put all vectors of the collection in.
+        By default there are 8 n^0.4 cells: 350 for 13,000 vectors, 32,000 for a billion."""
         before = self.log.latest()
         commits = [e["commit"] for e in self.store.manifest(self.collection)["entries"] if e["rows"]]
         if not commits:
@@ -173,7 +173,7 @@ class VectorIndex:
         n = vectors.count()
         if not n:
             return
-        cell_rows = cell_rows or math.ceil(math.sqrt(n) / 4)
+        cell_rows = cell_rows or math.ceil(n / (8 * n ** 0.4))
         # the sample is drawn by a hash of the chunk id
         keep = min(1.0, sample_rows / n)
         drawn = F.pmod(F.xxhash64("chunk_id", F.lit(seed)), F.lit(1 << 20)) < int(math.ceil(keep * (1 << 20)))

@@ -17,7 +17,7 @@ from corpuskit.functions.ids import file_doc_id, page_label
 from corpuskit.functions.text import canonical_collection, clip_snippet, source_kind, source_label
 from corpuskit.operators.chunking import merge_metadata, sentence_chunks, window_chunks
 from corpuskit.operators.dedupe import dedupe_first, skip_existing
-from corpuskit.operators.embedding import hash_embed
+from corpuskit.operators.embedding import embed, hash_embed, quarantine
 from corpuskit.operators.latency import (first_token_latency, model_latency, model_latency_exact,
                                          models_with_stats, cumulative_text)
 from corpuskit.operators.prompts import answer_batch, answer_stream, build_prompts, chat_messages
@@ -28,9 +28,12 @@ from corpuskit.session import cut_lineage, scratch_path, ship_package, spread
 from corpuskit.store import CollectionStore
 from corpuskit.plans.ask import ask
 from corpuskit.plans.ingest import ingest
-from corpuskit.plans.fixtures import raw_mail_from_turns
+from corpuskit.plans.fixtures import mime_mail_from_turns, raw_mail_from_turns
+from corpuskit.sources import registry
 from corpuskit.sources.mail import list_folders, parse_mail, read_mbox, select_mail, write_mbox
 from corpuskit.sources.web import extract_links, read_pages
+from corpuskit.streaming.ingest import stream_documents, stream_ingest
+from corpuskit.streaming.state import LatencyTable, stream_cumulative_text, stream_latency_table
 
 MAIL_FOLDERS = ["user", "assistant", "system", "archive", "Sent"]
 LINK_PATTERN = r"^/[^/]+$"
@@ -161,6 +164,82 @@ def q_mbox_documents(spark, d):
     return docs.select("doc_id", "subject", "folder", _sha("text").alias("text_sha1"))
 
 
+def q_mime_documents(spark, d):
+    """Encoded words, transfer encodings, unknown charsets, alternatives, attachments."""
+    docs = parse_mail(mime_mail_from_turns(table(spark, d, "conversations", row_local=True)))
+    return docs.select("doc_id", "subject", "from_name", "from_addr", "folder", _sha("text").alias("text_sha1"))
+
+
+def q_text_file_documents(spark, d):
+    """Benchmark texts as files of a directory tree, read back by the text source."""
+    import uuid
+
+    path = scratch_path(spark, f"files-{uuid.uuid4().hex[:12]}")
+    table(spark, d, "benchmark").select("item_id", F.col("text").alias("value")).where("value is not null").write.partitionBy(
+        "item_id").text(path)
+    docs = registry.load(spark, "text", path=path)
+    named = F.regexp_extract("file_path", r"item_id=(\d+)", 1).cast("bigint")
+    own_id = F.sha1(F.concat(F.col("file_path"), F.lit("||"), _sha("text")))
+    return docs.select(named.alias("item_id"), _sha("text").alias("text_sha1"), "page", "source_type",
+                       (F.col("doc_id") == own_id).alias("id_is_of_path_and_text"))
+
+
+class RefusesT:
+    """Test embedder: refuses a batch in which a text begins with T."""
+
+    def __call__(self, texts):
+        if any(t.startswith("T") for t in texts):
+            raise ValueError("begins with T")
+        return [[float(len(t)), 1.0] for t in texts]
+
+
+def q_embed_quarantine(spark, d):
+    """Every chunk through an embedder that refuses some; what failed is kept with its reason."""
+    chunks = _chunks(spark, d).select("chunk_id", "text")
+    ok, bad = quarantine(cut_lineage(embed(chunks, RefusesT()).drop("text")))
+    return ok.select("chunk_id", F.element_at("embedding", 1).cast("bigint").alias("n_chars"), F.lit(None).cast("string").alias("error")) \
+        .unionByName(bad.select("chunk_id", F.lit(-1).cast("bigint").alias("n_chars"), F.col("embed_error").alias("error")))
+
+
+def _stream(spark, d, name):
+    # a pattern, because a file stream takes the path of a single file for a folder
+    return stream_documents(spark, f"{d.rstrip('/')}/{name}.[p]arquet", table(spark, d, name).schema)
+
+
+def q_stream_ingest(spark, d):
+    """S9 + ST1: the documents table as a stream into a fresh store, twice: the second query, which knows
+    nothing of the first, adds nothing."""
+    import uuid
+
+    store = _fresh_store(spark)
+    for _ in range(2):
+        stream = _stream(spark, d, "documents").select("doc_id", "text")
+        stream_ingest(stream, store, "documents", scratch_path(spark, f"ck-{uuid.uuid4().hex[:12]}"), chunker="window").awaitTermination()
+    return store.read("documents").select("doc_id", "chunk_id", F.col("n_tokens").cast("bigint").alias("n_tokens"))
+
+
+def q_stream_latency(spark, d):
+    """ST2: the events as a stream, folded into the table of running means."""
+    import uuid
+
+    root = scratch_path(spark, f"latency-{uuid.uuid4().hex[:12]}")
+    stream_latency_table(_stream(spark, d, "events"), root, f"{root}/checkpoint", model="event_type", value="value").awaitTermination()
+    return LatencyTable(spark, root).read()
+
+
+def q_stream_text(spark, d):
+    """ST3: the turns of all conversations as deltas of a stream; the text so far after each."""
+    import uuid
+
+    root = scratch_path(spark, f"text-{uuid.uuid4().hex[:12]}")
+    texts = stream_cumulative_text(_stream(spark, d, "conversations"), response="conv_id", seq="turn", delta="text")
+    texts.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option(
+        "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema("response_id string, seq bigint, text_so_far string").parquet(f"{root}/out")
+    return out.select(F.col("response_id").cast("bigint").alias("conv_id"), F.col("seq").alias("turn"),
+                      F.length("text_so_far").cast("bigint").alias("cum_chars"), _sha("text_so_far").alias("cum_sha1"))
+
+
 def _mail_select(spark, d, limit):
     out = select_mail(_raw_mail(spark, d), MAIL_FOLDERS, limit=limit, existing=_known_mail_ids(spark, d))
     return out.select("doc_id", "folder", "seq", "subject", _sha("text").alias("text_sha1"))
@@ -493,6 +572,12 @@ QUERIES = {
     "first_links": q_first_links,
     "mail_documents": q_mail_documents,
     "mbox_documents": q_mbox_documents,
+    "mime_documents": q_mime_documents,
+    "text_file_documents": q_text_file_documents,
+    "embed_quarantine": q_embed_quarantine,
+    "stream_ingest": q_stream_ingest,
+    "stream_latency": q_stream_latency,
+    "stream_text": q_stream_text,
     "mail_select": q_mail_select,
     "mail_newest": q_mail_newest,
     "mail_folders": q_mail_folders,

@@ -244,6 +244,23 @@ SELECT doc_id, subject, 'mbox' AS folder,
             || 'To: list@example.org' || chr(10) || 'Date: ' || date || chr(10) || 'Folder: mbox' || chr(10) || chr(10)
             || {_strip("regexp_replace(coalesce(src_text, ''), '(?m)^From ', '>From ', 'g')")}) AS text_sha1
 FROM mail WHERE folder <> 'archive'"""
+ORACLE["mime_documents"] = f"""WITH m AS (
+  SELECT '<m' || CAST(conv_id AS VARCHAR) || '.' || CAST(turn AS VARCHAR) || '@example.org>' AS doc_id,
+         'Ré: ' || role || ' ' || CAST(turn AS VARCHAR) AS subject, role, turn, coalesce(text, '') AS t FROM conversations),
+b AS (SELECT *, {_strip("CASE WHEN turn % 3 = 2 THEN CASE WHEN t = '' THEN '' ELSE t || chr(10) END || 'second part' ELSE t END")} AS body
+      FROM m)
+SELECT doc_id, subject, 'Jürgen' AS from_name, role || '@example.org' AS from_addr, role AS folder,
+       sha1('Subject: ' || subject || chr(10) || 'From: Jürgen <' || role || '@example.org>' || chr(10)
+            || 'To: list@example.org' || chr(10) || 'Date: Mon, 01 Jan 2024 00:00:00 +0000' || chr(10)
+            || 'Folder: ' || role || chr(10) || chr(10) || body) AS text_sha1
+FROM b"""
+ORACLE["text_file_documents"] = """SELECT item_id, sha1(text || chr(10)) AS text_sha1, '' AS page, 'document' AS source_type,
+       true AS id_is_of_path_and_text
+FROM benchmark WHERE text IS NOT NULL"""
+ORACLE["embed_quarantine"] = f"""WITH {_chunk_ctes('documents')}
+SELECT chunk_id, CASE WHEN ctext NOT LIKE 'T%' THEN CAST(length(ctext) AS BIGINT) ELSE -1 END AS n_chars,
+       CASE WHEN ctext LIKE 'T%' THEN 'ValueError: begins with T' END AS error
+FROM chunks"""
 ORACLE["mail_select"] = _mail_select(None)
 ORACLE["mail_newest"] = _mail_select(50)
 ORACLE["mail_folders"] = f"""WITH {_mail_raw()}
@@ -353,6 +370,10 @@ src AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents UNION ALL
 {_chunk_ctes('src')}
 SELECT doc_id, count(*) AS n_chunks, CAST(sum(n_tokens) AS BIGINT) AS n_tokens, 'True,0,0,1' AS seen FROM chunks GROUP BY doc_id"""
 
+ORACLE["stream_ingest"] = ORACLE["ingest_documents"]
+ORACLE["stream_latency"] = ORACLE["model_latency"]
+ORACLE["stream_text"] = ORACLE["cumulative_text"]
+
 ORACLE["stored_metadata"] = f"""WITH p AS ({ORACLE["page_documents"]}),
 d AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source FROM documents WHERE len(regexp_extract_all(text, '\\S+')) > 0)
 SELECT 'documents' AS collection, doc_id, k AS key, v AS value FROM (

@@ -1,6 +1,9 @@
-"""ST2, ST3: per-key state on Structured Streaming with ``applyInPandasWithState``.
+"""ST2, ST3: per-key state on Structured Streaming.
 
-* ``stream_model_latency`` keeps ``(runs, mean)`` per model and applies the step-rounded
+* ``stream_latency_table`` keeps ``(runs, mean)`` per model in a table of versions and folds each
+  micro-batch with the batch operator, whose step functions let the samples of one model be folded by
+  many tasks. A micro-batch that comes twice is folded once.
+* ``stream_model_latency`` (``applyInPandasWithState``) keeps ``(runs, mean)`` per model and applies the step-rounded
   running mean (A2) to each micro-batch in arrival order (ts, then id). The state is two
   numbers per model, so an unbounded stream needs no more memory than the batch fold.
 * ``stream_cumulative_text`` keeps the deltas so far per response and emits the text after
@@ -12,12 +15,60 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from corpuskit.commitlog import CommitConflict, CommitLog, FileSystem
+from corpuskit.operators.latency import model_latency
+
+
+class LatencyTable:
+    """Runs and step-rounded mean per model (A2), as versions below ``root``; each names the last epoch in it."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.files = FileSystem(spark)
+        self.log = CommitLog(self.files, f"{self.root}/log")
+
+    def read(self) -> DataFrame | None:
+        state = self.log.latest()
+        return self.spark.read.parquet(f"{self.root}/{state['folder']}") if state else None
+
+    def fold(self, samples: DataFrame, epoch: int, model: str = "model", value: str = "ttft_ms",
+             order=("ts", "event_id")) -> bool:
+        """Add the samples of an epoch behind those of all earlier ones; False if it is in already."""
+        before = self.log.latest()
+        if before and before["epoch"] >= epoch:
+            return False
+        folder = f"epoch-{epoch}-{uuid.uuid4().hex[:8]}"
+        model_latency(samples, model, value, order, state=self.read()).write.parquet(f"{self.root}/{folder}")
+
+        def step(latest):
+            if (latest or {}).get("version") != (before or {}).get("version"):
+                raise CommitConflict(f"another writer has added epoch {latest['epoch']}")
+            return {"epoch": epoch, "folder": folder}
+
+        self.log.commit(step)
+        if before:  # readers of the version before keep its files for one epoch more
+            old = self.log.read(before["version"] - 1)["folder"] if before["version"] else None
+            if old:
+                self.files.delete(f"{self.root}/{old}")
+        return True
+
+
+def stream_latency_table(samples: DataFrame, root: str, checkpoint: str, model: str = "model", value: str = "ttft_ms",
+                         order=("ts", "event_id"), available_now: bool = True):
+    """ST2 over a table: start the query that folds each micro-batch of ``samples`` into ``LatencyTable(root)``."""
+    table = LatencyTable(samples.sparkSession, root)
+    writer = samples.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+        lambda batch, epoch: table.fold(batch, epoch, model, value, order) and None)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start()
+
 
 def _latency_fn(order_cols):
     def fn(key, batches, state):

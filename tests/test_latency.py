@@ -76,3 +76,44 @@ def test_newline_tokens_are_blank(spark):
     at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
     df = spark.createDataFrame([("r", at(0), ""), ("r", at(1), "\n \t"), ("r", at(3), "x")], "response_id string, ts timestamp, delta string")
     assert first_token_latency(df).first().ttft_ms == 3000.0
+
+
+def _samples(spark, rows):
+    base = dt.datetime(2024, 1, 1)
+    return spark.createDataFrame([(i, base + dt.timedelta(seconds=i), m, float(x)) for i, (m, x) in enumerate(rows)],
+                                 "event_id long, ts timestamp, model string, ttft_ms double")
+
+
+def test_outlier_in_a_model_of_many_segments(spark):
+    rng = np.random.default_rng(8)
+    xs = [float(x) for x in rng.integers(0, 400, 4000)]
+    xs[5], xs[1700], xs[3990] = 6e7, 6e7, 0.25
+    got = model_latency(_samples(spark, [("m", x) for x in xs]), n_segments=8).first()
+    assert (got.runs, got.avg_ttft_ms) == fold(xs)
+
+
+def test_step_functions_compose_to_the_fold():
+    from corpuskit.operators.stepmean import Fold
+    rng = np.random.default_rng(3)
+    for kind in range(40):
+        n = int(rng.integers(2, 300))
+        x = [rng.integers(0, 50, n) * 1.0, rng.random(n) * 1e4, np.where(rng.random(n) < .02, 6e7, rng.random(n) * 300),
+             rng.normal(size=n) * 1000][kind % 4]
+        cut = int(rng.integers(1, n))
+        f = Fold(cut, x[:cut].sum(), x[:cut].min(), x[:cut].max())
+        for part in np.array_split(x[cut:], 3):
+            f.add(part)
+        assert float(f.function(np.int64(fold(x[:cut])[1]))) == fold(x)[1]
+        assert len(f.function.starts) <= n + 2  # no longer than the samples, whatever their values
+
+
+def test_state_goes_before_the_samples(spark):
+    rng = np.random.default_rng(9)
+    rows = [(str(rng.choice(["a", "b", "c"], p=[0.8, 0.1, 0.1])), x) for x in rng.integers(0, 900, 3000)]
+    rows += [("late", 5.5)]
+    first = model_latency(_samples(spark, rows[:1000]), n_segments=5)
+    both = model_latency(_samples(spark, rows[1000:]), n_segments=6, state=first)
+    got = {r.model: (r.runs, r.avg_ttft_ms) for r in both.collect()}
+    assert got == {m: fold([x for k, x in rows if k == m]) for m in ("a", "b", "c", "late")}
+    none = model_latency(_samples(spark, rows[:0]), state=first)
+    assert sorted(map(tuple, none.collect())) == sorted(map(tuple, first.collect()))

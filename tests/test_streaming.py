@@ -93,3 +93,24 @@ def test_stream_latency_state_survives_restart(spark, tmp_dir):
     second = run("lat_b")  # restarted from the same checkpoint: state carried over
     want = {r.model: (r.runs, r.avg_ttft_ms) for r in model_latency(df).collect()}
     assert second == want and first != want
+
+
+def test_latency_table_folds_each_epoch_once(spark, tmp_dir):
+    from corpuskit.streaming.state import LatencyTable, stream_latency_table
+
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, base + dt.timedelta(seconds=i), "m" + str(i % 5 // 4), float((i * 53) % 97) + 0.5) for i in range(600)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, model string, ttft_ms double")
+    src, root = os.path.join(tmp_dir, "ev"), os.path.join(tmp_dir, "table")
+    import time as _time
+    for n in range(3):
+        df.where(f"event_id div 200 = {n}").coalesce(1).write.mode("append").parquet(src)
+        _time.sleep(1.1)  # the file source takes files by age
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    stream_latency_table(stream, root, os.path.join(tmp_dir, "ck")).awaitTermination()
+    table = LatencyTable(spark, root)
+    want = {r.model: (r.runs, r.avg_ttft_ms) for r in model_latency(df).collect()}
+    assert {r.model: (r.runs, r.avg_ttft_ms) for r in table.read().collect()} == want
+    assert not table.fold(df, 2) and not table.fold(df, 0)  # epochs that come again
+    assert {r.model: (r.runs, r.avg_ttft_ms) for r in table.read().collect()} == want
+    assert table.fold(df.limit(0), 3) and table.read().count() == len(want)
