@@ -3,12 +3,14 @@
 A batch of changes says, for (document, tokenizer), what it counts from now on (``insert``, ``revise``) or
 that it is gone (``delete``). ``commit`` turns the batch into signed rows against what the ledger holds for
 the same documents: minus the old count, plus the new one. The signed rows join the ledger, and their
-sums by (source, lang, tokenizer) are the batch's delta of the rollup. Totals are sums of deltas, so a
-batch costs what it changes.
+sums by (source, lang, tokenizer) are the batch's delta of the rollup. Totals are sums of deltas; the old
+counts are found by a semi join of the ledger with the batch's keys.
 
-Commits are idempotent. Rows are written below a folder of the attempt; one marker file, created only
-if it is not there yet, commits a batch id. Attempts that never got their marker (a lost job, or a second
-job of the same batch) are not read. A batch id that is committed already does nothing.
+Commits are idempotent and follow one another. Rows are written below a folder of the attempt; a version of
+the commit log, published whole and only if nobody published it before, takes the attempt in. Attempts that
+no version names (a lost job, or a second job of the same batch) are not read. A batch id that is committed
+already does nothing. A batch whose rows were reckoned against a ledger that another batch has changed
+meanwhile is reckoned again, so two batches at once give the same totals as one after the other.
 
 Defined results: a null source, language or tokenizer is a group of its own; null counts are 0; rows with a
 null document id are left out; of several changes of a key in a batch the one of greatest ``seq`` holds (of
@@ -18,12 +20,13 @@ the same count change nothing; extra columns play no part; an empty batch commit
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuskit.commitlog import CommitLog, FileSystem
+
 GROUP = ("source", "lang", "tokenizer")
 LEDGER = "doc_id bigint, source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
 ROLLUP = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
@@ -44,42 +47,24 @@ class TokenCounts:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.log = CommitLog(FileSystem(spark), f"{self.path}/log")
+
+    def _state(self) -> dict:
+        """The newest version: live attempts (``attempts``), ids of all batches committed so far."""
+        return self.log.latest() or {"version": -1, "attempts": [], "batches": []}
 
-    def _file(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
-
-    def _markers(self) -> dict[str, dict]:
-        """What is committed: marker name -> attempt and the markers that it takes the place of."""
-        fs, target = self._file(f"{self.path}/commits")
-        if not fs.exists(target):
-            return {}
-        rows = self.spark.read.text(f"{self.path}/commits").collect()  # a line a batch since the last compaction
-        return {m["name"]: m for m in (json.loads(r[0]) for r in rows)}
-
-    def _live(self) -> list[str]:
-        markers = self._markers()
-        gone = {name for m in markers.values() for name in m["replaces"]}
-        return [m["attempt"] for name, m in markers.items() if name not in gone]
-
-    def _read(self, kind: str, schema: str) -> DataFrame:
-        paths = [f"{self.path}/data/{a}/{kind}" for a in self._live()]
+    def _read(self, kind: str, schema: str, state: dict | None = None) -> DataFrame:
+        paths = [f"{self.path}/data/{a}/{kind}" for a in (state or self._state())["attempts"]]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def _mark(self, name: str, attempt: str, replaces: list[str]) -> bool:
-        """Create the marker; False if there is one already."""
-        fs, target = self._file(f"{self.path}/commits/{name}")
-        line = json.dumps({"name": name, "attempt": attempt, "replaces": replaces}) + "\n"
-        try:
-            out = fs.create(target, False)
-        except Exception:  # noqa: BLE001 - raised by the file system when the file exists
-            if fs.exists(target):
-                return False
-            raise
-        out.write(bytearray(line.encode()))
-        out.close()
-        return True
+    def _publish(self, base: dict, attempts: list[str], batches: list[str]) -> bool:
+        """Make this the version after ``base``; False if there is another by now."""
+        mine = {"attempts": attempts, "batches": batches}
+
+        def step(latest):
+            return mine if (latest or {"version": -1})["version"] == base["version"] else None
+
+        return self.log.commit(step)["attempts"] == attempts
 
     def _write(self, attempt: str, signed: DataFrame) -> None:
         base = f"{self.path}/data/{attempt}"
@@ -90,26 +75,27 @@ class TokenCounts:
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Apply ``changes(op, doc_id, source, lang, tokenizer, n_tokens, seq)`` once under ``batch_id``.
         False if the batch had been committed before."""
-        name = f"batch-{batch_id}"
-        markers = self._markers()
-        if name in markers or any(name in m["replaces"] for m in markers.values()):
-            return False
         order = F.struct("seq", (F.col("op") == "delete").alias("gone"), F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n"),
                          "source", "lang")
         last = (changes.where("doc_id is not null").groupBy("doc_id", "tokenizer").agg(F.max(order).alias("x"))
                 .select("doc_id", "x.source", "x.lang", "tokenizer", "x.gone", "x.n"))
         added = last.where("not gone").select("doc_id", "source", "lang", "tokenizer", F.lit(1).cast("bigint").alias("n_docs"),
                                               F.col("n").alias("n_tokens"))
-        signed = added
-        if markers:
-            keys = last.select("doc_id", F.col("tokenizer").alias("t")).distinct()
-            held = self._read("ledger", LEDGER)
-            held = held.join(keys, (held.doc_id == keys.doc_id) & held.tokenizer.eqNullSafe(keys.t), "left_semi")
-            signed = added.unionByName(held.withColumn("n_docs", -F.col("n_docs")).withColumn("n_tokens", -F.col("n_tokens")))
-            signed = self._net(signed)
-        attempt = f"{name}-{uuid.uuid4().hex}"
-        self._write(attempt, signed.select("doc_id", *GROUP, "n_docs", "n_tokens"))
-        return self._mark(name, attempt, [])
+        while True:
+            base = self._state()
+            if batch_id in base["batches"]:
+                return False
+            signed = added
+            if base["attempts"]:
+                keys = last.select("doc_id", F.col("tokenizer").alias("t")).distinct()
+                held = self._read("ledger", LEDGER, base)
+                held = held.join(keys, (held.doc_id == keys.doc_id) & held.tokenizer.eqNullSafe(keys.t), "left_semi")
+                signed = self._net(added.unionByName(
+                    held.withColumn("n_docs", -F.col("n_docs")).withColumn("n_tokens", -F.col("n_tokens"))))
+            attempt = f"batch-{uuid.uuid4().hex}"
+            self._write(attempt, signed.select("doc_id", *GROUP, "n_docs", "n_tokens"))
+            if self._publish(base, [*base["attempts"], attempt], [*base["batches"], batch_id]):
+                return True
 
     @staticmethod
     def _net(rows: DataFrame) -> DataFrame:
@@ -117,14 +103,14 @@ class TokenCounts:
             "n_docs <> 0 or n_tokens <> 0")
 
     def compact(self) -> bool:
-        """Put the committed batches together in one, which still knows their ids."""
-        markers = self._markers()
-        if len(markers) < 2:
+        """Put the committed batches together in one, which still knows their ids. False if there is nothing
+        to put together, or another batch came in between."""
+        base = self._state()
+        if len(base["attempts"]) < 2:
             return False
-        replaces = sorted({*markers, *(n for m in markers.values() for n in m["replaces"])})
         attempt = f"base-{uuid.uuid4().hex}"
-        self._write(attempt, self._net(self._read("ledger", LEDGER)).select("doc_id", *GROUP, "n_docs", "n_tokens"))
-        return self._mark(f"base-{len(replaces)}", attempt, replaces)
+        self._write(attempt, self._net(self._read("ledger", LEDGER, base)).select("doc_id", *GROUP, "n_docs", "n_tokens"))
+        return self._publish(base, [attempt], base["batches"])
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) of the groups that hold documents."""

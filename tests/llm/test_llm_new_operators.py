@@ -330,3 +330,42 @@ def test_held_out_accuracy_of_the_query(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 for r in out)
     tested = [r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in out if r["held_out"] and docs[r["doc_id"]]["lang"]]
     assert len(tested) > 200 and sum(tested) / len(tested) > 0.97
+
+
+# ------------------------------------------------------------------ token counts: one batch after the other
+
+CHANGES = "op string, doc_id long, source string, lang string, tokenizer string, n_tokens long, seq int"
+
+
+def test_token_counts_of_a_driver_that_dies_at_its_commit(spark, tmp_dir, monkeypatch):
+    from corpuskit.llm.token_counts import TokenCounts
+
+    batch = spark.createDataFrame([("insert", 1, "a", "en", "t", 10, 0)], CHANGES)
+    ledger = TokenCounts(spark, f"{tmp_dir}/c")
+    with monkeypatch.context() as m:
+        m.setattr(ledger.log.files, "put_if_absent", lambda *a: (_ for _ in ()).throw(RuntimeError("dead")))
+        with pytest.raises(RuntimeError):
+            ledger.commit("b1", batch)
+    assert ledger.totals().count() == 0
+    assert ledger.commit("b1", batch) and not ledger.commit("b1", batch)
+    assert [tuple(r) for r in ledger.totals().collect()] == [("a", "en", "t", 1, 10)]
+
+
+def test_token_counts_of_two_batches_at_once(spark, tmp_dir, monkeypatch):
+    from corpuskit.llm.token_counts import TokenCounts
+
+    one, other = (TokenCounts(spark, f"{tmp_dir}/c") for _ in range(2))
+    count = lambda n: spark.createDataFrame([("revise", 1, "a", "en", "t", n, 0)], CHANGES)
+    assert one.commit("b0", count(1))
+    publish, done = one._publish, []
+
+    def late(*args):  # the other batch commits after this one has reckoned its rows
+        if not done:
+            done.append(other.commit("b2", count(100)))
+        return publish(*args)
+
+    monkeypatch.setattr(one, "_publish", late)
+    assert one.commit("b1", count(10)) and done == [True]
+    assert [tuple(r) for r in one.totals().collect()] == [("a", "en", "t", 1, 10)]  # b1 is the later of the two
+    assert one.compact() and [tuple(r) for r in other.totals().collect()] == [("a", "en", "t", 1, 10)]
+    assert not other.commit("b2", count(7))
