@@ -24,7 +24,7 @@ from corpuskit.operators.prompts import answer_batch, answer_stream, build_promp
 from corpuskit.operators.report import ingest_report
 from corpuskit.operators.search import approx_top_k, exact_top_k, ivf_from_centroids
 from corpuskit.operators.vector_index import VectorIndex
-from corpuskit.session import cut_lineage, scratch_path, ship_package, spread
+from corpuskit.session import cut_lineage, passing_path, ship_package, spread
 from corpuskit.store import CollectionStore
 from corpuskit.plans.ask import ask
 from corpuskit.plans.ingest import ingest
@@ -158,7 +158,7 @@ def q_mbox_documents(spark, d):
     import uuid
 
     raw = raw_mail_from_turns(table(spark, d, "conversations", row_local=True), extra_folder=None)
-    path = scratch_path(spark, f"mbox-{uuid.uuid4().hex[:12]}")
+    path = passing_path(spark, f"mbox-{uuid.uuid4().hex[:12]}")
     write_mbox(raw, path)
     docs = parse_mail(read_mbox(spark, path))
     return docs.select("doc_id", "subject", "folder", _sha("text").alias("text_sha1"))
@@ -174,7 +174,7 @@ def q_text_file_documents(spark, d):
     """Benchmark texts as files of a directory tree, read back by the text source."""
     import uuid
 
-    path = scratch_path(spark, f"files-{uuid.uuid4().hex[:12]}")
+    path = passing_path(spark, f"files-{uuid.uuid4().hex[:12]}")
     table(spark, d, "benchmark").select("item_id", F.col("text").alias("value")).where("value is not null").write.partitionBy(
         "item_id").text(path)
     docs = registry.load(spark, "text", path=path)
@@ -214,7 +214,7 @@ def q_stream_ingest(spark, d):
     store = _fresh_store(spark)
     for _ in range(2):
         stream = _stream(spark, d, "documents").select("doc_id", "text")
-        stream_ingest(stream, store, "documents", scratch_path(spark, f"ck-{uuid.uuid4().hex[:12]}"), chunker="window").awaitTermination()
+        stream_ingest(stream, store, "documents", passing_path(spark, f"ck-{uuid.uuid4().hex[:12]}"), chunker="window").awaitTermination()
     return store.read("documents").select("doc_id", "chunk_id", F.col("n_tokens").cast("bigint").alias("n_tokens"))
 
 
@@ -222,7 +222,7 @@ def q_stream_latency(spark, d):
     """ST2: the events as a stream, folded into the table of running means."""
     import uuid
 
-    root = scratch_path(spark, f"latency-{uuid.uuid4().hex[:12]}")
+    root = passing_path(spark, f"latency-{uuid.uuid4().hex[:12]}")
     stream_latency_table(_stream(spark, d, "events"), root, f"{root}/checkpoint", model="event_type", value="value").awaitTermination()
     return LatencyTable(spark, root).read()
 
@@ -231,7 +231,7 @@ def q_stream_text(spark, d):
     """ST3: the turns of all conversations as deltas of a stream; the text so far after each."""
     import uuid
 
-    root = scratch_path(spark, f"text-{uuid.uuid4().hex[:12]}")
+    root = passing_path(spark, f"text-{uuid.uuid4().hex[:12]}")
     texts = stream_cumulative_text(_stream(spark, d, "conversations"), response="conv_id", seq="turn", delta="text")
     texts.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option(
         "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
@@ -430,7 +430,7 @@ def q_stored_doc_ids(spark, d):
 
     docs = table(spark, d, "documents", row_local=True).select(
         F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("source").alias("collection"))
-    store = CollectionStore(spark, scratch_path(spark, f"store-{uuid.uuid4().hex[:12]}"))
+    store = CollectionStore(spark, passing_path(spark, f"store-{uuid.uuid4().hex[:12]}"))
     store.append_many(window_chunks(docs).select("collection", "doc_id", "chunk_id", "chunk_index", "text"))
     return store.stored_ids()
 
@@ -438,7 +438,7 @@ def q_stored_doc_ids(spark, d):
 def _fresh_store(spark):
     import uuid
 
-    return CollectionStore(spark, scratch_path(spark, f"store-{uuid.uuid4().hex[:12]}"))
+    return CollectionStore(spark, passing_path(spark, f"store-{uuid.uuid4().hex[:12]}"))
 
 
 def q_ingest_documents(spark, d):
@@ -482,7 +482,7 @@ def q_ingest_resume(spark, d):
     import uuid
 
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    store = _LosesOnePublish(spark, scratch_path(spark, f"store-{uuid.uuid4().hex[:12]}"), small_index=0)
+    store = _LosesOnePublish(spark, passing_path(spark, f"store-{uuid.uuid4().hex[:12]}"), small_index=0)
     with contextlib.suppress(ConnectionError):
         ingest(docs, store, "documents", chunker="window")
     second, third = (ingest(docs, store, "documents", chunker="window") for _ in range(2))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,6 +89,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+_PASSING: list = []
+
+
+def passing_path(spark: SparkSession, name: str) -> str:
+    """A ``scratch_path`` that is deleted when the driver ends: for tables that a query writes on its way and
+    that its result may still be read from."""
+    path = scratch_path(spark, name)
+    if not _PASSING:
+        atexit.register(_delete_passing)
+    _PASSING.append((spark, path))
+    return path
+
+
+def _delete_passing() -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone already; then the folders stay
+        for spark, path in _PASSING:
+            context = spark.sparkContext
+            if context._jsc is not None and not context._jsc.sc().isStopped():
+                target = context._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+    _PASSING.clear()
+
+
 _SHIPPED: set = set()
 
 
