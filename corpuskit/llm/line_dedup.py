@@ -412,12 +412,14 @@ def line_report(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES,
 
 def drop_lines(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES, id_col: str = "doc_id",
                text: str = "text") -> DataFrame:
-    """``docs`` without the removed lines; a text that loses its last line with a word goes whole."""
-    verdicts = line_verdicts(docs, edits, min_bytes, id_col, text)
-    gone = verdicts.where("verdict > 0").groupBy("id").agg(F.collect_set("line").alias("_gone_"))
+    """``docs`` without the removed lines; a text that loses its last line with a word goes whole. Rows of one
+    id with different texts are documents of their own, in the order of their texts' hashes."""
+    own = F.when(F.col(f"`{id_col}`").isNotNull(), F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text}`").alias("hash")))
+    verdicts = line_verdicts(docs.select(own.alias("_doc_"), F.col(f"`{text}`")), edits, min_bytes, "_doc_", text)
+    gone = verdicts.where("verdict > 0").groupBy(F.col("id").alias("_doc_")).agg(F.collect_set("line").alias("_gone_"))
     lines = F.split(F.col(f"`{text}`"), "\n", -1)
     rest = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_gone_", i)), "\n")
-    joined = docs.join(gone.withColumnRenamed("id", id_col), id_col, "left")
+    joined = docs.withColumn("_doc_", own).join(gone, "_doc_", "left")
     kept = joined.select(*[(F.when(F.col("_gone_").isNull(), F.col(f"`{c}`")).otherwise(rest) if c == text
                             else F.col(f"`{c}`")).alias(c) for c in docs.columns], "_gone_")
     return kept.where(F.col("_gone_").isNull() | F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]")).drop("_gone_")

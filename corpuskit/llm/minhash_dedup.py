@@ -270,7 +270,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document is the one kept of its group."""
-    groups = near_duplicates(docs, k, percent, True, id_col, text)
+    """The rows of ``docs`` whose document is the one kept of its group. Rows of an id that stands for
+    different texts take no part and stay: an id says which of a group goes, so it must name one text."""
+    of_text = F.xxhash64(f"`{text}`")
+    several = docs.groupBy(id_col).agg(F.min(of_text).alias("lo"), F.max(of_text).alias("hi")).where("lo <> hi").select(id_col)
+    groups = near_duplicates(docs.join(several, id_col, "left_anti"), k, percent, True, id_col, text)
     gone = groups.where("not kept").select(id_col).distinct()
     return docs.join(gone, id_col, "left_anti")

@@ -369,3 +369,20 @@ def test_token_counts_of_two_batches_at_once(spark, tmp_dir, monkeypatch):
     assert [tuple(r) for r in one.totals().collect()] == [("a", "en", "t", 1, 10)]  # b1 is the later of the two
     assert one.compact() and [tuple(r) for r in other.totals().collect()] == [("a", "en", "t", 1, 10)]
     assert not other.commit("b2", count(7))
+
+
+# ------------------------------------------------------------------ one id, different texts
+
+def test_lines_and_rows_of_a_repeated_id_are_not_lost(spark):
+    from corpuskit.llm.line_dedup import drop_lines
+    from corpuskit.llm.minhash_dedup import near_dedup
+
+    say = lambda seed, n=30: " ".join(random.Random(seed).choice(["tion", "ver", "lich", "ment", "ing"]) + str(seed * k % 97) for k in range(n))
+    rows = [(1, f"{say(1)}\n{say(2)}"), (2, f"{say(3)}\n{say(4)}"), (2, f"{say(5)}\n{say(2)}"), (None, say(1))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text) for r in drop_lines(df).collect())
+    assert got == sorted([(0, say(1)), (1, rows[0][1]), (2, rows[1][1]), (2, say(5))])
+    near = [(1, say(1, 200)), (2, say(1, 200)), (2, say(7, 200)), (3, say(1, 200) + " more"), (4, say(9, 200)), (None, say(1, 200))]
+    df = spark.createDataFrame(near, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text) for r in near_dedup(df).collect())
+    assert got == sorted((i or 0, t) for i, t in near if i != 3)
