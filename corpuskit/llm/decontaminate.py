@@ -6,24 +6,24 @@ A leak at the threshold holds a run of intact words that the item's length bound
 them fall inside any intact run. So a leak meets the index at distance 0, and at up to ``RADIUS`` bits
 where its words differ a little. The index splits the 64 bits into ``RADIUS + 1`` blocks: two
 fingerprints within the radius agree on one block at least, so an equality join by block finds all of
-them. Each hit brings the document's words around it, an item's length to either side of where the item
-would lie, and the shingles there are compared exactly.
+them. For each text and item that meet so, the shingles of the whole text are counted and compared exactly.
 
 Similarity: each distinct five-word shingle of the item weighs as often as it stands in the item; the
-weight found in the document (each shingle as often as it stands there, at most its weight) is at least
-0.8 of the whole. Words are lower-cased runs without white space.
+weight found in the document, wherever it stands there (each shingle as often as it is held, at most its
+weight), is at least 0.8 of the whole. Words are lower-cased runs without white space. A text that holds
+the item's shingles only as overlapping scraps, each shorter than the intact run, is not a copy and is not sought.
 
 Defined results: null, empty or blank texts and items match nothing; items of fewer than five words have
-no shingle and are too short to prove a leak; rows that repeat an id are judged as one document or item,
-and item rows that repeat id and words count once;
+no shingle and are too short to prove a leak; item rows that repeat an id are judged as one item, and those
+that repeat id and words count once; items without an id are judged each by its words. Documents are judged
+by their text: equal texts are decided once, rows that repeat an id with other texts are judged each by itself
+(``leaks`` gives their best match), and a document without an id is dropped or stays like any other;
 empty tables give an empty result; other columns play no part. Only the index of the items is
 broadcast, and only while its counted size is below ``BROADCAST_ROWS``; else the join shuffles.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,14 +109,23 @@ def _blocks(fingerprint: Column, size: int) -> Column:
                      .bitwiseOR(F.lit((i + 16 * size) << 48)) for i in range(RADIUS + 1)])
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id",
-          item_text: str = "text") -> DataFrame:
-    """(id_col, item_id, matched, total): documents that hold an item, with the weights found and in all."""
-    item_rows = items.select(F.col(f"`{item_id}`").alias("item"), word_hashes(F.col(f"`{item_text}`")).alias("words"))
+def text_key(text: Column) -> list[Column]:
+    """Two 64-bit hashes that stand for a text."""
+    return [F.xxhash64(text).alias("seq_a"), F.xxhash64(F.lit(1), text).alias("seq_b")]
+
+
+def leaky_texts(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id",
+                item_text: str = "text") -> DataFrame:
+    """(seq_a, seq_b, key, item, matched, total): the different texts that hold an item; ``key`` names the item."""
+    item = F.col(f"`{item_id}`")
+    anonymous = F.sha2(F.array_join(F.transform("words", lambda w: w.cast("string")), " "), 256)
+    item_rows = items.select(item.alias("item"), word_hashes(F.col(f"`{item_text}`")).alias("words"))
     # a row that is there twice is one, or the item's weights would double
-    item_rows = staged(item_rows.where((F.size("words") >= SHINGLE) & F.col("item").isNotNull()).distinct()
-                            .withColumn("run", intact_run(F.size("words"))))
-    whole = docs.select(F.col(f"`{id_col}`").alias("id"), word_hashes(F.col(f"`{text}`")).alias("words"))
+    item_rows = staged(item_rows.where(F.size("words") >= SHINGLE)
+                       .withColumn("key", F.coalesce(F.concat(F.lit("i"), F.col("item").cast("string")),
+                                                     F.concat(F.lit("n"), anonymous)))
+                       .distinct().withColumn("run", intact_run(F.size("words"))))
+    texts = docs.select(*text_key(F.col(f"`{text}`")), F.col(f"`{text}`").alias("text"))
     near = None
     bound = None
     for size in WINDOW_SIZES:
@@ -127,50 +136,62 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
         if run is None:
             continue  # no item of this size
         # one document window in ``step`` falls inside any run of ``run`` words
-        hits = _hits(whole, sized, size, step=run - size + 1)
+        hits = _hits(texts, sized, size, step=run - size + 1)
         near = hits if near is None else near.unionByName(hits)
     if near is None:
-        near = whole.limit(0).select("id", F.lit(None).cast(item_rows.schema["item"].dataType).alias("item"),
-                                     F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("gram"))
-    # shingles of the document near hits: each place once, however many hits brought it
-    grams = staged(near).distinct().groupBy("id", "item", "gram").agg(F.count(F.lit(1)).alias("found"))
-    weights = item_rows.select("item", F.explode(_shingles(F.col("words"))).alias("gram")).groupBy("item", "gram").agg(
-        F.count(F.lit(1)).alias("weight"))
-    totals = weights.groupBy("item").agg(F.sum("weight").alias("total"))
-    matched = (grams.join(weights, ["item", "gram"]).groupBy("id", "item")
-               .agg(F.sum(F.least("found", "weight")).alias("matched")).join(totals, "item")
-               .where(100 * F.col("matched") >= PERCENT * F.col("total")))
-    return matched.select(F.col("id").alias(id_col), F.col("item").alias(item_id), "matched", "total")
-
-
-def _shingles(words: Column) -> Column:
-    return F.transform(windows(words, SHINGLE, 1), lambda s: F.xxhash64(s))
-
-
-def _hits(whole: DataFrame, items: DataFrame, size: int, step: int) -> DataFrame:
-    """(id, item, at, gram): the shingles of each document around windows within the radius of an item's."""
-    index = items.select("item", F.size("words").alias("n"), F.posexplode(windows(F.col("words"), size, 1)).alias("off", "w"))
-    index = (with_simhash(index, "w", size, "print_b").select("item", "n", "off", "print_b")
-             .withColumn("key", F.explode(_blocks(F.col("print_b"), size))))
+        near = texts.limit(0).select("seq_a", "seq_b", F.lit("").alias("key"))
+    hits = staged(near.distinct())
+    weights = staged(item_rows.select("key", "item", F.explode(shingles(F.col("words"))).alias("gram"))
+                     .groupBy("key", "gram").agg(F.min("item").alias("item"), F.count(F.lit(1)).alias("weight")))
+    totals = weights.groupBy("key").agg(F.min("item").alias("item"), F.sum("weight").alias("total"))
+    # each text that was hit is read once, whole; an item's shingles go to the texts that it hit
+    held = (texts.join(hits.select("seq_a", "seq_b").distinct(), ["seq_a", "seq_b"], "left_semi")
+            .groupBy("seq_a", "seq_b").agg(F.min("text").alias("text")))
+    found = (held.select("seq_a", "seq_b", F.explode(shingles(word_hashes(F.col("text")))).alias("gram"))
+             .groupBy("seq_a", "seq_b", "gram").agg(F.count(F.lit(1)).alias("found")))
+    return (hits.join(weights.drop("item"), "key").join(found, ["seq_a", "seq_b", "gram"])
+            .groupBy("seq_a", "seq_b", "key").agg(F.sum(F.least("found", "weight")).alias("matched")).join(totals, "key")
+            .where(100 * F.col("matched") >= PERCENT * F.col("total")))
+
+
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id",
+          item_text: str = "text") -> DataFrame:
+    """(id_col, item_id, matched, total): documents that hold an item, with the weights found and in all."""
+    bad = staged(leaky_texts(docs, items, text, item_id, item_text))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), *text_key(F.col(f"`{text}`")))
+    return (rows.join(bad, ["seq_a", "seq_b"]).groupBy("id", "key").agg(
+        F.min("item").alias("item"), F.max("matched").alias("matched"), F.min("total").alias("total"))
+        .select(F.col("id").alias(id_col), F.col("item").alias(item_id), "matched", "total"))
+
+
+def shingles(words: Column) -> Column:
+    """Hashes of the runs of five words, in order."""
+    return let(words, lambda h: F.when(
+        F.size(h) >= SHINGLE, F.transform(F.sequence(F.lit(0), F.size(h) - SHINGLE),
+                                          lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(SHINGLE)]))
+    ).otherwise(F.array().cast("array<bigint>")))
+
+
+def _hits(texts: DataFrame, items: DataFrame, size: int, step: int) -> DataFrame:
+    """(seq_a, seq_b, key): the texts with a window within the radius of an item's, once for each such window."""
+    index = items.select("key", F.explode(windows(F.col("words"), size, 1)).alias("w"))
+    index = (with_simhash(index, "w", size, "print_b").select("key", "print_b").distinct()
+             .withColumn("block", F.explode(_blocks(F.col("print_b"), size))))
     index = staged(index)
     if index.count() <= BROADCAST_ROWS:
         index = F.broadcast(index)
     # outer, so that no filter is inferred that would compute the windows twice
     # a column of its own, so that the generator is compiled with what follows and no window copies the words
-    read = (whole.select("id", "words", windows(F.col("words"), size, step).alias("ws"))
-            .select("id", "words", F.posexplode_outer("ws").alias("i", "w")).where("w is not null"))
+    read = (texts.select("seq_a", "seq_b", windows(word_hashes(F.col("text")), size, step).alias("ws"))
+            .select("seq_a", "seq_b", F.explode_outer("ws").alias("w")).where("w is not null"))
     prints = with_simhash(read, "w", size, "print_a").select(
-        "id", "words", "i", "print_a", F.explode(_blocks(F.col("print_a"), size)).alias("key"))
+        "seq_a", "seq_b", "print_a", F.explode(_blocks(F.col("print_a"), size)).alias("block"))
     close = F.bit_count(F.col("print_a").bitwiseXOR(F.col("print_b"))) <= RADIUS
-    # the document's words from an item's length before where the item would begin to one behind its end
-    begin = F.greatest(F.lit(0), F.col("i") * step - F.col("off") - F.col("n"))
-    region = (prints.join(index, "key").where(close)
-              .select("id", "item", begin.alias("begin"), "n", "words")
-              .select("id", "item", "begin", F.expr("slice(words, begin + 1, 3 * n)").alias("words")).distinct())
-    return region.select("id", "item", F.col("begin"), F.posexplode(_shingles(F.col("words"))).alias("j", "gram")).select(
-        "id", "item", (F.col("begin") + F.col("j")).alias("at"), "gram")
+    return prints.join(index, "block").where(close).select("seq_a", "seq_b", "key")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no item."""
-    return docs.join(leaks(docs, items, id_col, text).select(id_col).distinct(), id_col, "left_anti")
+    """The rows of ``docs`` whose text holds no item; ids play no part, so rows without one are judged too."""
+    bad = staged(leaky_texts(docs, items, text).select("seq_a", "seq_b").distinct())
+    rows = docs.select(F.struct("*").alias("row"), *text_key(F.col(f"`{text}`")))
+    return rows.join(bad, ["seq_a", "seq_b"], "left_anti").select("row.*")

@@ -70,20 +70,28 @@ FROM c LEFT JOIN n USING (doc_id)
 """
 
 LEAKS = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
-i AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+i AS (
+  SELECT DISTINCT item_id, CASE WHEN item_id IS NULL THEN array_to_string(w, ' ') ELSE item_id::VARCHAR END AS name, w
+  FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM benchmark)),
 dg AS (
-  SELECT doc_id, gram, count(*) AS found
-  FROM (SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' '))) AS gram FROM d)
+  SELECT r, doc_id, gram, count(*) AS found
+  FROM (SELECT r, doc_id, unnest(list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' '))) AS gram FROM d)
   GROUP BY ALL),
 ig AS (
-  SELECT item_id, gram, count(*) AS weight
-  FROM (SELECT item_id, unnest(list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' '))) AS gram FROM i)
+  SELECT item_id, name, gram, count(*) AS weight
+  FROM (SELECT item_id, name, unnest(list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' '))) AS gram FROM i)
   GROUP BY ALL),
-t AS (SELECT item_id, sum(weight)::BIGINT AS total FROM ig GROUP BY item_id),
+t AS (SELECT item_id IS NULL AS nameless, name, sum(weight)::BIGINT AS total FROM ig GROUP BY ALL),
 m AS (
-  SELECT doc_id, item_id, sum(least(found, weight))::BIGINT AS matched FROM dg JOIN ig USING (gram) GROUP BY ALL)
-SELECT doc_id, item_id, matched, total FROM m JOIN t USING (item_id) WHERE 100 * matched >= 80 * total
+  SELECT r, doc_id, item_id, item_id IS NULL AS nameless, name, sum(least(found, weight))::BIGINT AS matched
+  FROM dg JOIN ig USING (gram) GROUP BY ALL),
+hit AS (
+  SELECT doc_id, item_id, nameless, name, max(matched) AS matched, total
+  FROM m JOIN t USING (nameless, name) WHERE 100 * matched >= 80 * total GROUP BY ALL)
+SELECT doc_id, item_id, matched, total FROM hit
 """
 
 LINES = r"""

@@ -229,6 +229,32 @@ def test_a_repeated_benchmark_row_counts_once(spark):
     assert [r["doc_id"] for r in decontaminate.decontaminate(df, bench).collect()] == [2]
 
 
+def test_leaks_are_weighed_over_the_whole_document(spark):
+    w = ["i%d" % i for i in range(24)]
+    far = ["x%d" % i for i in range(100)]
+    rows = [(p, " ".join(["pre"] * p + w[:14] + far + w[14:])) for p in range(9)]
+    rows += [(20 + p, " ".join(["pre"] * p + w[14:] + far + w[:14])) for p in range(9)]
+    rows += [(40, " ".join(w[:13] + far + w[14:]))]  # 15 of 20 shingles
+    items = [(1, " ".join(w))]
+    df, bench = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["matched"], r["total"]) for r in decontaminate.leaks(df, bench).collect()}
+    assert got == brute.leaks(as_dicts(rows), [{"item_id": i, "text": t} for i, t in items])
+    assert got == {(r[0], 1): (16, 20) for r in rows[:-1]}
+
+
+def test_leaks_without_ids_and_rows_of_one_id(spark):
+    item, other = " ".join("i%d" % i for i in range(20)), " ".join("k%d" % i for i in range(20))
+    rows = [(None, "before " + item), (None, "a clean text without an id"), (5, item), (5, "a clean namesake"),
+            (6, other + " behind"), (7, None), (8, "")]
+    df = frame(spark, rows)
+    bench = spark.createDataFrame([(3, item), (None, other), (None, "no text holds these six words")],
+                                  "item_id long, text string")
+    got = sorted(map(tuple, decontaminate.leaks(df, bench).collect()), key=str)
+    assert got == sorted([(None, 3, 16, 16), (5, 3, 16, 16), (6, None, 16, 16)], key=str)
+    kept = {(r["doc_id"], r["text"]) for r in decontaminate.decontaminate(df, bench).collect()}
+    assert kept == {rows[i] for i in (1, 3, 5, 6)}
+
+
 def test_leaks_run_without_python(spark, texts):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o")], "item_id long, text string")
     plan = decontaminate.leaks(frame(spark, texts), bench)._jdf.queryExecution().executedPlan().toString()
