@@ -18,8 +18,9 @@ no shingle and are too short to prove a leak; item rows that repeat an id are ju
 that repeat id and words count once; items without an id are judged each by its words. Documents are judged
 by their text: equal texts are decided once, rows that repeat an id with other texts are judged each by itself
 (``leaks`` gives their best match), and a document without an id is dropped or stays like any other;
-empty tables give an empty result; other columns play no part. Only the index of the items is
-broadcast, and only while its counted size is below ``BROADCAST_ROWS``; else the join shuffles.
+empty tables give an empty result; other columns play no part. The index and the shingles of the items and
+the keys of the texts that were hit are broadcast only while each is counted to be below ``BROADCAST_ROWS``;
+else those joins shuffle.
 """
 
 from __future__ import annotations
@@ -144,11 +145,14 @@ def leaky_texts(docs: DataFrame, items: DataFrame, text: str = "text", item_id:
     weights = staged(item_rows.select("key", "item", F.explode(shingles(F.col("words"))).alias("gram"))
                      .groupBy("key", "gram").agg(F.min("item").alias("item"), F.count(F.lit(1)).alias("weight")))
     totals = weights.groupBy("key").agg(F.min("item").alias("item"), F.sum("weight").alias("total"))
-    # each text that was hit is read once, whole; an item's shingles go to the texts that it hit
-    held = (texts.join(hits.select("seq_a", "seq_b").distinct(), ["seq_a", "seq_b"], "left_semi")
-            .groupBy("seq_a", "seq_b").agg(F.min("text").alias("text")))
+    # each text that was hit is read whole, where it lies; copies of one count alike, so their sum is divided
+    hit_texts = _bounded(staged(hits.select("seq_a", "seq_b").distinct()))
+    grams = _bounded(staged(weights.select("gram").distinct()))
+    held = texts.join(hit_texts, ["seq_a", "seq_b"], "left_semi")
+    copies = held.groupBy("seq_a", "seq_b").agg(F.count(F.lit(1)).alias("copies"))
     found = (held.select("seq_a", "seq_b", F.explode(shingles(word_hashes(F.col("text")))).alias("gram"))
-             .groupBy("seq_a", "seq_b", "gram").agg(F.count(F.lit(1)).alias("found")))
+             .join(grams, "gram", "left_semi").groupBy("seq_a", "seq_b", "gram").agg(F.count(F.lit(1)).alias("n"))
+             .join(copies, ["seq_a", "seq_b"]).select("seq_a", "seq_b", "gram", F.expr("n div copies").alias("found")))
     return (hits.join(weights.drop("item"), "key").join(found, ["seq_a", "seq_b", "gram"])
             .groupBy("seq_a", "seq_b", "key").agg(F.sum(F.least("found", "weight")).alias("matched")).join(totals, "key")
             .where(100 * F.col("matched") >= PERCENT * F.col("total")))
@@ -172,14 +176,17 @@ def shingles(words: Column) -> Column:
     ).otherwise(F.array().cast("array<bigint>")))
 
 
+def _bounded(rows: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it is counted to be small; else joins shuffle."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def _hits(texts: DataFrame, items: DataFrame, size: int, step: int) -> DataFrame:
     """(seq_a, seq_b, key): the texts with a window within the radius of an item's, once for each such window."""
     index = items.select("key", F.explode(windows(F.col("words"), size, 1)).alias("w"))
     index = (with_simhash(index, "w", size, "print_b").select("key", "print_b").distinct()
              .withColumn("block", F.explode(_blocks(F.col("print_b"), size))))
-    index = staged(index)
-    if index.count() <= BROADCAST_ROWS:
-        index = F.broadcast(index)
+    index = _bounded(staged(index))
     # outer, so that no filter is inferred that would compute the windows twice
     # a column of its own, so that the generator is compiled with what follows and no window copies the words
     read = (texts.select("seq_a", "seq_b", windows(word_hashes(F.col("text")), size, step).alias("ws"))
