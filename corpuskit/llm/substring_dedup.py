@@ -231,7 +231,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     # every document that is not a copy, as runs of windows
     runs = staged(_runs(source.join(first_ids, "id", "left_semi"), window, gram))
-    shared = runs.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
+    # written, so that the join has an exchange of its own, which can be split at an anchor that very many hold
+    shared = staged(runs.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor"))
     shared_runs = staged(runs.join(shared, "anchor"))
     owners = shared_runs.groupBy("anchor", "seg", "windows").agg(F.min("id").alias("id"))
     owned = shared_runs.join(owners, ["anchor", "seg", "windows", "id"]).groupBy("anchor", "seg", "windows", "id").agg(
