@@ -1,6 +1,7 @@
 """Tokenisation and the hashed bag-of-words vector, all native expressions.
 
 * chunking token: a maximal run of non-whitespace (``\\S+``);
+* sub-word token (``Subwords``): letters and digits in runs of bounded length, any other character by itself;
 * embedding term: a maximal run of letters/digits of the lower-cased text;
 * term bucket: the first 32 bits of md5(term) as an unsigned number, modulo ``dim``.
 
@@ -10,6 +11,8 @@ and the count of bucket ``i`` is the distance between its first and last positio
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,31 @@ def chunk_tokens(text) -> Column:
     return F.regexp_extract_all(_col(text), F.lit(CHUNK_TOKEN), 1)
 
 
+@dataclass(frozen=True)
+class Subwords:
+    """Counts model tokens without a vocabulary: a token is at most ``letters`` ASCII letters or ``digits``
+    digits in a row, or one other character that is no ASCII blank (a Chinese letter, a mark, an emoji).
+
+    Counts add up: two texts joined by a blank have as many tokens as both. A text that begins at a token and
+    ends at one has the same tokens as in its place, so the chunker and the count of a chunk agree."""
+
+    letters: int = 6
+    digits: int = 3
+
+    @property
+    def pattern(self) -> str:
+        return (f"[A-Za-z]{{1,{self.letters}}}|[0-9]{{1,{self.digits}}}"
+                r"|[^\x20\x09-\x0DA-Za-z0-9]")
+
+    def count(self, text) -> Column:
+        return F.coalesce(F.regexp_count(_col(text), F.lit(self.pattern)), F.lit(0))
+
+    def cut(self, text, n) -> Column:
+        """The first ``n`` tokens of the text, with the blanks before and between them."""
+        pieces = F.regexp_extract_all(_col(text), F.lit(rf"([\x20\x09-\x0D]*(?:{self.pattern}))"), 1)
+        return F.array_join(F.slice(pieces, 1, n), "")
+
+
 def terms(text) -> Column:
     return F.regexp_extract_all(F.lower(_col(text)), F.lit(TERM), 1)
 

@@ -10,12 +10,16 @@ because ``chunk_id`` is ``doc_id#index`` and the chunk count is known at generat
   last words, greedily packed to at most ``size`` tokens with a suffix of the previous
   chunk's pieces (at most ``overlap`` tokens) carried over. The packing is a small
   per-document Python helper run as an Arrow-batched pandas UDF.
+* ``token_chunks``: chunks of at most ``size`` sub-word tokens, cut at the strongest break in reach. Tokens
+  and breaks of a batch of texts are found at once in numpy; only the cuts are chosen one by one. A text
+  without blanks is cut like any other.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +27,7 @@ from pyspark.sql import types as T
 
 from corpuskit.config import DEFAULT_CHUNK_OVERLAP, DEFAULT_CHUNK_SIZE
 from corpuskit.functions.ids import chunk_id
-from corpuskit.functions.tokens import chunk_tokens, let
+from corpuskit.functions.tokens import Subwords, chunk_tokens, let
 
 
 def _check(size: int, overlap: int):
@@ -154,6 +158,125 @@ def sentence_chunks(docs: DataFrame, size: int = DEFAULT_CHUNK_SIZE, overlap: in
     return _with_neighbours(out, id_col)
 
 
+# ---------------------------------------------------------------- sub-word budgets (G1, G2 in model tokens)
+
+BLANK, LETTER, DIGIT, OTHER = range(4)
+_CLASS = np.full(128, OTHER, np.int8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = BLANK
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+_CLASS[0x30:0x3A] = DIGIT
+# Marks that end a sentence (the wide ones also without a blank behind them) or a clause, and
+# marks that may close a sentence after its end.
+SENTENCE_MARKS, WIDE_MARKS, CLAUSE_MARKS, CLOSERS = ".!?。！？", "。！？", ",;:，；：、", "\"')]”’」』）"
+WORD, CLAUSE, SENTENCE, PARAGRAPH = 1, 2, 3, 4
+BATCH_CHARS = 2_000_000
+
+
+def _among(codes: np.ndarray, marks: str) -> np.ndarray:
+    return np.isin(codes, np.array([ord(m) for m in marks], np.uint32))
+
+
+def token_breaks(text: str, rule: Subwords = Subwords()):
+    """(starts, ends, level): the character ranges of the tokens, and how strong the break before each is.
+
+    4: a blank line; 3: a sentence ends; 2: a clause or line ends; 1: blanks; 0: inside a word."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(codes):
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.int8)
+    kind = np.where(codes < 128, _CLASS[np.minimum(codes, 127)], OTHER)
+    run = np.ones(len(codes), bool)
+    run[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == OTHER)
+    place = np.arange(len(codes))
+    place = place - np.maximum.accumulate(np.where(run, place, 0))
+    limit = np.array([1, rule.letters, rule.digits, 1])[kind]
+    begins = (place % limit == 0) & (kind != BLANK)
+    finish = kind != BLANK
+    finish[:-1] &= begins[1:] | (kind[1:] == BLANK)
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(finish) + 1
+    level = np.zeros(len(starts), np.int8)
+    if len(starts) > 1:
+        gap = starts[1:] > ends[:-1]
+        lines = np.cumsum(codes == 10)
+        lines = lines[starts[1:]] - lines[ends[:-1] - 1]
+        last = codes[ends[:-1] - 1]
+        before = np.where(_among(last, CLOSERS) & (ends[:-1] > 1), codes[ends[:-1] - 2], last)
+        level[1:][gap] = WORD
+        level[1:][(gap & _among(last, CLAUSE_MARKS)) | _among(last, "，；：、") | (lines == 1)] = CLAUSE
+        level[1:][(gap & _among(before, SENTENCE_MARKS)) | _among(last, WIDE_MARKS)] = SENTENCE
+        level[1:][lines > 1] = PARAGRAPH
+    return starts, ends, level
+
+
+def choose_cuts(level: np.ndarray, size: int, overlap: int) -> list:
+    """[(first, behind)]: token ranges of the chunks. Each has ``size`` tokens at most and, but for the last, more than
+    half as many; it ends at the strongest break of its second half (the latest of them). The next begins where a
+    sentence does within the last ``overlap`` tokens, else a word, else ``overlap`` tokens back."""
+    n = len(level)
+    if n <= size:
+        return [(0, n)] if n else []
+    at = np.arange(n)
+    latest = {k: np.maximum.accumulate(np.where(level >= k, at, 0)) for k in (PARAGRAPH, SENTENCE, CLAUSE, WORD)}
+    soonest = {k: np.minimum.accumulate(np.where(level >= k, at, n)[::-1])[::-1] for k in (SENTENCE, WORD)}
+    out, first = [], 0
+    while n - first > size:
+        end = first + size
+        least = first + max(overlap, size // 2)
+        end = next((int(c[end]) for c in latest.values() if c[end] > least), end)
+        out.append((first, end))
+        back = end - overlap
+        first = next((int(b[back]) for b in soonest.values() if overlap and b[back] < end), back)
+    return [*out, (first, n)]
+
+
+def _groups(texts: list, chars: int):
+    """Slices of the list whose texts hold ``chars`` characters, or one text that holds more."""
+    first = held = 0
+    for i, t in enumerate(texts):
+        if i > first and held + len(t) > chars:
+            yield first, i
+            first, held = i, 0
+        held += len(t)
+    if texts:
+        yield first, len(texts)
+
+
+def budget_chunks(texts: list, size: int, overlap: int, rule: Subwords = Subwords()) -> list:
+    """For each text its chunks: {text, token_start, n_tokens}."""
+    out = []
+    for lo, hi in _groups(texts, BATCH_CHARS):
+        whole = "\n".join(texts[lo:hi])
+        starts, ends, level = token_breaks(whole, rule)
+        at = 0
+        for text in texts[lo:hi]:
+            a, b = np.searchsorted(starts, [at, at + len(text)])
+            out.append([{"text": whole[starts[a + f]:ends[a + e - 1]], "token_start": f, "n_tokens": e - f}
+                        for f, e in choose_cuts(level[a:b], size, overlap)])
+            at += len(text) + 1
+    return out
+
+
+def token_chunks(docs: DataFrame, size: int = DEFAULT_CHUNK_SIZE, overlap: int = DEFAULT_CHUNK_OVERLAP,
+                 id_col: str = "doc_id", text_col: str = "text", keep_empty: bool = False,
+                 rule: Subwords = Subwords(), places: bool = False) -> DataFrame:
+    """Chunks of at most ``size`` tokens of ``rule``, output columns as ``window_chunks``; ``places`` adds
+    ``token_start``, the number of the chunk's first token in its document. Null, empty and blank texts have none."""
+    _check(size, overlap)
+    kind = "array<struct<text:string,token_start:int,n_tokens:int>>"
+
+    @F.pandas_udf(kind)
+    def split(texts: pd.Series) -> pd.Series:
+        return pd.Series(budget_chunks([t or "" for t in texts], size, overlap, rule), index=texts.index, dtype=object)
+
+    rest = [c for c in docs.columns if c != text_col]
+    out = (docs.select(*rest, split(F.col(text_col)).alias("_chunks"))
+               .select(*rest, F.size("_chunks").alias("n_chunks"), F.posexplode_outer("_chunks").alias("chunk_index", "_c"))
+               .where(F.lit(keep_empty) | F.col("chunk_index").isNotNull()))
+    out = out.select(*rest, "n_chunks", "chunk_index", F.col("_c.text").alias(text_col),
+                     F.coalesce("_c.n_tokens", F.lit(0)).alias("n_tokens"),
+                     *([F.col("_c.token_start").alias("token_start")] if places else []))
+    return _with_neighbours(out, id_col)
+
+
 def merge_metadata(parent: Column, own: Column, parent_id: Column) -> Column:
     """Parent metadata overlaid by the chunk's own, plus ``doc_id`` = parent id,
     else the chunk's own ``doc_id``, else ``""``. Keys are de-duplicated explicitly so

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from corpuskit.config import (CONTEXT_WINDOWS, DEFAULT_CONTEXT_WINDOW, DEFAULT_RETRY_BASE_DELAY,
                               DEFAULT_RETRY_MAX, LOCAL_CONTEXT_WINDOW, REPLY_RESERVE_TOKENS)
-from corpuskit.functions.tokens import chunk_tokens
+from corpuskit.functions.tokens import Subwords, chunk_tokens
 from corpuskit.operators.embedding import EmbedError, call_with_retry, run_batched, task_pacer
 
 # The layout of a prompt: what was found, then the question.
@@ -48,26 +48,41 @@ def _shown_text(text: Column, meta: Column | None) -> Column:
 
 def build_prompts(hits: DataFrame, questions: DataFrame, budget, q_id: str = "question_id",
                   question_col: str = "question", text_col: str = "text", tokens_col: str = "n_tokens",
-                  meta_col: str | None = None, template: str = QA_TEMPLATE) -> DataFrame:
+                  meta_col: str | None = None, template: str = QA_TEMPLATE, counter: Subwords | None = None) -> DataFrame:
     """Pack ranked chunks (best first) into one context per question.
 
     Chunks are kept while the running token total stays within ``budget`` (an int or a
     column of ``questions``); the first chunk is always kept, cut to the budget. Output:
     ``q_id, n_chunks, n_dropped, context_tokens, prompt``; ``n_dropped`` counts the hits that the
     budget had no room for. Work per question is bounded by k.
+
+    Without a ``counter`` a chunk is charged its ``tokens_col`` and nothing else is. With one, ``budget`` holds for
+    the whole prompt: the template and the question are charged first, and each chunk as it is shown,
+    with its metadata lines; ``prompt_tokens`` is added, at most ``budget`` unless template and question alone are
+    more (then the context is empty).
     """
     q = questions.select(F.col(q_id), F.col(question_col).alias("_question"),
                          (budget if isinstance(budget, Column) else F.lit(int(budget))).alias("_budget"))
     h = hits.join(q, q_id)  # one row per question on the right: a key join, not a fan-out
     w = Window.partitionBy(q_id).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    h = h.withColumn("_toks_run", F.sum(tokens_col).over(w))
-    first_cut = F.when(F.col(tokens_col) > F.col("_budget"),
-                       F.array_join(F.slice(chunk_tokens(F.col(text_col)), 1, F.col("_budget")), " ")
-                       ).otherwise(F.col(text_col))
+    meta = F.col(meta_col) if meta_col else None
+    if counter is None:
+        shown = h.withColumn("_cost", F.col(tokens_col))
+        cut = F.array_join(F.slice(chunk_tokens(F.col(text_col)), 1, F.col("_budget")), " ")
+    else:
+        fixed = counter.count(F.lit(template.replace("{context}", " ").replace("{question}", " ")))
+        room = F.greatest(F.col("_budget") - fixed - counter.count("_question"), F.lit(0))
+        shown = (h.withColumn("_budget", room).withColumn(text_col, _shown_text(F.coalesce(F.col(text_col), F.lit("")), meta))
+                  .withColumn("_cost", counter.count(text_col)))
+        cut = counter.cut(text_col, F.col("_budget"))
+        meta = None
+    shown = shown.withColumn("_toks_run", F.sum("_cost").over(w))
+    first_cut = F.when(F.col("_cost") > F.col("_budget"), cut).otherwise(F.col(text_col))
     fits = (F.col("rank") == 1) | (F.col("_toks_run") <= F.col("_budget"))
-    kept = (h.withColumn("_fits", fits).withColumn("_text", F.when(F.col("rank") == 1, first_cut).otherwise(F.col(text_col)))
-              .withColumn("_ntok", F.least(F.col(tokens_col), F.col("_budget")))
-              .withColumn("_shown", _shown_text(F.col("_text"), F.col(meta_col) if meta_col else None)))
+    kept = (shown.withColumn("_fits", fits)
+                 .withColumn("_text", F.when(F.col("rank") == 1, first_cut).otherwise(F.col(text_col)))
+                 .withColumn("_ntok", F.least(F.col("_cost"), F.col("_budget")))
+                 .withColumn("_shown", _shown_text(F.col("_text"), meta)))
     ctx = kept.groupBy(q_id, "_question").agg(
         F.count_if("_fits").alias("n_chunks"), F.count_if(~F.col("_fits")).alias("n_dropped"),
         F.sum(F.when(F.col("_fits"), F.col("_ntok"))).cast("bigint").alias("context_tokens"),
@@ -76,7 +91,8 @@ def build_prompts(hits: DataFrame, questions: DataFrame, budget, q_id: str = "qu
     head, rest = template.split("{context}")
     mid, tail = rest.split("{question}")
     prompt = F.concat(F.lit(head), context, F.lit(mid), F.col("_question"), F.lit(tail))
-    return ctx.select(q_id, "n_chunks", "n_dropped", "context_tokens", prompt.alias("prompt"))
+    out = ctx.select(q_id, "n_chunks", "n_dropped", "context_tokens", prompt.alias("prompt"))
+    return out if counter is None else out.withColumn("prompt_tokens", counter.count("prompt"))
 
 
 def answer_batch(prompts: DataFrame, completer, prompt_col: str = "prompt", batch_size: int = 8,

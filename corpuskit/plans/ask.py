@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpuskit.config import Settings
 from corpuskit.functions.text import canonical_collection, clip_snippet, default_score, source_label
+from corpuskit.functions.tokens import Subwords
 from corpuskit.operators.embedding import embed, hash_embed
 from corpuskit.operators.prompts import answer_batch, build_prompts, context_budget
 from corpuskit.operators.search import answer_sources, exact_top_k
@@ -63,13 +64,14 @@ def retrieve(questions: DataFrame, chunks: DataFrame, settings: Settings = Setti
 
 def ask(questions: DataFrame, store: CollectionStore, collection: str = "documents", completer=None,
         settings: Settings = Settings(), embedder=None, approximate: bool = False, local_model: bool = False,
-        q_text: str = "question", share: float = 0.2) -> DataFrame:
+        q_text: str = "question", share: float = 0.2, counter: Subwords | None = None) -> DataFrame:
     """One row for each question: ``question_id, answer, answer_error, sources, tokens_used`` and the
     prompt (tokens_used stays null). Questions may name their own ``collection``, ``top_k`` and ``model``;
     collection names are canonicalised (T20). A question that cannot be embedded, whose collection holds
     nothing, or that finds nothing has a null prompt and answer and the reason in ``answer_error``.
     Without a completer ``answer`` stays null. ``approximate`` searches collections that have a stored index
-    (``VectorIndex(store, name).build()``) by it, others exactly."""
+    (``VectorIndex(store, name).build()``) by it, others exactly. ``counter`` as in ``build_prompts``: the model's
+    window then holds for the whole prompt."""
     own = lambda name, kind: F.col(name).cast(kind) if name in questions.columns else F.lit(None).cast(kind)
     q = questions.select(
         "question_id", F.col(q_text).alias("question"),
@@ -95,7 +97,7 @@ def ask(questions: DataFrame, store: CollectionStore, collection: str = "documen
                         F.array().cast("array<struct<rank:int>>").alias("sources"), empty.cast("bigint").alias("tokens_used"))
     hits = cut_lineage(found.join(q.select("question_id", "top_k"), "question_id").where("rank <= top_k").drop("top_k"))
     budget = q.select("question_id", "question", context_budget(F.col("model"), local_model).alias("_budget"))
-    prompts = build_prompts(hits, budget, F.col("_budget"), meta_col="metadata")
+    prompts = build_prompts(hits, budget, F.col("_budget"), meta_col="metadata", counter=counter)
     if completer is not None:
         answered = answer_batch(prompts, completer)
     else:

@@ -8,14 +8,15 @@ from __future__ import annotations
 import contextlib
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuskit.config import LOCAL_CONTEXT_WINDOW, REPLY_RESERVE_TOKENS, Settings
 from corpuskit.functions.html import html_text, html_title
 from corpuskit.functions.ids import file_doc_id, page_label
+from corpuskit.functions.tokens import Subwords
 from corpuskit.functions.text import canonical_collection, clip_snippet, source_kind, source_label
-from corpuskit.operators.chunking import merge_metadata, sentence_chunks, window_chunks
+from corpuskit.operators.chunking import merge_metadata, sentence_chunks, token_chunks, window_chunks
 from corpuskit.operators.dedupe import dedupe_first, skip_existing
 from corpuskit.operators.embedding import embed, hash_embed, quarantine
 from corpuskit.operators.latency import (first_token_latency, model_latency, model_latency_exact,
@@ -94,6 +95,20 @@ def q_sentence_chunks(spark, d):
         "chunk_id", "doc_id", "chunk_index", "n_chunks", "n_tokens", _sha("text").alias("text_sha1"))
 
 
+def q_token_chunks(spark, d):
+    """Of each document: its sub-word tokens as its chunks hold them, and whether no chunk has more than 512, each
+    has the tokens that it states, and together they hold all without a gap."""
+    rule = Subwords()
+    chunks = token_chunks(table(spark, d, "documents", row_local=True), rule=rule, places=True)
+    behind = F.col("token_start") + F.col("n_tokens")
+    w = Window.partitionBy("doc_id").orderBy("chunk_index")
+    return (chunks.withColumn("_from", F.coalesce(F.lag(behind).over(w), F.lit(0)))
+            .groupBy("doc_id").agg(F.max(behind).cast("bigint").alias("n_tokens"),
+                                   F.every(F.col("n_tokens").between(1, 512)).alias("within"),
+                                   F.every(rule.count("text") == F.col("n_tokens")).alias("counted"),
+                                   F.every((F.col("token_start") <= F.col("_from")) & (behind > F.col("_from"))).alias("whole")))
+
+
 def q_chunk_neighbours(spark, d):
     return _chunks(spark, d).select("chunk_id", "prev_chunk_id", "next_chunk_id")
 
@@ -343,6 +358,24 @@ def q_build_prompts(spark, d):
                                      F.length("prompt").cast("bigint").alias("prompt_chars"))
 
 
+CHARGED_BUDGET = 160
+
+
+def q_charged_prompts(spark, d):
+    """The first turn of each conversation as the question, the others in order as passages with metadata, packed so
+    that the whole prompt keeps to the budget."""
+    turns = table(spark, d, "conversations")
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    ranked = turns.withColumn("rank", F.row_number().over(order) - 1).withColumn("text", F.coalesce("text", F.lit("")))
+    questions = ranked.where("rank = 0").select("conv_id", F.col("text").alias("question"))
+    passages = ranked.where("rank > 0").select(
+        "conv_id", "rank", "text", F.lit(0).alias("n_tokens"),
+        F.create_map(F.lit("role"), F.col("role"), F.lit("turn"), F.col("turn").cast("string")).alias("metadata"))
+    return build_prompts(passages, questions, CHARGED_BUDGET, q_id="conv_id", meta_col="metadata", counter=Subwords()).select(
+        "conv_id", F.col("n_chunks").cast("bigint").alias("n_chunks"), F.col("n_dropped").cast("bigint").alias("n_dropped"),
+        "context_tokens", F.col("prompt_tokens").cast("bigint").alias("prompt_tokens"), _sha("prompt").alias("prompt_sha1"))
+
+
 class LengthCompleter:
     """Test completer: answers ``len=<characters of the prompt>``."""
 
@@ -563,6 +596,7 @@ QUERIES = {
     "ingest_report": q_ingest_report,
     "window_chunks": q_window_chunks,
     "sentence_chunks": q_sentence_chunks,
+    "token_chunks": q_token_chunks,
     "chunk_neighbours": q_chunk_neighbours,
     "merge_metadata": q_merge_metadata,
     "page_title": q_page_title,
@@ -586,6 +620,7 @@ QUERIES = {
     "approx_top_k": q_approx_top_k,
     "retrieve_sources": q_retrieve_sources,
     "build_prompts": q_build_prompts,
+    "charged_prompts": q_charged_prompts,
     "answer_batch": q_answer_batch,
     "chat_messages": q_chat_messages,
     "cumulative_text": q_cumulative_text,

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from corpuskit.config import Settings
-from corpuskit.operators.chunking import sentence_chunks, window_chunks
+from corpuskit.operators.chunking import sentence_chunks, token_chunks, window_chunks
 from corpuskit.operators.dedupe import dedupe_first, skip_existing
 from corpuskit.operators.embedding import embed, hash_embed, quarantine
 from corpuskit.operators.vector_index import VectorIndex
@@ -56,7 +56,7 @@ def ingest(docs: DataFrame, store: CollectionStore, collection: str, embedder=No
 
     Of rows with one id the one with the least text counts. A null id is replaced by the hash of the text
     (``docs_without_id`` counts them). A document without any chunk (an empty text) is remembered as
-    seen. ``by_text`` also takes documents with equal texts for one (the smallest id stays).
+    seen. ``chunker``: ``sentence`` and ``window`` count words between blanks, ``token`` sub-word tokens. ``by_text`` also takes documents with equal texts for one (the smallest id stays).
 
     ``embedder=None`` uses the built-in hashed vector (V1a). ``fresh`` replaces the
     collection only after the new chunks are written (the old data survives a failure).
@@ -84,7 +84,7 @@ def ingest(docs: DataFrame, store: CollectionStore, collection: str, embedder=No
     if by_text:
         new = dedupe_first(new, F.sha1(F.col(text_col)), id_col)
     new = new.observe(obs_new, F.count(F.lit(1)).alias("n"))
-    split = sentence_chunks if chunker == "sentence" else window_chunks
+    split = {"sentence": sentence_chunks, "window": window_chunks, "token": token_chunks}[chunker]
     chunks = split(new, settings.chunk_size, settings.chunk_overlap, id_col=id_col, text_col=text_col, keep_empty=True)
     renamed = {id_col: "doc_id", text_col: "text"}
     run, _ = store.stage(stored_form(chunks.withColumnsRenamed(renamed)).drop("embedding"), collection,

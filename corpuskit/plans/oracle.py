@@ -286,6 +286,43 @@ SELECT question_id, CAST(n_chunks AS BIGINT) AS n_chunks, context_tokens, sha1(p
 ORACLE["answer_batch"] = _prompts_sql() + """
 SELECT question_id, 'len=' || CAST(length(prompt) AS VARCHAR) AS answer FROM prompts"""
 
+SUBWORD = r"[A-Za-z]{1,6}|[0-9]{1,3}|[^\x20\x09-\x0DA-Za-z0-9]"
+_HEAD, _REST = QA_TEMPLATE.split("{context}")
+_MIDDLE, _TAIL = _REST.split("{question}")
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+ORACLE["token_chunks"] = f"""SELECT doc_id, CAST(len(regexp_extract_all(text, '{SUBWORD}')) AS BIGINT) AS n_tokens,
+       true AS within, true AS counted, true AS whole
+FROM documents WHERE regexp_matches(text, '{SUBWORD}')"""
+
+ORACLE["charged_prompts"] = f"""WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS rank, coalesce(text, '') AS text, role, turn
+  FROM conversations),
+head AS (SELECT {_literal(_HEAD)} AS head, {_literal(_MIDDLE)} AS middle, {_literal(_TAIL)} AS tail),
+q AS (
+  SELECT conv_id, text AS question, greatest(160 - len(regexp_extract_all(head || ' ' || middle || ' ' || tail, '{SUBWORD}'))
+         - len(regexp_extract_all(text, '{SUBWORD}')), 0) AS room FROM t, head WHERE rank = 0),
+s AS (
+  SELECT conv_id, rank, CASE WHEN role IS NULL THEN '' ELSE 'role: ' || role || chr(10) END || 'turn: ' || turn || chr(10)
+         || chr(10) || text AS shown FROM t WHERE rank > 0),
+c AS (SELECT *, len(regexp_extract_all(shown, '{SUBWORD}')) AS cost FROM s),
+r AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY rank) AS so_far FROM c JOIN q USING (conv_id)),
+f AS (
+  SELECT conv_id, question, rank, rank = 1 OR so_far <= room AS fits, least(cost, room) AS n,
+         CASE WHEN rank = 1 AND cost > room THEN array_to_string(
+           regexp_extract_all(shown, '[\\x20\\x09-\\x0D]*(?:{SUBWORD})')[1:room], '') ELSE shown END AS part FROM r),
+p AS (
+  SELECT conv_id, count(*) FILTER (fits) AS n_chunks, count(*) FILTER (NOT fits) AS n_dropped,
+         CAST(sum(n) FILTER (fits) AS BIGINT) AS context_tokens, any_value(question) AS question,
+         string_agg(part, chr(10) || chr(10) ORDER BY rank) FILTER (fits) AS context FROM f GROUP BY conv_id),
+o AS (SELECT *, head || context || middle || question || tail AS prompt FROM p, head)
+SELECT conv_id, n_chunks, n_dropped, context_tokens,
+       CAST(len(regexp_extract_all(prompt, '{SUBWORD}')) AS BIGINT) AS prompt_tokens, sha1(prompt) AS prompt_sha1 FROM o"""
+
 ORACLE["chat_messages"] = """SELECT conv_id, CAST(count(*) AS BIGINT) AS n_messages,
        sha1(string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn)) AS transcript_sha1
 FROM conversations GROUP BY conv_id"""

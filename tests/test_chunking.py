@@ -3,8 +3,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from corpuskit.operators.chunking import (merge_metadata, pack_chunks, sentence_chunks, split_units,
-                                          window_chunks)
+from corpuskit.functions.tokens import Subwords
+from corpuskit.operators.chunking import (budget_chunks, merge_metadata, pack_chunks, sentence_chunks, split_units,
+                                          token_breaks, token_chunks, window_chunks)
 
 
 def brute_windows(text, size, overlap):
@@ -113,3 +114,74 @@ def test_pack_properties(parts, size, overlap_frac):
     else:
         seq = " ".join(chunks).split()
         assert set(seq) <= set(toks) and seq[0] == toks[0] and seq[-1] == toks[-1]
+
+
+SUBWORD = re.compile(Subwords().pattern)
+B4_TOKENS = [*B4, "   \n ", "\u6f22\u5b57" * 700, "x" * 5000, "a1b22c333d4444 " * 90, "emoji \U0001f600\U0001f600, end",
+             "One. Two! \"Three?\" four, five; six.\n\nseven\n eight " * 40, "\u6771\u4eac\u3002\u6b21\u306e\u6587\u3002" * 200]
+
+
+def test_tokens_are_those_of_the_pattern():
+    for text in B4_TOKENS:
+        starts, ends, level = token_breaks(text)
+        assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == [m.span() for m in SUBWORD.finditer(text)]
+        assert len(level) == len(starts)
+
+
+@pytest.mark.parametrize("size,overlap", [(1, 0), (2, 1), (8, 2), (16, 15), (512, 64)])
+def test_token_chunks_hold_every_token_within_the_budget(size, overlap):
+    together = budget_chunks(B4_TOKENS, size, overlap)
+    for text, chunks in zip(B4_TOKENS, together, strict=True):
+        assert chunks == budget_chunks([text], size, overlap)[0]  # whatever texts share the batch
+        toks = SUBWORD.findall(text)
+        assert (not toks) == (not chunks)
+        behind = 0
+        for c in chunks:
+            first, n = c["token_start"], c["n_tokens"]
+            assert 1 <= n <= size and behind - overlap <= first <= behind < first + n
+            assert SUBWORD.findall(c["text"]) == toks[first:first + n] and c["text"] in text
+            behind = first + n
+        assert behind == len(toks)
+
+
+def test_token_chunks_end_at_the_strongest_break():
+    text = "aa bb cc dd. ee ff, gg hh ii jj\n\nkk ll mm nn oo pp"
+    assert [c["text"] for c in budget_chunks([text], 8, 0)[0]] == [
+        "aa bb cc dd.", "ee ff, gg hh ii jj", "kk ll mm nn oo pp"]
+    # no sentence begins within the last four tokens, then one does
+    assert [c["text"] for c in budget_chunks(["a b c d e. f g h i j k"], 9, 4)[0]] == [
+        "a b c d e.", "c d e. f g h i j", "g h i j k"]
+    assert [c["text"] for c in budget_chunks(["a b c d e. f g. h; i j k l"], 9, 5)[0]] == [
+        "a b c d e. f g.", "f g. h; i j k l"]
+
+
+def test_token_chunks_frame(spark):
+    df = spark.createDataFrame([(1, "\u6f22" * 1200, "zh"), (2, None, "x"), (3, "", "x"), (4, "few words", "en")],
+                               "doc_id long, text string, lang string")
+    rows = token_chunks(df, places=True, keep_empty=True).orderBy("doc_id", "chunk_index").collect()
+    assert [(r.doc_id, r.chunk_id, r.n_chunks, r.token_start, r.n_tokens) for r in rows] == [
+        (1, "1#0", 3, 0, 512), (1, "1#1", 3, 448, 512), (1, "1#2", 3, 896, 304), (2, None, 0, None, 0), (3, None, 0, None, 0),
+        (4, "4#0", 1, 0, 2)]
+    assert token_chunks(df.limit(0)).count() == 0
+    native = token_chunks(df).select(Subwords().count("text").alias("n"), "n_tokens").collect()
+    assert all(r.n == r.n_tokens for r in native)
+
+
+def test_prompts_keep_to_the_whole_budget(spark):
+    from corpuskit.operators.prompts import build_prompts
+    rule = Subwords()
+    hits = spark.createDataFrame(
+        [(q, r, f"passage {r} of {q} " + "word, " * (9 * r), {"title": f"t{r}", "page": None, "source_type": "web"})
+         for q in (1, 2, 3) for r in (1, 2, 3)] + [(4, 1, "\u6f22" * 900, {"title": "long"}), (5, 1, None, None)],
+        "question_id long, rank int, text string, metadata map<string,string>").withColumn("n_tokens", F.lit(1))
+    qs = spark.createDataFrame([(1, "short", 1000), (2, "why is " * 9, 120), (3, "q" * 2000, 100), (4, "?", 300), (5, None, 90)],
+                               "question_id long, question string, b int")
+    out = {r.question_id: r for r in build_prompts(hits, qs.fillna("", ["question"]), F.col("b"), meta_col="metadata", counter=rule).collect()}
+    assert (out[1].n_chunks, out[1].n_dropped) == (3, 0) and "title: t3" in out[1].prompt and "page" not in out[1].prompt
+    assert out[2].n_dropped > 0
+    assert out[4].prompt_tokens == 300 and "title: long" in out[4].prompt
+    assert out[3].context_tokens == 0 and out[3].n_dropped == 2  # the question alone is over the budget
+    assert out[5].n_chunks == 1 and out[5].context_tokens == 0
+    for r in out.values():
+        assert r.prompt_tokens == len(SUBWORD.findall(r.prompt))
+    assert all(out[q].prompt_tokens <= b for q, b in ((1, 1000), (2, 120), (4, 300), (5, 90)))
