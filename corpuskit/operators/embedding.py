@@ -1,7 +1,7 @@
 """Embed a text column.
 
-* ``hash_embed`` (V1a) is the built-in embedder. Its default engine is an Arrow-batched
-  pandas UDF (terms split by Arrow, md5 of each different term, ``numpy.bincount``); the same vector as a
+* ``hash_embed`` (V1a) is the built-in embedder. Its default engine is an Arrow UDF (terms split
+  by Arrow, md5 of each different term, ``numpy.bincount``), some rows at a time; the same vector as a
   pure native expression (``engine="native"``) is several times slower, because Spark interprets
   higher-order-function lambdas per element.
 * ``embed`` (V1) runs any ``list[str] -> list[vector]`` callable over Arrow batches with
@@ -181,22 +181,22 @@ def embed(df: DataFrame, embedder, text_col: str = "text", out_col: str = "embed
 
 
 _BETWEEN = r"[^\pL\pN]+"  # what lies between two terms
-_STEP_CHARS = 4 << 20  # characters split at once
+_STEP_CHARS = 1 << 20  # characters split at once
+_STEP_ROWS = 512  # rows of an Arrow batch that are Python objects at one time
 _BUCKETS: dict = {}
-_BUCKET_CACHE_MAX = 1 << 20
+_BUCKET_CACHE_MAX = 1 << 16
 
 
 def _term_buckets(terms: list, dim: int) -> np.ndarray:
     """Bucket of each term (md5 prefix, 32 bits, mod ``dim``), -1 for the empty one. Buckets of terms seen
     are memoised per worker process (bounded)."""
     cache = _BUCKETS.setdefault(dim, {"": -1})
+    if len(cache) > _BUCKET_CACHE_MAX:
+        cache.clear()
+        cache[""] = -1
     md5 = hashlib.md5
     for t in terms:
         if t not in cache:
-            if len(cache) >= _BUCKET_CACHE_MAX + len(terms):
-                cache.clear()
-                cache[""] = -1
-                return _term_buckets(terms, dim)
             cache[t] = int.from_bytes(md5(t.encode("utf-8")).digest()[:4], "big") % dim
     return np.fromiter(map(cache.__getitem__, terms), np.int64, len(terms))
 
@@ -232,9 +232,12 @@ def hash_unit_vectors(texts, dim: int) -> np.ndarray:
 
 
 def _hash_udf(dim: int):
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def vec(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(hash_unit_vectors(texts, dim)), dtype=object)
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def vec(texts: pa.Array) -> pa.Array:
+        out = np.empty((len(texts), dim))
+        for at in range(0, len(texts), _STEP_ROWS):
+            out[at:at + _STEP_ROWS] = hash_unit_vectors(texts.slice(at, _STEP_ROWS).to_pylist(), dim)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dim), pa.array(out.ravel()))
     # Deterministic, so a retried task after an executor loss recomputes the same rows.
     # Callers keep it evaluated once: no filter on the vector column (a pushed-down filter
     # would call it again) and outer generators (no inferred size filter).
