@@ -5,7 +5,7 @@
   pure native expression (``engine="native"``) is several times slower, because Spark interprets
   higher-order-function lambdas per element.
 * ``embed`` (V1) runs any ``list[str] -> list[vector]`` callable over Arrow batches with
-  ``mapInPandas``. Calls go out in batches of ``batch_size``; rate-limit and 5xx errors
+  ``mapInArrow``. Calls go out in batches of ``batch_size``; rate-limit and 5xx errors
   are retried with waits ``base_delay * 2**attempt`` up to ``max_retries`` times, other
   errors are final. A batch that still fails is retried row by row, so one bad text does
   not cost its neighbours; failed rows keep a null ``embedding`` and the error text in
@@ -152,6 +152,17 @@ def run_batched(texts: list, fn, batch_size: int, max_retries: int, base_delay:
     return results, errors
 
 
+def _embed_steps(batch: pa.RecordBatch, text_col: str, names: list, vectors_of, batch_size: int):
+    """The rows of an Arrow batch with their vectors and errors, a bounded number of calls at a time."""
+    rows = batch_size * max(1, _STEP_ROWS // batch_size)
+    for at in range(0, batch.num_rows, rows):
+        part = batch.slice(at, rows)
+        vecs, errs = vectors_of(part.column(text_col).to_pandas().fillna("").astype(str).tolist())
+        vecs = [None if v is None else np.asarray(v, dtype=np.float32) for v in vecs]
+        yield pa.RecordBatch.from_arrays(
+            [*part.columns, pa.array(vecs, pa.list_(pa.float32()), from_pandas=True), pa.array(errs, pa.string())], names=names)
+
+
 def embed(df: DataFrame, embedder, text_col: str = "text", out_col: str = "embedding",
           batch_size: int = DEFAULT_EMBED_BATCH, max_retries: int = DEFAULT_RETRY_MAX,
           base_delay: float = DEFAULT_RETRY_BASE_DELAY, sleep=time.sleep,
@@ -169,15 +180,14 @@ def embed(df: DataFrame, embedder, text_col: str = "text", out_col: str = "embed
 
     def run(batches):
         call = task_pacer(rate, concurrency)(embedder)
-        for pdf in batches:
-            texts = pdf[text_col].fillna("").astype(str).tolist()
-            vecs, errs = run_batched(texts, call, batch_size, max_retries, base_delay, sleep)
-            res = pdf[keep].copy()
-            res[out_col] = [None if v is None else np.asarray(v, dtype=np.float32) for v in vecs]
-            res["embed_error"] = errs
-            yield res
-
-    return df.select(*keep).mapInPandas(run, schema)
+
+        def vectors_of(texts):
+            return run_batched(texts, call, batch_size, max_retries, base_delay, sleep)
+
+        for batch in batches:
+            yield from _embed_steps(batch, text_col, schema.fieldNames(), vectors_of, batch_size)
+
+    return df.select(*keep).mapInArrow(run, schema)
 
 
 _BETWEEN = r"[^\pL\pN]+"  # what lies between two terms
