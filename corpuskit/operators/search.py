@@ -38,7 +38,7 @@ from corpuskit.session import cut_lineage
 
 _SLACK = 4
 _BLOCK_BYTES = 64 << 20  # question vectors shipped with one task
-_CELL_BUDGET = 4_000_000  # distance-matrix cells computed at once per task
+_CELL_BUDGET = 500_000  # distance-matrix cells computed at once per task
 
 
 def _local_best(qids, Q, cids, C, keep: int) -> pd.DataFrame:
