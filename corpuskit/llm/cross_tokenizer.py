@@ -37,6 +37,8 @@ from corpuskit.session import ship_package
 
 LANE = 512  # tokens of A after which a lane ends at the next shared end
 CHUNK_BYTES = 2 << 20
+SLICES = 1 << 18  # kept by the cache of each side; two of them lie in every worker
+SHOWN_TOKENS = 1 << 17  # tokens of A whose groups are written out at once
 
 
 class TokenBytes:
@@ -58,6 +60,7 @@ class ByteLevelSide(LibraryTokenizer):
     def __init__(self, path: str):
         super().__init__(path)
         self.tokenizer.encode_special_tokens = True
+        self.cache.limit = SLICES
         letter = {chr(c): b for b, c in BYTE_LETTERS.items()}
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         tokens = [b""] * (max(vocab.values()) + 1)
@@ -100,7 +103,7 @@ class PieceSide:
         probe = "ﬁ a  b　¨ ① "  # a normaliser, or blanks taken together, would show here
         self.by_slice &= self.model.decode(self.model.encode(probe)) == probe
         self.table = TokenBytes(tokens)
-        self.cache = SliceCache(self._encode)
+        self.cache = SliceCache(self._encode, SLICES)
 
     def _encode(self, new: list[bytes]) -> list[list[int]]:
         # the library puts one blank before what it is given; a single blank is a piece
@@ -214,17 +217,28 @@ class Aligned:
 
     def group_texts(self) -> list[bytes]:
         """``a1,a2|b1;a3|b2`` of each document: the ids of A and B in each group."""
-        ids = np.concatenate((self.a, self.b)).astype(np.int64)
+        out = []
+        while len(out) < self.n_docs:
+            first = len(out)
+            last = int(np.searchsorted(self.a_bounds, self.a_bounds[first] + SHOWN_TOKENS, "right")) - 1
+            out += self._group_texts(first, min(max(last, first + 1), self.n_docs))
+        return out
+
+    def _group_texts(self, first: int, last: int) -> list[bytes]:
+        a_bounds, b_bounds, cuts = (x[first:last + 1] for x in (self.a_bounds, self.b_bounds, self.cut_bounds))
+        a, b = self.a[a_bounds[0]:a_bounds[-1]], self.b[b_bounds[0]:b_bounds[-1]]
+        cut_a, cut_b = self.cut_a[cuts[0]:cuts[-1]] - a_bounds[0], self.cut_b[cuts[0]:cuts[-1]] - b_bounds[0]
+        ids = np.concatenate((a, b)).astype(np.int64)
         if not len(ids):
-            return [b""] * self.n_docs
+            return [b""] * (last - first)
         # a token's place: its own side's tokens before it and the other side's of the groups before (A) or up to it (B)
-        group_a = np.searchsorted(self.cut_a, np.arange(len(self.a)))
-        group_b = np.searchsorted(self.cut_b, np.arange(len(self.b)))
-        before_b = np.concatenate(([0], self.cut_b + 1))
-        place = np.concatenate((np.arange(len(self.a)) + before_b[group_a], np.arange(len(self.b)) + self.cut_a[group_b] + 1))
+        group_a = np.searchsorted(cut_a, np.arange(len(a)))
+        group_b = np.searchsorted(cut_b, np.arange(len(b)))
+        before_b = np.concatenate(([0], cut_b + 1))
+        place = np.concatenate((np.arange(len(a)) + before_b[group_a], np.arange(len(b)) + cut_a[group_b] + 1))
         after = np.full(len(ids), ord(","), np.uint8)
-        after[self.cut_a] = ord("|")
-        after[len(self.a) + self.cut_b] = ord(";")
+        after[cut_a] = ord("|")
+        after[len(a) + cut_b] = ord(";")
         width = len(str(int(ids.max())))
         digits = ids[:, None] // 10 ** np.arange(width - 1, -1, -1)
         shown = digits > 0
@@ -235,7 +249,7 @@ class Aligned:
         keep[place, :width] = shown
         ends = np.cumsum(keep.sum(1))
         text = grid[keep].tobytes()
-        stops = np.concatenate(([0], ends))[self.a_bounds + self.b_bounds].tolist()
+        stops = np.concatenate(([0], ends))[a_bounds + b_bounds - a_bounds[0] - b_bounds[0]].tolist()
         return [text[x:max(x, y - 1)] for x, y in zip(stops, stops[1:], strict=False)]  # without the last ;
 
     def pairs(self):
@@ -305,26 +319,29 @@ def chunk_table(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id
                          *[StructField(c, LongType()) for c in longs], StructField("groups_sha256", StringType()),
                          StructField("n_pairs", LongType()), *[StructField(c, BinaryType()) for c in blobs]])
 
+    def rows(ids, p: Piece, chunk: int) -> pa.RecordBatch:  # a function of its own, so that nothing of a piece outlives it
+        x = Aligned(p, byte_level_side(a_path), piece_side(b_path))
+        distinct, doc, index, times = x.pairs()
+        sums = [hashlib.sha256(t).hexdigest() if t else "" for t in x.group_texts()]
+        bounds = np.searchsorted(doc, np.arange(x.n_docs + 1)).tolist()
+        index = index.astype("<u2" if len(distinct) <= 1 << 16 else "<u4")
+        times = times.astype("<u2" if not len(times) or times.max() < 1 << 16 else "<u4")
+        rest = [None] * (x.n_docs - 1)
+        docs_of = np.bincount(index, minlength=len(distinct)).astype("<i4")
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(x.n_docs, chunk)), ids,
+             pa.array(np.diff(x.a_bounds)), pa.array(np.diff(x.b_bounds)), pa.array(np.diff(x.cut_bounds)),
+             pa.array(x.n_links), pa.array(sums, pa.string()), pa.array(np.diff(bounds)),
+             *[pa.array([y[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())
+               for y in (index, times)],
+             pa.array([distinct.astype("<i8").tobytes(), *rest], pa.binary()),
+             pa.array([docs_of.tobytes(), *rest], pa.binary())], names=schema.fieldNames())
+
     def run(batches):
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             for p in pieces(batch.column(1), CHUNK_BYTES):
-                x = Aligned(p, byte_level_side(a_path), piece_side(b_path))
-                distinct, doc, index, times = x.pairs()
-                sums = [hashlib.sha256(t).hexdigest() if t else "" for t in x.group_texts()]
-                bounds = np.searchsorted(doc, np.arange(x.n_docs + 1)).tolist()
-                index = index.astype("<u2" if len(distinct) <= 1 << 16 else "<u4")
-                times = times.astype("<u2" if not len(times) or times.max() < 1 << 16 else "<u4")
-                rest = [None] * (x.n_docs - 1)
-                docs_of = np.bincount(index, minlength=len(distinct)).astype("<i4")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(x.n_docs, chunk)), batch.column(0).slice(p.first, p.n_docs),
-                     pa.array(np.diff(x.a_bounds)), pa.array(np.diff(x.b_bounds)), pa.array(np.diff(x.cut_bounds)),
-                     pa.array(x.n_links), pa.array(sums, pa.string()), pa.array(np.diff(bounds)),
-                     *[pa.array([y[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())
-                       for y in (index, times)],
-                     pa.array([distinct.astype("<i8").tobytes(), *rest], pa.binary()),
-                     pa.array([docs_of.tobytes(), *rest], pa.binary())], names=schema.fieldNames())
+                yield rows(batch.column(0).slice(p.first, p.n_docs), p, chunk)
                 chunk += 1
 
     return source.mapInArrow(run, schema)

@@ -386,3 +386,31 @@ def test_lines_and_rows_of_a_repeated_id_are_not_lost(spark):
     df = spark.createDataFrame(near, "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.text) for r in near_dedup(df).collect())
     assert got == sorted((i or 0, t) for i, t in near if i != 3)
+
+
+def test_cross_tokenizer_worker_memory_is_bounded(monkeypatch):
+    # the groups of a whole piece were written out at once, and each side kept a million slices
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from corpuskit.llm import cross_tokenizer as X
+    from corpuskit.llm.textvec import pieces
+
+    a, b = (queries.vocabulary_file(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    side_a, side_b = X.ByteLevelSide(a), X.PieceSide(b)
+    assert max(side_a.cache.limit, side_b.cache.limit) <= 1 << 18
+    r = random.Random(5)
+    words = ["".join(r.choices("etaoinshrdlu", k=r.randint(1, 9))) for _ in range(3000)]
+    texts = ["" if i % 9 == 0 else " ".join(r.choices(words, k=r.choice([1, 40, 900]))) for i in range(900)]
+    x = X.Aligned(next(pieces(pa.array(texts), 8 << 20)), side_a, side_b)
+    assert x.n_docs == 900 and len(x.a) > 3 * X.SHOWN_TOKENS
+    tracemalloc.start()
+    got = x.group_texts()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250 * X.SHOWN_TOKENS * 2 + 20 * len(x.a)
+    assert len(got) == 900 and got == x._group_texts(0, 900)
+    monkeypatch.setattr(X, "SHOWN_TOKENS", 50)
+    assert x.group_texts() == got
